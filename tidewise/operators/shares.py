@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewise.functions.ratios import pct, safe_divide
+from tidewise.functions.ratios import pct, round_div, safe_divide
 from tidewise.operators.common import as_list, col
 from tidewise.operators.pivots import pivot_columns
 
@@ -53,7 +53,8 @@ def hierarchical_share(df: DataFrame, keys, level1, level2, value, types: dict,
                       *[pct(f"_t_{a}", "_total", decimals).alias(a) for a in types])
 
 
-def top_n_share(df: DataFrame, entity, value, n: int = 5, by=(), name: str = "share_top") -> DataFrame:
+def top_n_share(df: DataFrame, entity, value, n: int = 5, by=(), name: str = "share_top",
+                decimals: int = 6) -> DataFrame:
     """Share of the top ``n`` entities (ties kept, like TOPN) in the total, per ``by``.
 
     ``df`` holds one row per (by, entity); the rank window is partitioned by ``by``
@@ -62,5 +63,6 @@ def top_n_share(df: DataFrame, entity, value, n: int = 5, by=(), name: str = "sh
     by = as_list(by)
     w = Window.partitionBy(*by).orderBy(col(value).desc())
     ranked = df.withColumn("_rk", F.rank().over(w))
-    return ranked.groupBy(*by).agg(
-        safe_divide(F.sum(F.when(F.col("_rk") <= n, col(value))), F.sum(col(value))).alias(name))
+    agg = ranked.groupBy(*by).agg(F.sum(F.when(F.col("_rk") <= n, col(value))).alias("_top"),
+                                  F.sum(col(value)).alias("_all"))
+    return agg.select(*by, round_div("_top", "_all", decimals).alias(name))
