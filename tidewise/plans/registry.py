@@ -89,3 +89,4 @@ def _q11(spark, d):
     c, m = facts(spark, d, "capacity", "demand")
     return Q.q11_capacity_demand(c, m, P["last_year"])
 import tidewise.plans.registry_measures  # noqa: E402,F401  (registers measures)
+import tidewise.plans.registry_etl  # noqa: E402,F401  (registers ingest keys)

@@ -173,9 +173,10 @@ FACT_CTE = {"quarterly_spend": "fx_trips_q", "foreign_motives": "fx_foreign_m",
 
 def with_facts(facts, ctes=(), final: str = "") -> str:
     """Assemble ``WITH <bindings>, <ctes> <final>`` for the named fixture CTEs."""
-    parts = []
-    for f in facts:
-        parts.extend(FX[f])
-    parts.extend(ctes)
+    parts, seen = [], set()
+    for n, sql in [c for f in facts for c in FX[f]] + list(ctes):
+        if n not in seen:
+            seen.add(n)
+            parts.append((n, sql))
     body = ",\n".join(f"{n} AS (\n{s}\n)" for n, s in parts)
     return f"WITH {body}\n{final}" if parts else final
