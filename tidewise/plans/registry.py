@@ -90,3 +90,4 @@ def _q11(spark, d):
     return Q.q11_capacity_demand(c, m, P["last_year"])
 import tidewise.plans.registry_measures  # noqa: E402,F401  (registers measures)
 import tidewise.plans.registry_etl  # noqa: E402,F401  (registers ingest keys)
+import tidewise.plans.registry_blocks  # noqa: E402,F401  (registers building blocks)
