@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewise.functions.ratios import _rounded_int, safe_divide
+from tidewise.functions.ratios import _rounded_int, round_div
 from tidewise.operators.common import as_list, col
 
 
@@ -62,4 +62,18 @@ def occupancy(demand: DataFrame, capacity: DataFrame, keys, align: bool = False,
     nn = n.groupBy(*keys).agg(F.sum("valor").alias("pernoctaciones"))
     bb = beds.groupBy(*keys).agg(F.sum("_bd").alias("plazas_dia"))
     j = nn.join(bb, keys, "full")
-    return j.withColumn(name, F.round(safe_divide("pernoctaciones", "plazas_dia"), decimals))
+    return j.withColumn(name, round_div("pernoctaciones", "plazas_dia", decimals))
+
+
+def occupancy_total(demand: DataFrame, capacity: DataFrame, nights: str = "Pernoctaciones",
+                    name: str = "tasa_ocupacion", decimals: int = 6) -> DataFrame:
+    """Single-figure occupancy (a KPI): always one row, blank when there is no data.
+
+    Both sides go through one global aggregate over a tagged union (no join).
+    """
+    n = (demand.where((F.col("metrica") == nights) & F.col("residencia").isNull())
+         .select(F.col("valor").cast("bigint").alias("_n"), F.lit(None).cast("bigint").alias("_b")))
+    b = capacity.select(F.lit(None).cast("bigint").alias("_n"),
+                        (F.col("plazas") * days_in_month("fecha")).cast("bigint").alias("_b"))
+    a = n.unionByName(b).agg(F.sum("_n").alias("pernoctaciones"), F.sum("_b").alias("plazas_dia"))
+    return a.withColumn(name, round_div("pernoctaciones", "plazas_dia", decimals))

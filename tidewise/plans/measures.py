@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tidewise import vocab as V
 from tidewise.functions.labels import classify_expr
 from tidewise.functions.ratios import round_div
-from tidewise.operators.capacity import occupancy
+from tidewise.operators.capacity import occupancy, occupancy_total
 from tidewise.operators.common import as_list, year_is
 from tidewise.operators.seasonality import cv_fixed_buckets, period_coverage
 from tidewise.operators.shares import top_n_share
@@ -193,12 +193,11 @@ def occupancy_group(demand, capacity, classes_dim: DataFrame, acc_type: str, cla
     sel = lambda df: (df.where(year_is("fecha", year) & F.month("fecha").isin(*months)
                                & (F.col("tipo_alojamiento") == acc_type))
                       .join(F.broadcast(regions), "id_ccaa", "left_semi"))
-    keys = list(by) if by else []
     d, c = sel(demand), sel(capacity)
-    if not keys:
-        d, c = d.withColumn("grupo", F.lit(acc_type)), c.withColumn("grupo", F.lit(acc_type))
-        keys = ["grupo"]
-    return occupancy(d, c, keys)
+    if by:
+        return occupancy(d, c, list(by))
+    return occupancy_total(d, c).select(F.lit(acc_type).alias("grupo"), "pernoctaciones", "plazas_dia",
+                                        "tasa_ocupacion")
 
 
 def top5_share(totals: DataFrame, n: int = 5) -> DataFrame:
