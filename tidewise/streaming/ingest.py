@@ -9,6 +9,7 @@ lost executor) resumes without loading a file twice.
 
 from __future__ import annotations
 
+import hashlib
 import os
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,7 +33,9 @@ def start_extract_stream(spark: SparkSession, name: str, landing: str, fact_path
         out.write.mode("append").partitionBy("anio").parquet(fact_path)
         rejects.withColumn("lote", F.lit(batch_id)).write.mode("append").parquet(rejects_path)
 
+    # one checkpoint per (extract, target table): a restart resumes exactly this load
+    target = hashlib.sha1(f"{landing}->{fact_path}".encode()).hexdigest()[:12]
     w = (stream.writeStream.foreachBatch(load_batch)
-         .option("checkpointLocation", os.path.join(checkpoint_root(spark), f"stream-{name}")))
+         .option("checkpointLocation", os.path.join(checkpoint_root(spark), f"stream-{name}-{target}")))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")
     return w.start()
