@@ -11,10 +11,6 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 @pytest.fixture(scope="session")
 def spark():
     from tidewise.session import get_session
-    s = get_session("local[4]", shuffle_partitions=8)
     # tests own their lineage folder; on a cluster spark.checkpoint.dir is given
-    if not s.conf.get("spark.checkpoint.dir", None):
-        d = tempfile.mkdtemp(prefix="tidewise-test-ckpt-")
-        s.conf.set("spark.checkpoint.dir", d)
-        s.sparkContext.setCheckpointDir(d)
-    yield s
+    yield get_session("local[4]", shuffle_partitions=8,
+                      extra={"spark.checkpoint.dir": tempfile.mkdtemp(prefix="tidewise-test-ckpt-")})
