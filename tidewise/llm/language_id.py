@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewise.llm.common import SLICE_BYTES, held_out, read, saved, slices
+from tidewise.llm.common import SLICE_BYTES, held_out, map_text, read, saved, slices
 
 ORDER = 4
 START, END = "\x02", "\x03"
@@ -262,8 +262,6 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
 
 
 def _scored(docs: DataFrame, model: Model, carry: list[str]) -> DataFrame:
-    from tidewise.llm.common import map_text
-
     known = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(t: pa.Array) -> list[pa.Array]:
@@ -281,8 +279,6 @@ def identify(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str =
     letter, or nothing was learnt. ``rejected``: the cross-entropy exceeds the language's
     limit, or there is no language. Equal cross-entropies go to the first language in order.
     """
-    from tidewise.llm.common import map_text
-
     known = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(t: pa.Array) -> list[pa.Array]:

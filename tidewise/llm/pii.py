@@ -155,7 +155,9 @@ class Surrogates:
         return str(self._permute(f"{tag}{len(digits)}", int(digits), 10 ** len(digits))).zfill(len(digits)) if digits else ""
 
     def _like(self, stream: Iterator[int], text: str) -> str:
-        """Random characters of the same classes."""
+        """Random characters of the same classes; hexadecimal stays hexadecimal."""
+        if re.fullmatch("[0-9a-f]{16,}", text):
+            return "".join(f"{next(stream) % 16:x}" for _ in text)
         out = []
         for c in text:
             if c.isdigit():
