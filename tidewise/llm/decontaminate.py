@@ -10,8 +10,8 @@ has cursors of its own, one for each stretch of it, which are moved together.
 
 from __future__ import annotations
 
-import hashlib
 import re
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -252,13 +252,14 @@ def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", carry:
 
 def _searcher(known):
     """Scans a slice; the tables are built once in each Python worker."""
+    mark = uuid.uuid4().hex
 
     def run(texts: pa.Array) -> list[pa.Array]:
-        if known.id not in _READY:
+        if mark not in _READY:
             _READY.clear()
-            _READY[known.id] = build_patterns(known.value)
+            _READY[mark] = build_patterns(known.value)
         n = len(texts)
-        doc, hit, pairs = scan(texts, _READY[known.id])
+        doc, hit, pairs = scan(texts, _READY[mark])
         words = np.bincount(doc, minlength=n)[:n]
         spans = _spans(doc, hit, n)
         ids = [sorted(x for x in pairs.get(d, ()) if x is not None) for d in range(n)]
