@@ -67,18 +67,21 @@ def count_grams(text: pa.Array, lang: np.ndarray, n_langs: int):
         return np.zeros(0, np.int64), np.zeros((0, ORDER), np.uint32), np.zeros(0, np.int64)
     c, at, word = _characters(words)
     alphabet, letter = np.unique(c, return_inverse=True)
-    packed = np.zeros(len(at), np.uint64)
-    for k in range(ORDER - 1, -1, -1):  # 16 bits each: a slice has fewer distinct characters
-        packed = (packed << np.uint64(16)) | letter[at - k].astype(np.uint64)
+    packed = letter[at].astype(np.int64)
+    for k in range(1, ORDER):
+        if (int(packed.max()) + 1) * len(alphabet) >= 1 << 62:  # very many characters: number what there is anew
+            packed = np.unique(packed, return_inverse=True)[1]
+        packed = packed * len(alphabet) + letter[at - k]
     langs, grams, counts = [], [], []
     for x in range(n_langs):
         times = np.bincount(code[lang[doc] == x], minlength=len(words))
         if not times.any():
             continue
         here = times[word] > 0
-        kinds, place = np.unique(packed[here], return_inverse=True)
+        kinds, first, place = np.unique(packed[here], return_index=True, return_inverse=True)
+        example = at[here][first]
         langs.append(np.full(len(kinds), x))
-        grams.append(np.column_stack([alphabet[(kinds >> np.uint64(16 * k)).astype(np.int64) & 0xFFFF] for k in range(ORDER - 1, -1, -1)]))
+        grams.append(np.column_stack([c[example - k] for k in range(ORDER - 1, -1, -1)]))
         counts.append(np.bincount(place, weights=times[word][here]).astype(np.int64))
     if not langs:
         return np.zeros(0, np.int64), np.zeros((0, ORDER), np.uint32), np.zeros(0, np.int64)
