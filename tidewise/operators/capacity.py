@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,35 +47,49 @@ def demand_by_residence(demand: DataFrame, keys, mode: str = "parts",
         F.sum(F.when(is_n & scope, v)).alias("pernoctaciones_total"))
 
 
+def _nights_and_beds(demand: DataFrame, capacity: DataFrame, keys, nights: str) -> DataFrame:
+    """Nights (total rows) and bed-days as rows of one frame, for one aggregation without a join."""
+    n = (demand.where((F.col("metrica") == nights) & F.col("residencia").isNull())
+         .select(*keys, F.col("valor").cast("bigint").alias("_n"), F.lit(None).cast("bigint").alias("_b")))
+    b = capacity.select(*keys, F.lit(None).cast("bigint").alias("_n"),
+                        (F.col("plazas") * days_in_month("fecha")).cast("bigint").alias("_b"))
+    return n.unionByName(b)
+
+
 def occupancy(demand: DataFrame, capacity: DataFrame, keys, align: bool = False,
               nights: str = "Pernoctaciones", name: str = "tasa_ocupacion",
               decimals: int = 6) -> DataFrame:
     """Nights (total rows) / SUM(beds x days in month), both summed over ``keys``.
 
-    With ``align`` the bed-days only count months that also have nights.
-    Both sides are aggregated before the join (keys are region/type sized).
+    One row per distinct key, NULL keys included. With ``align`` the bed-days only
+    count months that also have nights.
     """
     keys = as_list(keys)
-    n = (demand.where((F.col("metrica") == nights) & F.col("residencia").isNull()))
-    beds = capacity.withColumn("_bd", F.col("plazas") * days_in_month("fecha"))
+    months = [*keys, *([] if "fecha" in keys else ["fecha"])] if align else keys
+    cells = _nights_and_beds(demand, capacity, months, nights)
     if align:
-        months = n.select(*[c for c in keys if c != "fecha"], "fecha").distinct()
-        beds = beds.join(months, [c for c in keys if c != "fecha"] + ["fecha"], "left_semi")
-    nn = n.groupBy(*keys).agg(F.sum("valor").alias("pernoctaciones"))
-    bb = beds.groupBy(*keys).agg(F.sum("_bd").alias("plazas_dia"))
-    j = nn.join(bb, keys, "full")
-    return j.withColumn(name, round_div("pernoctaciones", "plazas_dia", decimals))
+        cells = cells.groupBy(*months).agg(F.sum("_n").alias("_n"), F.sum("_b").alias("_b"))
+        cells = cells.withColumn("_b", F.when(F.col("_n").isNotNull(), F.col("_b")))
+    a = cells.groupBy(*keys).agg(F.sum("_n").alias("pernoctaciones"), F.sum("_b").alias("plazas_dia"))
+    return a.withColumn(name, round_div("pernoctaciones", "plazas_dia", decimals))
 
 
-def occupancy_total(demand: DataFrame, capacity: DataFrame, nights: str = "Pernoctaciones",
-                    name: str = "tasa_ocupacion", decimals: int = 6) -> DataFrame:
-    """Single-figure occupancy (a KPI): always one row, blank when there is no data.
+def occupancy_of_groups(demand: DataFrame, capacity: DataFrame, regions: DataFrame, groups: dict,
+                        nights: str = "Pernoctaciones", name: str = "tasa_ocupacion", decimals: int = 6) -> DataFrame:
+    """Occupancy KPI of several groups in one pass: always one row per group, blank without data.
 
-    Both sides go through one global aggregate over a tagged union (no join).
+    ``groups`` maps an accommodation type to the region classes that count for it;
+    ``regions`` has (id_ccaa, clasificacion_col). Cells are summed by region and type first.
     """
-    n = (demand.where((F.col("metrica") == nights) & F.col("residencia").isNull())
-         .select(F.col("valor").cast("bigint").alias("_n"), F.lit(None).cast("bigint").alias("_b")))
-    b = capacity.select(F.lit(None).cast("bigint").alias("_n"),
-                        (F.col("plazas") * days_in_month("fecha")).cast("bigint").alias("_b"))
-    a = n.unionByName(b).agg(F.sum("_n").alias("pernoctaciones"), F.sum("_b").alias("plazas_dia"))
+    t = F.col("tipo_alojamiento")
+    wanted = t.isin(*groups)
+    cells = (_nights_and_beds(demand.where(wanted), capacity.where(wanted), ["id_ccaa", "tipo_alojamiento"], nights)
+             .groupBy("id_ccaa", "tipo_alojamiento").agg(F.sum("_n").alias("_n"), F.sum("_b").alias("_b"))
+             .join(regions.select("id_ccaa", "clasificacion_col"), "id_ccaa"))
+    member = reduce(lambda a, b: a | b, [(t == k) & F.col("clasificacion_col").isin(*c) for k, c in groups.items()])
+    empty = demand.sparkSession.range(1).select(
+        F.explode(F.array(*[F.lit(k) for k in groups])).alias("grupo"), F.lit(None).cast("bigint").alias("_n"),
+        F.lit(None).cast("bigint").alias("_b"))
+    a = (cells.where(member).select(t.alias("grupo"), "_n", "_b").unionByName(empty)
+         .groupBy("grupo").agg(F.sum("_n").alias("pernoctaciones"), F.sum("_b").alias("plazas_dia")))
     return a.withColumn(name, round_div("pernoctaciones", "plazas_dia", decimals))

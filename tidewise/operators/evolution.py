@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewise.functions.labels import classify_expr
-from tidewise.functions.ratios import growth_pct, safe_divide
+from tidewise.functions.ratios import growth_pct, round_div
 from tidewise.operators.common import as_list, col
 
 
@@ -52,7 +52,7 @@ def growth_regime(first_leg, second_leg):
 
 def index_to_base(df: DataFrame, entity, year, value, base: int, name: str = "indice",
                   decimals: int = 6) -> DataFrame:
-    """value / value in the base year * 100 within each entity (NULL without a base row)."""
+    """value / value in the base year * 100 within each entity, exact (NULL without a base row)."""
     w = Window.partitionBy(*as_list(entity))
     base_v = F.sum(F.when(col(year) == base, col(value))).over(w)
-    return df.withColumn(name, F.round(safe_divide(value, base_v) * 100, decimals))
+    return df.withColumn(name, round_div(value, base_v, decimals, 100))

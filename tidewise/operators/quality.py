@@ -10,16 +10,23 @@ from pyspark.sql import functions as F
 from tidewise.operators.common import as_list
 
 
-def split_rejects(df: DataFrame, checks: dict, raw_cols) -> tuple[DataFrame, DataFrame]:
-    """Route rows failing any check to a rejects frame (reason + raw text).
+def tag_rejects(df: DataFrame, checks: dict) -> DataFrame:
+    """Adds ``_reject``: the first failed check's name, NULL for a good row.
 
-    ``checks`` maps reason -> Column that is True when the row is bad. Both
-    outputs are lazy; a row goes to exactly one of them.
+    ``checks`` maps reason -> Column that is True when the row is bad.
     """
     reason = None
     for r, bad in checks.items():
         reason = F.when(bad, F.lit(r)) if reason is None else reason.when(bad, F.lit(r))
-    tagged = df.withColumn("_reject", reason)
+    return df.withColumn("_reject", reason)
+
+
+def split_rejects(df: DataFrame, checks: dict, raw_cols) -> tuple[DataFrame, DataFrame]:
+    """Route rows failing any check to a rejects frame (reason + raw text).
+
+    Both outputs are lazy; a row goes to exactly one of them.
+    """
+    tagged = tag_rejects(df, checks)
     clean = tagged.where(F.col("_reject").isNull()).drop("_reject")
     raw = F.concat_ws(";", *[F.coalesce(F.col(c), F.lit("")) for c in raw_cols])
     rejects = tagged.where(F.col("_reject").isNotNull()).select(
@@ -33,8 +40,11 @@ def drop_missing_rows(df: DataFrame, value_col: str) -> DataFrame:
 
 
 def fuse_marginals(left: DataFrame, right: DataFrame, overlap) -> DataFrame:
-    """Union two marginal tables, dropping right-side rows already in the left."""
-    return left.unionByName(right.where(~overlap))
+    """Union two marginal tables, dropping right-side rows already in the left.
+
+    A row whose ``overlap`` is NULL is not known to be in the left, so it stays.
+    """
+    return left.unionByName(right.where(~F.coalesce(overlap, F.lit(False))))
 
 
 def table_row_counts(tables: dict) -> DataFrame:
@@ -45,20 +55,18 @@ def table_row_counts(tables: dict) -> DataFrame:
 
 
 def load_audit(stages: dict) -> DataFrame:
-    """Row fate per table: ``stages[name] = (parsed, rejects, value_col)``.
+    """Row fate per table: ``stages[name] = (tagged, value_col)``, see :func:`tag_rejects`.
 
-    read = parsed + rejects, dropped = parsed rows with a missing value, kept = rest.
-    Each table costs one pass over its parsed rows plus one over its rejects.
+    read = all rows, rejected = tagged rows, dropped = good rows with a missing value,
+    kept = the rest. One pass over each table.
     """
     parts = []
-    for n, (parsed, rejects, value_col) in stages.items():
-        rows = (parsed.select(F.lit(0).alias("_rej"), F.col(value_col).isNotNull().cast("int").alias("_kept"))
-                .unionByName(rejects.select(F.lit(1).alias("_rej"), F.lit(0).alias("_kept"))))
-        a = rows.agg(F.count("*").alias("read"), F.sum("_kept").cast("bigint").alias("kept"),
-                     F.sum("_rej").cast("bigint").alias("rejected"))
-        parts.append(a.select(F.lit(n).alias("tabla"), "read", "kept",
-                              (F.col("read") - F.col("kept") - F.col("rejected")).alias("dropped"),
-                              "rejected"))
+    for n, (tagged, value_col) in stages.items():
+        good = F.col("_reject").isNull()
+        a = tagged.agg(F.count("*").alias("read"), F.count_if(good & F.col(value_col).isNotNull()).alias("kept"),
+                       F.count_if(good & F.col(value_col).isNull()).alias("dropped"),
+                       F.count_if(~good).alias("rejected"))
+        parts.append(a.select(F.lit(n).alias("tabla"), "read", "kept", "dropped", "rejected"))
     return reduce(DataFrame.unionByName, parts)
 
 

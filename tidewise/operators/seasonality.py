@@ -9,35 +9,49 @@ from tidewise.functions.ratios import pct, safe_divide
 from tidewise.operators.common import as_list, col
 
 
+def cv_sample(value, decimals: int = 1):
+    """Aggregate: sample CV (%) of the non-null values.
+
+    Count, sum and sum of squares are exact decimals, so the result does not depend on the
+    order in which rows meet. NULL for one value or a zero mean.
+    """
+    v = col(value).cast("decimal(18,2)")
+    n, total, squares = F.count(v), F.sum(v), F.sum(v * v)
+    spread = (n * squares - total * total).cast("double")
+    deviation = F.sqrt(spread / F.nullif(n * (n - 1), F.lit(0)).cast("double"))
+    mean = total.cast("double") / F.nullif(n, F.lit(0)).cast("double")
+    return F.round(deviation / F.nullif(mean, F.lit(0.0)) * 100, decimals)
+
+
 def cv_pooled(df: DataFrame, entity, periods, value, name: str = "cv",
               decimals: int = 1) -> DataFrame:
     """Sample CV (%) of per-period totals, pooled over every period present.
 
-    Two aggregations: SUM per (entity, period), then STDDEV_SAMP / AVG per entity.
+    Two aggregations: SUM per (entity, period), then the CV per entity.
     Absent periods are skipped (not zero); one period gives NULL.
     """
     ent = as_list(entity)
-    per = df.groupBy(*ent, *as_list(periods)).agg(F.sum(col(value)).cast("double").alias("_v"))
-    return per.groupBy(*ent).agg(
-        F.round(F.stddev_samp("_v") / F.nullif(F.avg("_v"), F.lit(0.0)) * 100, decimals).alias(name))
+    per = df.groupBy(*ent, *as_list(periods)).agg(F.sum(col(value)).alias("_v"))
+    return per.groupBy(*ent).agg(cv_sample("_v", decimals).alias(name))
 
 
 def cv_fixed_buckets(df: DataFrame, entity, bucket, value, n: int = 4,
-                     name: str = "indice_estacionalidad", decimals: int = 6) -> DataFrame:
+                     name: str = "indice_estacionalidad", decimals: int = 6, also=()) -> DataFrame:
     """Population CV of ``n`` bucket totals (buckets 1..n), a missing bucket counts 0.
 
-    Conditional sums give the n totals in one aggregation; the closed formula
-    then runs per row.
+    Conditional sums give the n totals in one aggregation, with the aggregates of
+    ``also``; the closed formula then runs per row.
     """
     ent = as_list(entity)
     b = col(bucket)
     agg = df.groupBy(*ent).agg(*[F.sum(F.when(b == i, col(value))).cast("double").alias(f"_t{i}")
-                                 for i in range(1, n + 1)])
+                                 for i in range(1, n + 1)], *also)
     ts = [F.coalesce(F.col(f"_t{i}"), F.lit(0.0)) for i in range(1, n + 1)]
     mean = safe_divide(sum(ts[1:], ts[0]), F.lit(float(n)))
     var = safe_divide(sum([(t - mean) * (t - mean) for t in ts[1:]], (ts[0] - mean) * (ts[0] - mean)),
                       F.lit(float(n)))
-    return agg.select(*ent, F.round(safe_divide(F.sqrt(var), mean), decimals).alias(name))
+    return agg.withColumn(name, F.round(safe_divide(F.sqrt(var), mean), decimals)).drop(
+        *[f"_t{i}" for i in range(1, n + 1)])
 
 
 def monthly_share(df: DataFrame, entity, date_col, value, name: str = "pct_del_anual",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewise.functions.ratios import pct, round_div, safe_divide
+from tidewise.functions.ratios import pct, round_div
 from tidewise.operators.common import as_list, col
 from tidewise.operators.pivots import pivot_columns
 
@@ -20,18 +20,6 @@ def share_within_group(df: DataFrame, keys, cat, value, members, numerators: dic
                       *[pct(f"_n_{a}", total_name, decimals).alias(a) for a in numerators])
 
 
-def share_of_partition(df: DataFrame, over, value, name: str = "share",
-                       decimals: int | None = None) -> DataFrame:
-    """value / SUM(value) over the partition ``over`` (a coarser context).
-
-    Equivalent of removing filters on the finer keys; one window, no self-join.
-    """
-    w = Window.partitionBy(*as_list(over))
-    total = F.sum(col(value)).over(w)
-    ratio = (pct(value, total, decimals) if decimals is not None else safe_divide(value, total))
-    return df.withColumn(name, ratio)
-
-
 def hierarchical_share(df: DataFrame, keys, level1, level2, value, types: dict,
                        subtotals: dict | None = None, exclude_level1=("Total",),
                        decimals: int = 1) -> DataFrame:

@@ -8,14 +8,18 @@ value is a missing marker are dropped before the write.
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewise import vocab as V
 from tidewise.functions.parse import (empty_to_null, is_missing, map_patterns, parse_number_es,
                                       parse_period, split_code_label)
-from tidewise.operators.quality import drop_missing_rows, fuse_marginals, split_rejects
-from tidewise.schemas import FACT_SCHEMAS, FACT_VALUE, STAGING_WIDTH
+from tidewise.operators.quality import drop_missing_rows, fuse_marginals, split_rejects, tag_rejects
+from tidewise.schemas import FACT_SCHEMAS, FACT_VALUE, STAGING_ENCODING, STAGING_WIDTH
+from tidewise.sources.sinks import append_clean, conform, read_clean
+from tidewise.sources.staging import read_staging
 
 
 def _region(c):
@@ -23,14 +27,22 @@ def _region(c):
     return code.alias("id_ccaa"), name.alias("destino")
 
 
-def _finish(parsed: DataFrame, fact: str, raw: list[str], value_raw: str, period="fecha"):
+class Parsed(NamedTuple):
+    """Good rows, rejects, and all rows with their tag (for an audit in one pass)."""
+
+    clean: DataFrame
+    rejects: DataFrame
+    tagged: DataFrame
+
+
+def _finish(parsed: DataFrame, fact: str, raw: list[str], value_raw: str, period="fecha") -> Parsed:
     value = FACT_VALUE[fact]
     checks = {"codigo_region": F.col("id_ccaa").isNull(),
               "periodo": F.col(period).isNull(),
               "valor": F.col(value).isNull() & ~is_missing(value_raw)}
     clean, rejects = split_rejects(parsed, checks, raw)
     cols = [f.name for f in FACT_SCHEMAS[fact].fields]
-    return clean.select(*cols), rejects
+    return Parsed(clean.select(*cols), rejects, tag_rejects(parsed, checks))
 
 
 def _raw(name):
@@ -104,10 +116,16 @@ def parse_demand(stg: DataFrame, min_year: int):
     return _finish(parsed, "demand", _raw("demand"), "col8")
 
 
-def load(parsed_and_rejects, fact: str) -> DataFrame:
-    """Clean fact: parsed rows minus missing values (what gets written)."""
-    parsed, _ = parsed_and_rejects
-    return drop_missing_rows(parsed, FACT_VALUE[fact])
+def load(parsed: Parsed, fact: str) -> DataFrame:
+    """Clean fact in its declared schema: good rows minus missing values (what gets written)."""
+    return conform(drop_missing_rows(parsed.clean, FACT_VALUE[fact]), FACT_SCHEMAS[fact])
+
+
+def load_file(spark, staging_path: str, name: str, fact: str, parse, fact_path: str) -> DataFrame:
+    """File -> staging scan -> parse -> append to the year-partitioned fact, then read it back."""
+    staged = read_staging(spark, staging_path, STAGING_WIDTH[name], STAGING_ENCODING[name])
+    append_clean(load(parse(staged), fact), fact_path)
+    return read_clean(spark, fact_path, FACT_SCHEMAS[fact])
 
 
 def fuse_residents(motives: DataFrame, lodging: DataFrame) -> DataFrame:

@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 from tidewise import vocab as V
 from tidewise.functions.labels import classify_expr
 from tidewise.functions.ratios import round_div
-from tidewise.operators.capacity import occupancy, occupancy_total
-from tidewise.operators.common import as_list, year_is
+from tidewise.operators.capacity import occupancy, occupancy_of_groups
+from tidewise.operators.common import as_list, year_in, year_is
+from tidewise.operators.evolution import index_to_base
 from tidewise.operators.seasonality import cv_fixed_buckets, period_coverage
 from tidewise.operators.shares import top_n_share
 
@@ -36,14 +37,17 @@ def _sum_or_null(*cols):
 def tourism_totals(trips: DataFrame, foreign: DataFrame, quarterly: bool = False) -> DataFrame:
     """Domestic trips, foreign visitors and their total per region and year (or quarter)."""
     k = ["id_ccaa", "destino", "anio"] + (["trimestre"] if quarterly else [])
-    dom = (trips.where(F.col("metrica") == V.TRIPS).groupBy(*k)
-           .agg(F.sum("valor").cast("double").alias("total_viajes_nacionales")))
+    none = F.lit(None)
+    dom = trips.where(F.col("metrica") == V.TRIPS).select(
+        *k, F.col("valor").cast("decimal(20,2)").alias("_d"), none.cast("bigint").alias("_e"))
     fk = [F.col("id_ccaa"), F.col("destino"), F.year("fecha").alias("anio")]
     if quarterly:
         fk.append(F.quarter("fecha").alias("trimestre"))
-    ext = foreign.groupBy(*fk).agg(F.sum("turistas").cast("double").alias("total_turistas_extranjeros"))
-    j = dom.join(ext, k, "full")
-    return j.withColumn("total_turismo", _sum_or_null(F.col("total_viajes_nacionales"),
+    ext = foreign.select(*fk, none.cast("decimal(20,2)").alias("_d"), F.col("turistas").alias("_e"))
+    both = dom.unionByName(ext).groupBy(*k).agg(
+        F.sum("_d").cast("double").alias("total_viajes_nacionales"),
+        F.sum("_e").cast("double").alias("total_turistas_extranjeros"))
+    return both.withColumn("total_turismo", _sum_or_null(F.col("total_viajes_nacionales"),
                                                       F.col("total_turistas_extranjeros")))
 
 
@@ -63,8 +67,11 @@ def seasonality_index(qtotals: DataFrame) -> DataFrame:
     return cv_fixed_buckets(qtotals, ["id_ccaa", "destino", "anio"], "trimestre", "total_turismo")
 
 
-def grid_label(index_col, share_col, index_cut=0.20, share_cut=0.30):
+def grid_label(index_col, share_col, index_cut=0.20, share_cut=0.30, blank_as_zero=False):
+    """2x2 class; a blank leaves the region unclassified, or counts as 0 with ``blank_as_zero``."""
     s, p = F.col(index_col), F.col(share_col)
+    if blank_as_zero:
+        s, p = F.coalesce(s, F.lit(0.0)), F.coalesce(p, F.lit(0.0))
     return classify_expr([
         ((s >= index_cut) & (p >= share_cut), V.GRID_CLASSES[0]),
         ((s < index_cut) & (p >= share_cut), V.GRID_CLASSES[1]),
@@ -72,19 +79,27 @@ def grid_label(index_col, share_col, index_cut=0.20, share_cut=0.30):
         ((s < index_cut) & (p < share_cut), V.GRID_CLASSES[3])], V.GRID_CLASSES[4])
 
 
-def classification(trips, foreign, index_cut=0.20, share_cut=0.30) -> DataFrame:
-    """Dynamic 2x2 class per region and year: seasonality index x foreign share."""
-    idx = seasonality_index(tourism_totals(trips, foreign, quarterly=True))
-    sh = foreign_share(tourism_totals(trips, foreign)).select(
-        "id_ccaa", "destino", "anio", "pct_turistas_extranjeros")
-    j = idx.join(sh, ["id_ccaa", "destino", "anio"], "full")
-    return j.withColumn("clasificacion", grid_label("indice_estacionalidad", "pct_turistas_extranjeros",
-                                                    index_cut, share_cut))
+def classification(trips, foreign, index_cut=0.20, share_cut=0.30, blank_as_zero=False) -> DataFrame:
+    """Dynamic 2x2 class per region and year: seasonality index x foreign share.
 
+    Index, share and volume come from one aggregation of the quarter totals.
+    """
+    quarters = tourism_totals(trips, foreign, quarterly=True)
+    also = [F.sum(c).alias(c) for c in ("total_viajes_nacionales", "total_turistas_extranjeros", "total_turismo")]
+    years = cv_fixed_buckets(quarters, ["id_ccaa", "destino", "anio"], "trimestre", "total_turismo", also=also)
+    return foreign_share(years).withColumn(
+        "clasificacion", grid_label("indice_estacionalidad", "pct_turistas_extranjeros", index_cut, share_cut,
+                                    blank_as_zero))
+
+
+def classification_of_year(trips, foreign, year, **grid) -> DataFrame:
+    """One year's classification; the facts are cut to the year before anything else."""
+    return classification(trips.where(F.col("anio") == year), foreign.where(year_is("fecha", year)), **grid)
 
-def classification_fixed(trips, foreign, year, index_cut=0.20, share_cut=0.30) -> DataFrame:
+
+def classification_fixed(trips, foreign, year, **grid) -> DataFrame:
     """Class pinned to one year: a labelled region dimension (one row per region)."""
-    c = classification(trips, foreign, index_cut, share_cut).where(F.col("anio") == year)
+    c = classification_of_year(trips, foreign, year, **grid)
     return c.select("id_ccaa", "destino", F.col("clasificacion").alias("clasificacion_col"))
 
 
@@ -96,18 +111,16 @@ def active_metric(totals: DataFrame, choice: str | None = None) -> DataFrame:
 
 
 def indexed(totals: DataFrame, base: int, choice=None) -> DataFrame:
-    a = active_metric(totals, choice)
-    base_v = F.sum(F.when(F.col("anio") == base, F.col("metrica_activa"))).over(
-        Window.partitionBy("id_ccaa"))
-    return a.withColumn("metrica_indexada", round_div("metrica_activa", base_v, R6, 100))
+    return index_to_base(active_metric(totals, choice), "id_ccaa", "anio", "metrica_activa", base, "metrica_indexada", R6)
 
 
 def growth(totals: DataFrame, y0: int, y1: int, choice=None) -> DataFrame:
+    """(end - start) / start; a blank end counts as 0, a blank or zero start gives blank."""
     a = active_metric(totals, choice).where(F.col("anio").isin(y0, y1))
     g = a.groupBy("id_ccaa", "destino").agg(
         F.sum(F.when(F.col("anio") == y0, F.col("metrica_activa"))).alias("_a"),
         F.sum(F.when(F.col("anio") == y1, F.col("metrica_activa"))).alias("_b"))
-    return g.select("id_ccaa", "destino", round_div(F.col("_b") - F.col("_a"), "_a", R6).alias("crecimiento"))
+    return g.select("id_ccaa", "destino", round_div(F.coalesce(F.col("_b"), F.lit(0.0)) - F.col("_a"), "_a", R6).alias("crecimiento"))
 
 
 def total_year(totals: DataFrame, year: int, choice=None) -> DataFrame:
@@ -117,7 +130,7 @@ def total_year(totals: DataFrame, year: int, choice=None) -> DataFrame:
 
 def growth_filtered(totals, foreign, y0, y1, choice=None, max_gap: int = 3) -> DataFrame:
     """Growth, blanked for the foreign metric when month coverage differs by >= max_gap."""
-    cov = period_coverage(foreign.where(F.year("fecha").isin(y0, y1)),
+    cov = period_coverage(foreign.where(year_in("fecha", (y0, y1))),
                           ["id_ccaa", F.year("fecha").alias("anio")], "fecha", "meses")
     gap = cov.groupBy("id_ccaa").agg(F.abs(
         F.coalesce(F.sum(F.when(F.col("anio") == y1, F.col("meses"))), F.lit(0))
@@ -144,9 +157,7 @@ def lodging_index(demand: DataFrame, base: int, residence=None, exclude_types=()
     if exclude_types:
         d = d.where(F.coalesce(~F.col("tipo_alojamiento").isin(*exclude_types), F.lit(True)))
     t = travellers(d, ["tipo_alojamiento", "anio"], residence)
-    base_v = F.sum(F.when(F.col("anio") == base, F.col("viajeros"))).over(
-        Window.partitionBy("tipo_alojamiento"))
-    return t.withColumn("indice_alojamiento", round_div("viajeros", base_v, R6, 100))
+    return index_to_base(t, "tipo_alojamiento", "anio", "viajeros", base, "indice_alojamiento", R6)
 
 
 def accommodation_mix(demand: DataFrame, keys=("destino", "anio"), residence=None) -> DataFrame:
@@ -183,21 +194,24 @@ def occupancy_rate(demand, capacity, keys, align=False) -> DataFrame:
     return occupancy(with_year(demand), with_year(capacity), keys, align)
 
 
+def _in_months(df: DataFrame, year: int, months) -> DataFrame:
+    return df.where(year_is("fecha", year) & F.month("fecha").isin(*months))
+
+
 def occupancy_group(demand, capacity, classes_dim: DataFrame, acc_type: str, classes, year: int,
                     months=(6, 7, 8), by=()) -> DataFrame:
-    """Occupancy for one accommodation type over regions whose fixed class is in ``classes``.
-
-    The labelled dimension is region-sized; it is used as a semi-join filter.
-    """
+    """Occupancy for one accommodation type over regions whose fixed class is in ``classes``."""
+    if not by:
+        return occupancy_kpis(demand, capacity, classes_dim, {acc_type: classes}, year, months)
     regions = classes_dim.where(F.col("clasificacion_col").isin(*classes)).select("id_ccaa")
-    sel = lambda df: (df.where(year_is("fecha", year) & F.month("fecha").isin(*months)
-                               & (F.col("tipo_alojamiento") == acc_type))
-                      .join(F.broadcast(regions), "id_ccaa", "left_semi"))
-    d, c = sel(demand), sel(capacity)
-    if by:
-        return occupancy(d, c, list(by))
-    return occupancy_total(d, c).select(F.lit(acc_type).alias("grupo"), "pernoctaciones", "plazas_dia",
-                                        "tasa_ocupacion")
+    d, c = (_in_months(x, year, months).where(F.col("tipo_alojamiento") == acc_type)
+            .join(regions, "id_ccaa", "left_semi") for x in (demand, capacity))
+    return occupancy(d, c, list(by))
+
+
+def occupancy_kpis(demand, capacity, classes_dim: DataFrame, groups: dict, year: int, months=(6, 7, 8)) -> DataFrame:
+    """One occupancy figure for each group (type -> classes), all in one pass over both facts."""
+    return occupancy_of_groups(_in_months(demand, year, months), _in_months(capacity, year, months), classes_dim, groups)
 
 
 def top5_share(totals: DataFrame, n: int = 5) -> DataFrame:

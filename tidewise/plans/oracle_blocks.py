@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from tidewise import vocab as V
-from tidewise.plans.oracle_sql import ORACLE as BASE_ORACLE
+from tidewise.plans.oracle_sql import ORACLE as BASE_ORACLE, lodging_mix
 from tidewise.plans.registry import P
 from tidewise.plans.registry_blocks import BANDS
 from tidewise.sources.bindings_sql import growth, in_list, pct, q, with_facts
@@ -41,8 +41,7 @@ ORACLE["share_within_group"] = with_facts(["fx_residents_y"], [], f"""SELECT des
     {pct(cs(f"motivo = {q(V.BUSINESS)}", 'viajes'), cs(f'motivo IN {MAINS}', 'viajes'))} AS pct_negocios
     FROM fx_residents_y WHERE alojamiento_nivel1 = 'Total' GROUP BY 1, 2""")
 # as written: every level-2-NULL row counts in the denominator, grand total included
-ORACLE["hierarchical_share"] = BASE_ORACLE["q06_lodging_mix"].replace(
-    "WHEN alojamiento_nivel2 IS NULL AND alojamiento_nivel1 <> 'Total' THEN", "WHEN alojamiento_nivel2 IS NULL THEN")
+ORACLE["hierarchical_share"] = lodging_mix("alojamiento_nivel2 IS NULL")
 _cy = P["cv_years"]
 ORACLE["seasonality_cv_pooled"] = with_facts(["fx_foreign_m"], [], f"""SELECT destino,
     ROUND(STDDEV_SAMP(v) / NULLIF(AVG(v), 0) * 100, 1) AS cv_mensual FROM (

@@ -5,8 +5,8 @@ from __future__ import annotations
 from tidewise import vocab as V
 from tidewise.plans.registry import P
 from tidewise.plans.registry_etl import FACT_OF
-from tidewise.schemas import FACT_SCHEMAS
-from tidewise.sources.bindings_sql import FACT_CTE, in_list, q, with_facts
+from tidewise.schemas import FACT_SCHEMAS, FACT_VALUE, STAGING_WIDTH
+from tidewise.sources.bindings_sql import FACT_CTE, q, with_facts
 from tidewise.sources.staging_sql import PARSE, STG, parsed_ctes, reject_pred
 
 ORACLE = {}
@@ -41,8 +41,26 @@ for _n in PARSE:
 ORACLE["load_audit"] = with_facts(_audit_facts, _audit_ctes, " UNION ALL ".join(_audit_sel))
 
 _f, _c = parsed_ctes("foreign_motives")
-ORACLE["drop_missing_rows"] = with_facts(_f, _c, f"""SELECT id_ccaa, destino, motivo, fecha FROM prs_foreign_motives
-    WHERE NOT {reject_pred('foreign_motives')} AND turistas IS NULL""")
+ORACLE["drop_missing_rows"] = with_facts(_f, _c, _clean_select("foreign_motives"))
+ORACLE["append_load"] = ORACLE["fuse_marginals"]
+
+
+def _summary(fact, cte):
+    year = "anio" if "anio" in FACT_SCHEMAS[fact].names else "CAST(year(fecha) AS INTEGER)"
+    return f"""SELECT {q(fact)} AS tabla, {year} AS anio, COUNT(*) AS filas, CAST(SUM({FACT_VALUE[fact]}) AS DOUBLE) AS total
+        FROM {cte} GROUP BY ALL"""
+
+
+ORACLE["published_facts"] = ORACLE["csv_export_facts"] = with_facts(
+    list(FACT_CTE.values()), [], " UNION ALL ".join(_summary(n, c) for n, c in FACT_CTE.items()))
+_files, _ctes, _scans = [], [], []
+for _n in PARSE:
+    _f, _c = STG[_n]
+    _files += _f
+    _ctes += _c
+    _scans.append(f"""SELECT {q(_n)} AS tabla, COUNT(*) AS filas, COUNT(NULLIF(col1, '')) AS con_primera,
+        COUNT(NULLIF(col{STAGING_WIDTH[_n]}, '')) AS con_valor FROM stg_{_n}""")
+ORACLE["staging_scan_all"] = with_facts(_files, _ctes, " UNION ALL ".join(_scans))
 
 ORACLE["table_row_counts"] = with_facts(list(FACT_CTE.values()), [], " UNION ALL ".join(
     f"SELECT {q(n)} AS tabla, COUNT(*) AS filas FROM {c}" for n, c in FACT_CTE.items()))
@@ -56,7 +74,7 @@ ORACLE["constant_column_check"] = with_facts(_f, _c, """SELECT columna, n_distin
 ORACLE["csv_staging_scan"] = with_facts(_f, _c, "SELECT " + ", ".join(
     f"NULLIF(col{i}, '') AS col{i}" for i in range(1, 6)) + " FROM stg_quarterly_spend")
 ORACLE["clean_export_roundtrip"] = with_facts(["fx_foreign_m"], [], f"""SELECT *, CAST(year(fecha) AS INTEGER) AS anio
-    FROM fx_foreign_m WHERE year(fecha) = {Y}""")
+    FROM fx_foreign_m""")
 ORACLE["dim_region_join"] = with_facts(["fx_foreign_m"], [], f"""SELECT t.id_ccaa, t.turistas, n.n_name AS destino FROM (
     SELECT id_ccaa, SUM(turistas) AS turistas FROM fx_foreign_m WHERE year(fecha) = {Y} GROUP BY 1) t
     JOIN nation n ON n.n_nationkey = t.id_ccaa""")
@@ -107,4 +125,3 @@ ORACLE["map_category_like"] = _stg_key("capacity", "col1", f"{_like('col1', V.SU
 ORACLE["map_residence"] = _stg_key("demand", "col5", f"{_like('trim(col5)', V.RESIDENCE_PATTERNS)} AS residencia")
 ORACLE["map_value_passthrough"] = _stg_key("demand", "col6",
     "CASE WHEN trim(col6) = 'Viajero' THEN 'Viajeros' ELSE trim(col6) END AS metrica")
-_ = in_list

@@ -85,15 +85,19 @@ ORACLE["m_foreign_share"] = with_facts(TF, _totals(), f"""SELECT destino, anio,
 ORACLE["m_seasonality_index"] = with_facts(TF, _season(), "SELECT destino, anio, indice_estacionalidad FROM si")
 ORACLE["m_classification"] = with_facts(TF, _classification(), """SELECT destino, anio, indice_estacionalidad,
     pct_turistas_extranjeros, clasificacion FROM cl""")
+ORACLE["m_classification_blank_as_zero"] = with_facts(TF, _classification(), f"""SELECT destino, anio, indice_estacionalidad,
+    pct_turistas_extranjeros, {_grid('COALESCE(indice_estacionalidad, 0)', 'COALESCE(pct_turistas_extranjeros, 0)')} AS clasificacion
+    FROM cl""")
 ORACLE["m_classification_fixed"] = with_facts(TF, _classification(), "SELECT * FROM clf")
-ORACLE["m_active_metric"] = with_facts(TF, _totals(), "SELECT destino, anio, total_turismo AS metrica_activa FROM mt")
+for _key, _col in (("", "total_turismo"), ("_foreign", "total_turistas_extranjeros"), ("_domestic", "total_viajes_nacionales")):
+    ORACLE[f"m_active_metric{_key}"] = with_facts(TF, _totals(), f"SELECT destino, anio, {_col} AS metrica_activa FROM mt")
 ORACLE["m_indexed"] = with_facts(TF, _totals(), f"""SELECT destino, anio, total_turismo AS metrica_activa,
     {r6('total_turismo', f'SUM(CASE WHEN anio = {BASE} THEN total_turismo END) OVER (PARTITION BY id_ccaa)', 100)}
       AS metrica_indexada FROM mt""")
 
 
 def _growth(col="total_turismo"):
-    return [("gr", f"""SELECT id_ccaa, destino, {r6(f'SUM(CASE WHEN anio = {G1} THEN {col} END) - SUM(CASE WHEN anio = {G0} THEN {col} END)',
+    return [("gr", f"""SELECT id_ccaa, destino, {r6(f'COALESCE(SUM(CASE WHEN anio = {G1} THEN {col} END), 0) - SUM(CASE WHEN anio = {G0} THEN {col} END)',
                                              f'SUM(CASE WHEN anio = {G0} THEN {col} END)')} AS crecimiento
       FROM mt WHERE anio IN ({G0}, {G1}) GROUP BY 1, 2""")]
 
@@ -109,21 +113,21 @@ ORACLE["m_growth_filtered"] = with_facts(TF, _totals() + _growth("total_turistas
     FROM gr g LEFT JOIN gap p ON g.id_ccaa = p.id_ccaa""")
 
 _TRAV = "metrica = 'Viajeros' AND residencia IS NULL"
-ORACLE["m_travellers"] = with_facts(["fx_demand_m"], [], f"""SELECT destino, tipo_alojamiento,
-    CAST(year(fecha) AS INTEGER) AS anio, CAST(SUM(valor) AS BIGINT) AS viajeros
-    FROM fx_demand_m WHERE {_TRAV} GROUP BY 1, 2, 3""")
-
-
-def _lodging_index(extra=""):
+def _lodging_index(extra="", rows=_TRAV):
     return with_facts(["fx_demand_m"], [
         ("tv", f"""SELECT tipo_alojamiento, CAST(year(fecha) AS INTEGER) AS anio, CAST(SUM(valor) AS BIGINT) AS viajeros
-          FROM fx_demand_m WHERE {_TRAV} {extra} GROUP BY 1, 2""")],
+          FROM fx_demand_m WHERE {rows} {extra} GROUP BY 1, 2""")],
         f"""SELECT tipo_alojamiento, anio, viajeros,
           {r6('viajeros', f'SUM(CASE WHEN anio = {BASE} THEN viajeros END) OVER (PARTITION BY tipo_alojamiento)', 100)}
             AS indice_alojamiento FROM tv""")
 
 
-ORACLE["m_lodging_index"] = _lodging_index()
+for _key, _res in (("", "IS NULL"), ("_national", f"= {q(V.NATIONAL)}"), ("_foreign", f"= {q(V.FOREIGN)}")):
+    _rows = f"metrica = 'Viajeros' AND residencia {_res}"
+    ORACLE[f"m_lodging_index{_key}"] = _lodging_index(rows=_rows)
+    ORACLE[f"m_travellers{_key}"] = with_facts(["fx_demand_m"], [], f"""SELECT destino, tipo_alojamiento,
+        CAST(year(fecha) AS INTEGER) AS anio, CAST(SUM(valor) AS BIGINT) AS viajeros
+        FROM fx_demand_m WHERE {_rows} GROUP BY 1, 2, 3""")
 ORACLE["m_accommodation_mix"] = with_facts(["fx_demand_m"], [
     ("tv", f"""SELECT destino, CAST(year(fecha) AS INTEGER) AS anio, tipo_alojamiento, CAST(SUM(valor) AS BIGINT) AS viajeros
       FROM fx_demand_m WHERE {_TRAV} GROUP BY 1, 2, 3""")],
@@ -146,8 +150,7 @@ ORACLE["dim_calendar"] = with_facts(["fx_capacity_m", "fx_demand_m"], [
 
 def _occ(keys, where_d="TRUE", where_c="TRUE"):
     k = ", ".join(keys)
-    kd = ", ".join(f"n.{c}" if c != "anio" else "n.anio" for c in keys)
-    on = " AND ".join(f"n.{c} = b.{c}" for c in keys)
+    on = " AND ".join(f"n.{c} IS NOT DISTINCT FROM b.{c}" for c in keys)
     return [
         ("occ_n", f"""SELECT {k}, SUM(valor) AS pernoctaciones FROM (SELECT *, CAST(year(fecha) AS INTEGER) AS anio
           FROM fx_demand_m) d WHERE metrica = 'Pernoctaciones' AND residencia IS NULL AND {where_d} GROUP BY ALL"""),
@@ -215,6 +218,12 @@ ORACLE["p3_growth_scatter"] = with_facts(TF, _classification() + _growth(), f"""
     g.crecimiento AS crecimiento_filtrado, m.total_turismo AS total_anio, f.clasificacion_col
     FROM gr g LEFT JOIN (SELECT id_ccaa, total_turismo FROM mt WHERE anio = {Y}) m ON g.id_ccaa = m.id_ccaa
     LEFT JOIN clf f ON g.id_ccaa = f.id_ccaa""")
+ORACLE["p3_growth_scatter_foreign"] = with_facts(TF, _classification() + _growth("total_turistas_extranjeros") + _GAP, f"""
+    SELECT g.destino, CASE WHEN COALESCE(p.gap, 0) >= 3 THEN NULL ELSE g.crecimiento END AS crecimiento_filtrado,
+      m.total_turistas_extranjeros AS total_anio, f.clasificacion_col
+    FROM gr g LEFT JOIN gap p ON g.id_ccaa = p.id_ccaa
+    LEFT JOIN (SELECT id_ccaa, total_turistas_extranjeros FROM mt WHERE anio = {Y}) m ON g.id_ccaa = m.id_ccaa
+    LEFT JOIN clf f ON g.id_ccaa = f.id_ccaa""")
 ORACLE["p4_lodging_index"] = _lodging_index("AND tipo_alojamiento IS DISTINCT FROM 'Albergue'")
 ORACLE["p4_lodging_mix"] = with_facts(["fx_demand_m"], [
     ("tv", f"""SELECT destino, tipo_alojamiento, CAST(SUM(valor) AS BIGINT) AS viajeros

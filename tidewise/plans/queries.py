@@ -18,7 +18,7 @@ from tidewise.operators.common import year_between, year_in, year_is
 from tidewise.operators.compare import outer_compare
 from tidewise.operators.evolution import growth_between, yoy
 from tidewise.operators.pivots import eav_pick, pivot_columns
-from tidewise.operators.seasonality import cv_pooled, monthly_share
+from tidewise.operators.seasonality import cv_sample, monthly_share
 from tidewise.operators.shares import hierarchical_share, share_within_group
 
 MAINS = list(V.MAIN_MOTIVES)
@@ -59,20 +59,21 @@ def destination_class(volume, cv_nac, cv_ext, leisure, massive_volume=20_000_000
 def q02_scorecard(trips, foreign, spend, residents, year, cv_years, level=None,
                   klass=None) -> DataFrame:
     level, klass = level or {}, klass or {}
-    t_trips = trips.where(F.col("metrica") == V.TRIPS)
-    cn = cv_pooled(t_trips.where(F.col("anio").between(*cv_years)), "id_ccaa",
-                   ["anio", "trimestre"], "valor", "cv_nac_trimestral")
-    ce = cv_pooled(foreign.where(year_between("fecha", *cv_years)), "id_ccaa", ["fecha"],
-                   "turistas", "cv_ext_mensual")
-    n = (t_trips.where(F.col("anio") == year).groupBy("id_ccaa", "destino")
-         .agg(F.sum("valor").alias("viajes_nac")))
-    e = (foreign.where(year_is("fecha", year)).groupBy("id_ccaa")
-         .agg(F.sum("turistas").alias("turistas_ext")))
-    g = eav_pick(spend.where(F.col("anio") == year), "id_ccaa", "metrica", "valor",
-                 {"gasto_ext_persona": V.SPEND_PER_PERSON, "noches_ext": DUR})
-    o = _leisure_pct(residents.where(F.col("anio") == year), "id_ccaa", "pct_ocio_nacional")
-    j = (n.join(e, "id_ccaa", "left").join(cn, "id_ccaa", "left").join(ce, "id_ccaa", "left")
-         .join(g, "id_ccaa", "left").join(o, "id_ccaa", "left"))
+    # one pass per fact: the CV of its period totals and the year's volume
+    quarters = (trips.where(F.col("metrica") == V.TRIPS).groupBy("id_ccaa", "destino", "anio", "trimestre")
+                .agg(F.sum("valor").alias("_v")))
+    domestic = quarters.groupBy("id_ccaa", "destino").agg(
+        F.sum(F.when(F.col("anio") == year, F.col("_v"))).alias("viajes_nac"),
+        cv_sample(F.when(F.col("anio").between(*cv_years), F.col("_v"))).alias("cv_nac_trimestral"))
+    months = foreign.groupBy("id_ccaa", "fecha").agg(F.sum("turistas").alias("_v"))
+    visitors = months.groupBy("id_ccaa").agg(
+        F.sum(F.when(year_is("fecha", year), F.col("_v"))).alias("turistas_ext"),
+        cv_sample(F.when(year_between("fecha", *cv_years), F.col("_v"))).alias("cv_ext_mensual"))
+    spending = eav_pick(spend.where(F.col("anio") == year), "id_ccaa", "metrica", "valor",
+                        {"gasto_ext_persona": V.SPEND_PER_PERSON, "noches_ext": DUR})
+    leisure = _leisure_pct(residents.where(F.col("anio") == year), "id_ccaa", "pct_ocio_nacional")
+    j = (domestic.where(F.col("viajes_nac").isNotNull()).join(visitors, "id_ccaa", "left")
+         .join(spending, "id_ccaa", "left").join(leisure, "id_ccaa", "left"))
     both = F.col("viajes_nac") + F.col("turistas_ext")
     vol = F.col("viajes_nac") + F.coalesce(F.col("turistas_ext"), F.lit(0))
     j = j.withColumn("_vol", vol.cast("double"))

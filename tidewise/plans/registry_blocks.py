@@ -11,9 +11,8 @@ from tidewise.operators import evolution as EV
 from tidewise.operators import pivots as PV
 from tidewise.operators import seasonality as SE
 from tidewise.operators import shares as SH
-from tidewise.operators.common import year_between
 from tidewise.plans import queries as Q
-from tidewise.plans.registry import KLASS, LEVEL, QUERIES, P, facts, register
+from tidewise.plans.registry import QUERIES, YEAR, P, facts, register, trips
 
 Y = P["last_year"]
 MAINS = list(V.MAIN_MOTIVES)
@@ -39,7 +38,7 @@ def _b1(spark, d):
 
 @register("pivot_sum_by_category")
 def _b2(spark, d):
-    (r,) = facts(spark, d, "residents")
+    (r,) = facts(spark, d, "residents", years=YEAR)
     m = r.where((F.col("alojamiento_nivel1") == V.TOTAL) & (F.col("anio") == Y))
     return PV.pivot_agg(m, "destino", "motivo", "viajes",
                         {"ocio": V.LEISURE, "negocios": V.BUSINESS, "familia": V.FAMILY, "otros": V.OTHER})
@@ -47,17 +46,16 @@ def _b2(spark, d):
 
 @register("pivot_avg_by_category")
 def _b3(spark, d):
-    (c,) = facts(spark, d, "capacity")
-    g = PV.pivot_agg(c.where(F.year("fecha") == Y), "destino", "tipo_alojamiento", "plazas",
+    (c,) = facts(spark, d, "capacity", years=YEAR)
+    g = PV.pivot_agg(c, "destino", "tipo_alojamiento", "plazas",
                      {f"plazas_{a}": t for a, t in V.ACCOMMODATION_TYPES}, "avg")
     return g.select("destino", *[F.round(f"plazas_{a}", 6).alias(f"plazas_{a}") for a, _ in V.ACCOMMODATION_TYPES])
 
 
 @register("pivot_by_year")
 def _b4(spark, d):
-    (t,) = facts(spark, d, "quarterly_spend")
     pts = (P["first_year"], P["pre_year"], P["last_year"])
-    g = PV.pivot_by_year(t.where(F.col("metrica") == V.TRIPS), "destino", "anio", "valor", pts, "viajes_")
+    g = PV.pivot_by_year(trips(spark, d, V.TRIPS, years=[(y, y) for y in pts]), "destino", "anio", "valor", pts, "viajes_")
     return g.select("destino", *[F.col(f"viajes_{p}").cast("double").alias(f"viajes_{p}") for p in pts])
 
 
@@ -81,14 +79,14 @@ def _b6(spark, d):
 @register("hierarchical_share")
 def _b7(spark, d):
     """Lodging shares with the denominator exactly as first written (grand total counted too)."""
-    (r,) = facts(spark, d, "residents")
+    (r,) = facts(spark, d, "residents", years=YEAR)
     return Q.q06_lodging_mix(r, Y, exclude_level1=())
 
 
 @register("seasonality_cv_pooled")
 def _b8(spark, d):
-    (f,) = facts(spark, d, "foreign_motives")
-    return SE.cv_pooled(f.where(year_between("fecha", *P["cv_years"])), "destino", ["fecha"], "turistas",
+    (f,) = facts(spark, d, "foreign_motives", years=[P["cv_years"]])
+    return SE.cv_pooled(f, "destino", ["fecha"], "turistas",
                         "cv_mensual")
 
 
@@ -119,7 +117,7 @@ def _b12(spark, d):
 
 @register("filter_year_range")
 def _b13(spark, d):
-    (t,) = facts(spark, d, "quarterly_spend")
+    (t,) = facts(spark, d, "quarterly_spend", years=[P["cv_years"]])
     return t.where(F.col("anio").between(*P["cv_years"]))
 
 
@@ -148,8 +146,8 @@ def _b16(spark, d):
 
 @register("coverage_flag")
 def _f1(spark, d):
-    (f,) = facts(spark, d, "foreign_motives")
-    return SE.coverage_flag(f.where(F.year("fecha") == Y), "destino", "fecha", reliable_months=11)
+    (f,) = facts(spark, d, "foreign_motives", years=YEAR)
+    return SE.coverage_flag(f, "destino", "fecha", reliable_months=11)
 
 
 @register("low_season_windows")
@@ -176,4 +174,3 @@ def _band(key, col, name):
 register("pressure_band")(_band("pressure", "presion_comercial", "banda_presion"))
 register("stay_band")(_band("stay", "estancia_media", "banda_estancia"))
 register("dependence_band")(_band("dependence", "pct_extranjero", "banda_dependencia"))
-_ = (LEVEL, KLASS)

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tidewise.functions.parse import (empty_to_null, is_missing, map_patterns, parse_number_es,
                                       parse_period, split_code_label)
 from tidewise import vocab as V
 from tidewise.operators import quality as QL
 from tidewise.plans import etl as E
-from tidewise.plans.registry import P, facts, register
-from tidewise.schemas import FACT_SCHEMAS, FACT_VALUE
+from tidewise.plans import queries as Q
+from tidewise.plans.registry import P, YEAR, facts, register
+from tidewise.schemas import FACT_SCHEMAS, FACT_VALUE, STAGING_ENCODING, STAGING_WIDTH
 from tidewise.session import scratch_path
 from tidewise.sources import bindings as B
 from tidewise.sources import sinks, staging as S
@@ -35,9 +38,17 @@ def staged(spark, d, name):
     return S.EXTRACTS[name](spark, d)
 
 
+def _publish_staging(spark, d, name):
+    """Write an extract as files in its own encoding; returns the folder."""
+    path = scratch_path(spark, f"stg-{name}")
+    S.write_staging(staged(spark, d, name), path, STAGING_ENCODING[name])
+    return path
+
+
 def _etl(name):
     def run(spark, d):
-        return E.load(PARSERS[name](staged(spark, d, name)), FACT_OF[name])
+        return E.load_file(spark, _publish_staging(spark, d, name), name, FACT_OF[name], PARSERS[name],
+                           scratch_path(spark, f"fact-{name}"))
     return run
 
 
@@ -45,6 +56,27 @@ for _n in PARSERS:
     register(f"etl_{_n}")(_etl(_n))
 
 
+@register("append_load")
+def _append(spark, d):
+    """Both residents extracts appended to one published fact."""
+    fact = scratch_path(spark, "fact-residents")
+    for name in ("residents_motives", "residents_lodging"):
+        out = E.load_file(spark, _publish_staging(spark, d, name), name, "residents", PARSERS[name], fact)
+    return out
+
+
+@register("staging_scan_all")
+def _scan_all(spark, d):
+    """Rows, and filled fields of the first and last column, of all seven extracts read from their files."""
+    parts = []
+    for name in PARSERS:
+        n = STAGING_WIDTH[name]
+        stg = S.read_staging(spark, _publish_staging(spark, d, name), n, STAGING_ENCODING[name])
+        parts.append(stg.agg(F.count("*").alias("filas"), F.count("col1").alias("con_primera"),
+                             F.count(f"col{n}").alias("con_valor")).select(F.lit(name).alias("tabla"), "*"))
+    return reduce(DataFrame.unionByName, parts)
+
+
 @register("fuse_marginals")
 def _fuse(spark, d):
     mot = E.load(E.parse_residents_motives(staged(spark, d, "residents_motives")), "residents")
@@ -55,17 +87,12 @@ def _fuse(spark, d):
 
 @register("load_audit")
 def _audit(spark, d):
-    stages = {}
-    for n, parse in PARSERS.items():
-        parsed, rejects = parse(staged(spark, d, n))
-        stages[n] = (parsed, rejects, FACT_VALUE[FACT_OF[n]])
-    return QL.load_audit(stages)
+    return QL.load_audit({n: (parse(staged(spark, d, n)).tagged, FACT_VALUE[FACT_OF[n]]) for n, parse in PARSERS.items()})
 
 
 @register("drop_missing_rows")
 def _dropped(spark, d):
-    parsed, _ = E.parse_foreign_motives(staged(spark, d, "foreign_motives"))
-    return parsed.where(F.col("turistas").isNull()).drop("turistas")
+    return QL.drop_missing_rows(E.parse_foreign_motives(staged(spark, d, "foreign_motives")).clean, "turistas")
 
 
 @register("table_row_counts")
@@ -93,16 +120,58 @@ def _scan(spark, d):
 def _export(spark, d):
     path = scratch_path(spark, "clean-foreign")
     sinks.write_clean(B.fx_foreign_m(spark, d), path)
-    return sinks.read_clean(spark, path).where(F.col("anio") == P["last_year"])
+    return sinks.read_clean(spark, path)
+
+
+def _summary(tables: dict) -> DataFrame:
+    """Rows and sum of the value column by table and year."""
+    parts = []
+    for name, df in tables.items():
+        year = F.col("anio") if "anio" in df.columns else F.year("fecha")
+        parts.append(df.groupBy(year.alias("anio")).agg(
+            F.count("*").alias("filas"), F.sum(F.col(FACT_VALUE[name]).cast("decimal(20,2)")).cast("double").alias("total"))
+            .select(F.lit(name).alias("tabla"), "anio", "filas", "total"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+@register("published_facts")
+def _published(spark, d):
+    """All six facts conformed, published by year and read back."""
+    out = {}
+    for name, fact in B.FACTS.items():
+        path = scratch_path(spark, f"fact-{name}")
+        sinks.write_clean(sinks.conform(fact(spark, d), FACT_SCHEMAS[name]), path)
+        out[name] = sinks.read_clean(spark, path, FACT_SCHEMAS[name])
+    return _summary(out)
+
+
+@register("csv_export_facts")
+def _csv_export(spark, d):
+    """All six facts exported as text and read back with their schemas."""
+    out = {}
+    for name, fact in B.FACTS.items():
+        path = scratch_path(spark, f"csv-{name}")
+        sinks.write_csv(sinks.conform(fact(spark, d), FACT_SCHEMAS[name]), path)
+        out[name] = sinks.read_csv(spark, path, FACT_SCHEMAS[name])
+    return _summary(out)
+
+
+@register("q05_published")
+def _q05_published(spark, d):
+    """Foreign motive shares over the published fact: the year filter prunes its partitions."""
+    path = scratch_path(spark, "fact-foreign")
+    sinks.write_clean(B.fx_foreign_m(spark, d), path)
+    y = P["last_year"]
+    return Q.q05_foreign_motive_share(sinks.read_clean(spark, path, FACT_SCHEMAS["foreign_motives"], (y, y)), y)
 
 
 @register("dim_region_join")
 def _dim(spark, d):
     path = scratch_path(spark, "dim-region")
     region_dim(spark, d).write.mode("overwrite").option("header", True).option("quoteAll", True).csv(path)
-    dim = F.broadcast(read_region_csv(spark, path))
-    (f,) = facts(spark, d, "foreign_motives")
-    tot = f.where(F.year("fecha") == P["last_year"]).groupBy("id_ccaa").agg(F.sum("turistas").alias("turistas"))
+    dim = read_region_csv(spark, path)
+    (f,) = facts(spark, d, "foreign_motives", years=YEAR)
+    tot = f.groupBy("id_ccaa").agg(F.sum("turistas").alias("turistas"))
     return tot.join(dim, "id_ccaa")
 
 
@@ -159,5 +228,3 @@ register("map_residence")(_parse_key("demand", "col5", lambda c: [
     map_patterns(c, V.RESIDENCE_PATTERNS, trim=True).alias("residencia")]))
 register("map_value_passthrough")(_parse_key("demand", "col6", lambda c: [
     F.when(F.trim(c) == "Viajero", F.lit(V.TRAVELLERS)).otherwise(F.trim(c)).alias("metrica")]))
-
-_ = T  # types re-exported for callers building schemas

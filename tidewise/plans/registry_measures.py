@@ -7,27 +7,30 @@ from pyspark.sql import functions as F
 
 from tidewise import vocab as V
 from tidewise.plans import measures as M
-from tidewise.plans.registry import P, facts, register
+from tidewise.plans.registry import P, YEAR, facts, register, trips
 
 GRID = {"index_cut": 0.17, "share_cut": 0.75}
+CLASS_COLUMNS = ["destino", "anio", "indice_estacionalidad", "pct_turistas_extranjeros", "clasificacion"]
 Y, BASE = P["last_year"], P["base_year"]
 G0, G1 = P["pre_year"], P["last_year"]
+POINTS = [(G0, G0), (G1, G1)]
 HOTEL_GROUP = ("Hotelero", (V.GRID_CLASSES[0],))
 RURAL_GROUP = ("Turismo rural", (V.GRID_CLASSES[3], V.GRID_CLASSES[2]))
 CAMPING_GROUP = ("Camping", (V.GRID_CLASSES[3], V.GRID_CLASSES[2]))
 
 
-def _tf(spark, d):
-    return facts(spark, d, "quarterly_spend", "foreign_motives")
+def _tf(spark, d, years=None):
+    (f,) = facts(spark, d, "foreign_motives", years=years)
+    return trips(spark, d, V.TRIPS, years=years), f
 
 
-def _totals(spark, d, quarterly=False):
-    t, f = _tf(spark, d)
+def _totals(spark, d, quarterly=False, years=None):
+    t, f = _tf(spark, d, years)
     return M.tourism_totals(t, f, quarterly)
 
 
 def _classes(spark, d):
-    t, f = _tf(spark, d)
+    t, f = _tf(spark, d, YEAR)
     return M.classification_fixed(t, f, Y, **GRID)
 
 
@@ -40,8 +43,7 @@ def _m1(spark, d):
 
 @register("m_domestic_total")
 def _m2(spark, d):
-    (t,) = facts(spark, d, "quarterly_spend")
-    return (t.where(F.col("metrica") == V.TRIPS).groupBy("destino", "anio")
+    return (trips(spark, d, V.TRIPS).groupBy("destino", "anio")
             .agg(F.sum("valor").cast("double").alias("total_viajes_nacionales")))
 
 
@@ -74,7 +76,13 @@ def _m7(spark, d):
 @register("m_classification")
 def _m8(spark, d):
     t, f = _tf(spark, d)
-    return M.classification(t, f, **GRID).drop("id_ccaa")
+    return M.classification(t, f, **GRID).select(CLASS_COLUMNS)
+
+
+@register("m_classification_blank_as_zero")
+def _m8b(spark, d):
+    t, f = _tf(spark, d)
+    return M.classification(t, f, **GRID, blank_as_zero=True).select(CLASS_COLUMNS)
 
 
 @register("m_classification_fixed")
@@ -82,9 +90,13 @@ def _m9(spark, d):
     return _classes(spark, d)
 
 
-@register("m_active_metric")
-def _m10(spark, d):
-    return M.active_metric(_totals(spark, d)).select("destino", "anio", "metrica_activa")
+def _active(choice):
+    return lambda spark, d: M.active_metric(_totals(spark, d), choice).select("destino", "anio", "metrica_activa")
+
+
+register("m_active_metric")(_active(None))
+register("m_active_metric_foreign")(_active(V.METRIC_CHOICES[1]))
+register("m_active_metric_domestic")(_active(V.METRIC_CHOICES[2]))
 
 
 @register("m_indexed")
@@ -94,30 +106,40 @@ def _m11(spark, d):
 
 @register("m_growth")
 def _m12(spark, d):
-    return M.growth(_totals(spark, d), G0, G1).drop("id_ccaa")
+    return M.growth(_totals(spark, d, years=POINTS), G0, G1).drop("id_ccaa")
 
 
 @register("m_total_year")
 def _m13(spark, d):
-    return M.total_year(_totals(spark, d), Y).drop("id_ccaa")
+    return M.total_year(_totals(spark, d, years=YEAR), Y).drop("id_ccaa")
 
 
 @register("m_growth_filtered")
 def _m14(spark, d):
-    t, f = _tf(spark, d)
+    t, f = _tf(spark, d, POINTS)
     return M.growth_filtered(M.tourism_totals(t, f), f, G0, G1, V.METRIC_CHOICES[1]).drop("id_ccaa")
 
 
-@register("m_travellers")
-def _m15(spark, d):
-    (m,) = facts(spark, d, "demand")
-    return M.travellers(M.with_year(m), ["destino", "tipo_alojamiento", "anio"])
+RESIDENCES = {"": None, "_national": V.NATIONAL, "_foreign": V.FOREIGN}
 
 
-@register("m_lodging_index")
-def _m16(spark, d):
-    (m,) = facts(spark, d, "demand")
-    return M.lodging_index(m, BASE)
+def _travellers(residence):
+    def run(spark, d):
+        (m,) = facts(spark, d, "demand")
+        return M.travellers(M.with_year(m), ["destino", "tipo_alojamiento", "anio"], residence)
+    return run
+
+
+def _lodging_index(residence):
+    def run(spark, d):
+        (m,) = facts(spark, d, "demand")
+        return M.lodging_index(m, BASE, residence)
+    return run
+
+
+for _suffix, _residence in RESIDENCES.items():
+    register(f"m_travellers{_suffix}")(_travellers(_residence))
+    register(f"m_lodging_index{_suffix}")(_lodging_index(_residence))
 
 
 @register("m_accommodation_mix")
@@ -128,7 +150,7 @@ def _m17(spark, d):
 
 @register("m_non_market_share")
 def _m18(spark, d):
-    (r,) = facts(spark, d, "residents")
+    (r,) = facts(spark, d, "residents", years=YEAR)
     return M.non_market_share(r, Y)
 
 
@@ -146,8 +168,7 @@ def _m20(spark, d):
 
 @register("m_occupancy_group")
 def _m21(spark, d):
-    c, m = facts(spark, d, "capacity", "demand")
-    return M.occupancy_group(m, c, _classes(spark, d), *HOTEL_GROUP, Y)
+    return _group_occ(spark, d, HOTEL_GROUP)
 
 
 # ---- dashboard page datasets -------------------------------------------------------
@@ -161,50 +182,51 @@ def _p1(spark, d):
 
 @register("p1_quarter_heatmap")
 def _p2(spark, d):
-    q = M.quarter_share(_totals(spark, d, True))
-    return q.where(F.col("anio") == Y).select("destino", "trimestre", "pct_trimestral")
+    return M.quarter_share(_totals(spark, d, True, YEAR)).select("destino", "trimestre", "pct_trimestral")
 
 
 @register("p1_kpis")
 def _p3(spark, d):
-    t = _totals(spark, d).where(F.col("anio") == Y)
+    t = _totals(spark, d, years=YEAR)
     k = t.groupBy("anio").agg(F.sum("total_viajes_nacionales").alias("total_viajes_nacionales"),
                               F.sum("total_turistas_extranjeros").alias("total_turistas_extranjeros"))
-    return k.join(M.top5_share(_totals(spark, d)), "anio", "left")
+    return k.join(M.top5_share(t), "anio", "left")
 
 
 @register("p2_scatter")
 def _p4(spark, d):
-    t, f = _tf(spark, d)
-    c = M.classification(t, f, **GRID).where(F.col("anio") == Y)
-    v = M.tourism_totals(t, f).where(F.col("anio") == Y).select("id_ccaa", "total_turismo")
-    return (c.join(v, "id_ccaa", "left").join(_classes(spark, d).drop("destino"), "id_ccaa", "left")
-            .select("destino", "indice_estacionalidad", "pct_turistas_extranjeros", "total_turismo",
-                    "clasificacion_col"))
+    t, f = _tf(spark, d, YEAR)
+    return M.classification_of_year(t, f, Y, **GRID).select(
+        "destino", "indice_estacionalidad", "pct_turistas_extranjeros", "total_turismo",
+        F.col("clasificacion").alias("clasificacion_col"))
 
 
 @register("p2_table")
 def _p5(spark, d):
-    t, f = _tf(spark, d)
-    c = M.classification(t, f, **GRID).where(F.col("anio") == Y)
-    return c.select("destino", "clasificacion", "pct_turistas_extranjeros")
+    t, f = _tf(spark, d, YEAR)
+    return M.classification_of_year(t, f, Y, **GRID).select("destino", "clasificacion", "pct_turistas_extranjeros")
 
 
 @register("p3_group_evolution")
 def _p6(spark, d):
-    t = _totals(spark, d).where(F.col("anio").between(*P["evo_years"]))
+    t = _totals(spark, d, years=[P["evo_years"]])
     j = t.join(_classes(spark, d).drop("destino"), "id_ccaa")
     return j.groupBy("clasificacion_col", "anio").agg(F.sum("total_turismo").alias("volumen"))
 
 
-@register("p3_growth_scatter")
-def _p7(spark, d):
-    t, f = _tf(spark, d)
-    tot = M.tourism_totals(t, f)
-    g = M.growth_filtered(tot, f, G0, G1)
-    v = M.total_year(tot, Y).drop("destino")
-    return (g.join(v, "id_ccaa", "left").join(_classes(spark, d).drop("destino"), "id_ccaa", "left")
-            .select("destino", "crecimiento_filtrado", "total_anio", "clasificacion_col"))
+def _growth_scatter(choice):
+    def run(spark, d):
+        t, f = _tf(spark, d, POINTS)
+        tot = M.tourism_totals(t, f)
+        g = M.growth_filtered(tot, f, G0, G1, choice)
+        v = M.total_year(tot, Y, choice).drop("destino")
+        return (g.join(v, "id_ccaa", "left").join(_classes(spark, d).drop("destino"), "id_ccaa", "left")
+                .select("destino", "crecimiento_filtrado", "total_anio", "clasificacion_col"))
+    return run
+
+
+register("p3_growth_scatter")(_growth_scatter(None))
+register("p3_growth_scatter_foreign")(_growth_scatter(V.METRIC_CHOICES[1]))
 
 
 @register("p4_lodging_index")
@@ -215,12 +237,12 @@ def _p8(spark, d):
 
 @register("p4_lodging_mix")
 def _p9(spark, d):
-    (m,) = facts(spark, d, "demand")
-    return M.accommodation_mix(m.where(F.year("fecha") == Y), keys=("destino",))
+    (m,) = facts(spark, d, "demand", years=YEAR)
+    return M.accommodation_mix(m, keys=("destino",))
 
 
 def _group_occ(spark, d, group, by=()):
-    c, m = facts(spark, d, "capacity", "demand")
+    c, m = facts(spark, d, "capacity", "demand", years=YEAR)
     return M.occupancy_group(m, c, _classes(spark, d), *group, Y, by=by)
 
 
@@ -236,4 +258,5 @@ def _p11(spark, d):
 
 @register("p5_kpis")
 def _p12(spark, d):
-    return _group_occ(spark, d, HOTEL_GROUP).unionByName(_group_occ(spark, d, RURAL_GROUP))
+    c, m = facts(spark, d, "capacity", "demand", years=YEAR)
+    return M.occupancy_kpis(m, c, _classes(spark, d), dict([HOTEL_GROUP, RURAL_GROUP]), Y)

@@ -2,8 +2,9 @@
 
 The statistical extracts themselves are not available, so each fact is derived
 from the order/lineitem tables with the same grain and vocabulary (see
-FIXTURES.md section 3). Every binding is a lazy DataFrame whose work grows with
-the input tables; the only broadcast is the region dimension.
+FIXTURES.md section 3). Every binding is a lazy DataFrame over all rows of its tables;
+``years``, a list of (first, last) ranges, compares the raw date column, so that the
+bounds reach the scan.
 
 Year mapping used by the registered queries: the extracts' 2016, 2019 and 2024
 become 1995, 1997 and 2000 (see ``PARAMS``).
@@ -11,13 +12,15 @@ become 1995, 1997 and 2000 (see ``PARAMS``).
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewise import vocab as V
 from tidewise.functions.ratios import round_div_decimal
 from tidewise.schemas import MONEY
-from tidewise.sources.tables import region_dim, table
+from tidewise.sources.tables import in_years, region_dim, table
 
 # Parameters of the registered queries on the bound tables.
 PARAMS = {
@@ -26,8 +29,6 @@ PARAMS = {
     "focus": ("NATION_2", "NATION_3", "NATION_5", "NATION_7", "NATION_11",
               "NATION_13", "NATION_17", "NATION_19", "NATION_23"),
 }
-DOMESTIC_DROPPED = (0, 1)     # regions absent from the domestic facts
-FOREIGN_DROPPED = (23, 24)    # regions absent from the foreign facts
 
 PRIORITY_MOTIVE = (("1-URGENT", V.LEISURE), ("2-HIGH", V.BUSINESS), ("3-MEDIUM", V.FAMILY),
                    ("4-NOT SPECIFIED", "Motivo no especificado"), ("5-LOW", V.OTHER))
@@ -51,37 +52,44 @@ def _map(c, pairs):
     return out
 
 
-def _suppressed(id_col, fecha):
-    """Deterministic 'confidential cell' rule: removes 1-2 months per region-year."""
-    return ((id_col * 31 + F.month(fecha) * 7 + F.year(fecha)) % 11) == 0
-
-
 def _with_region(spark, sf_dir, df):
     return df.join(region_dim(spark, sf_dir), "id_ccaa")
 
 
-def fx_trips_q(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Quarterly domestic fact (metric long format): trips, total spend, mean stay."""
-    per_order = (table(spark, sf_dir, "lineitem", "l_orderkey", "l_quantity")
-                 .groupBy("l_orderkey")
-                 .agg(F.sum("l_quantity").cast("bigint").alias("qty"), F.count("*").alias("nl")))
-    o = table(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_totalprice", "o_orderdate")
-    c = (table(spark, sf_dir, "customer", "c_custkey", "c_nationkey")
-         .where(~F.col("c_nationkey").isin(*DOMESTIC_DROPPED)))
+def _orders_by_region(spark, sf_dir, years, *cols):
+    """Orders with their customer's region, restricted to ``years`` in the scan."""
+    o = in_years(table(spark, sf_dir, "orders", "o_custkey", "o_orderdate",
+                       *[c for c in cols if c != "o_orderdate"]), "o_orderdate", years)
+    c = table(spark, sf_dir, "customer", "c_custkey", "c_nationkey")
+    return o.join(c, o.o_custkey == c.c_custkey)
+
+
+def fx_trips_q(spark: SparkSession, sf_dir: str, years=None, metrics=V.DOMESTIC_METRICS) -> DataFrame:
+    """Quarterly domestic fact (metric long format): trips, total spend, mean stay.
+
+    One branch per source: trips and spend come from the orders alone, the stay also reads
+    their lines. A branch without a wanted metric is not built, and a later filter
+    on ``metrica`` prunes the branch of another metric.
+    """
     d = F.to_date("o_orderdate")
-    agg = (o.join(c, o.o_custkey == c.c_custkey)
-           .join(per_order, o.o_orderkey == per_order.l_orderkey, "left")
-           .groupBy(F.col("c_nationkey").cast("int").alias("id_ccaa"), F.year(d).alias("anio"),
-                    F.quarter(d).alias("trimestre"))
-           .agg(F.count("*").alias("viajes"),
-                F.sum(F.col("o_totalprice").cast(MONEY)).alias("spend"),
-                F.sum("qty").alias("qty"), F.sum("nl").alias("nl")))
-    rows = F.array(
-        F.struct(F.lit(V.TRIPS).alias("metrica"), F.col("viajes").cast(MONEY).alias("valor")),
-        F.struct(F.lit(V.SPEND_TOTAL).alias("metrica"),
-                 round_div_decimal("spend", F.lit(1000), 2).alias("valor")),
-        F.struct(F.lit(DURATION).alias("metrica"), round_div_decimal("qty", "nl", 2).alias("valor")))
-    long = agg.select("id_ccaa", "anio", "trimestre", F.inline(rows))
+    keys = [F.col("c_nationkey").cast("int").alias("id_ccaa"), F.year(d).alias("anio"), F.quarter(d).alias("trimestre")]
+    branches = []
+    if V.TRIPS in metrics:
+        trips = _orders_by_region(spark, sf_dir, years).groupBy(*keys).agg(F.count("*").alias("n"))
+        branches.append((V.TRIPS, trips.withColumn("valor", F.col("n").cast(MONEY))))
+    if V.SPEND_TOTAL in metrics:
+        spend = _orders_by_region(spark, sf_dir, years, "o_totalprice").groupBy(*keys).agg(
+            F.sum(F.col("o_totalprice").cast(MONEY)).alias("amount"))
+        branches.append((V.SPEND_TOTAL, spend.withColumn("valor", round_div_decimal("amount", F.lit(1000), 2))))
+    if DURATION in metrics:
+        per_order = (table(spark, sf_dir, "lineitem", "l_orderkey", "l_quantity").groupBy("l_orderkey")
+                     .agg(F.sum(F.col("l_quantity").cast(MONEY)).alias("qty"), F.count("*").alias("nl")))
+        o = _orders_by_region(spark, sf_dir, years, "o_orderkey")
+        stay = o.join(per_order, o.o_orderkey == per_order.l_orderkey).groupBy(*keys).agg(
+            F.sum("qty").alias("qty"), F.sum("nl").alias("nl"))
+        branches.append((DURATION, stay.withColumn("valor", round_div_decimal("qty", "nl", 2))))
+    long = reduce(DataFrame.unionByName, [df.select("id_ccaa", F.lit(m).alias("metrica"), "anio", "trimestre", "valor")
+                                          for m, df in branches])
     return (_with_region(spark, sf_dir, long)
             .select("id_ccaa", "destino", "metrica", "anio", "trimestre",
                     F.make_date("anio", (F.col("trimestre") - 1) * 3 + 1, F.lit(1)).alias("fecha"),
@@ -89,35 +97,30 @@ def fx_trips_q(spark: SparkSession, sf_dir: str) -> DataFrame:
             .where(F.col("valor").isNotNull()))
 
 
-def _lines_by_supplier(spark, sf_dir, *cols):
-    li = table(spark, sf_dir, "lineitem", "l_suppkey", *cols)
-    s = (table(spark, sf_dir, "supplier", "s_suppkey", "s_nationkey")
-         .where(~F.col("s_nationkey").isin(*FOREIGN_DROPPED)))
+def _lines_by_supplier(spark, sf_dir, years, *cols):
+    li = in_years(table(spark, sf_dir, "lineitem", "l_suppkey", "l_shipdate", *cols), "l_shipdate", years)
+    s = table(spark, sf_dir, "supplier", "s_suppkey", "s_nationkey")
     return li.join(s, li.l_suppkey == s.s_suppkey)
 
 
-def fx_foreign_m(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Monthly foreign visitors by motive, with suppressed (absent) months."""
-    j = _lines_by_supplier(spark, sf_dir, "l_returnflag", "l_shipdate")
-    fecha = F.trunc(F.to_date("l_shipdate"), "month")
-    idc = F.col("s_nationkey").cast("int")
-    keep = ~(_suppressed(idc, fecha)
-             | ((F.year(fecha) == 1997) & (F.month(fecha) <= 4) & idc.isin(5, 6)))
-    agg = (j.where(keep)
-           .groupBy(idc.alias("id_ccaa"), _map(F.col("l_returnflag"), FLAG_FOREIGN_MOTIVE).alias("motivo"),
-                    fecha.alias("fecha"))
+def fx_foreign_m(spark: SparkSession, sf_dir: str, years=None) -> DataFrame:
+    """Monthly foreign visitors by motive."""
+    j = _lines_by_supplier(spark, sf_dir, years, "l_returnflag")
+    agg = (j.groupBy(F.col("s_nationkey").cast("int").alias("id_ccaa"),
+                     _map(F.col("l_returnflag"), FLAG_FOREIGN_MOTIVE).alias("motivo"),
+                     F.trunc(F.to_date("l_shipdate"), "month").alias("fecha"))
            .agg(F.count("*").alias("turistas")))
     return _with_region(spark, sf_dir, agg).select("id_ccaa", "destino", "motivo", "fecha", "turistas")
 
 
-def fx_spend_y(spark: SparkSession, sf_dir: str) -> DataFrame:
+def fx_spend_y(spark: SparkSession, sf_dir: str, years=None) -> DataFrame:
     """Annual foreign spend per person and mean stay (metric long format)."""
-    j = _lines_by_supplier(spark, sf_dir, "l_quantity", "l_extendedprice", "l_shipdate")
+    j = _lines_by_supplier(spark, sf_dir, years, "l_quantity", "l_extendedprice")
     agg = (j.groupBy(F.col("s_nationkey").cast("int").alias("id_ccaa"),
                      F.year(F.to_date("l_shipdate")).alias("anio"))
            .agg(F.count("*").alias("n"),
                 F.sum(F.col("l_extendedprice").cast(MONEY)).alias("amount"),
-                F.sum("l_quantity").cast("bigint").alias("qty")))
+                F.sum(F.col("l_quantity").cast(MONEY)).alias("qty")))
     rows = F.array(
         F.struct(F.lit(V.SPEND_PER_PERSON).alias("metrica"),
                  round_div_decimal("amount", "n", 2).alias("valor")),
@@ -128,16 +131,9 @@ def fx_spend_y(spark: SparkSession, sf_dir: str) -> DataFrame:
             .where(F.col("valor").isNotNull()))
 
 
-def _domestic_orders(spark, sf_dir, *cols):
-    o = table(spark, sf_dir, "orders", "o_custkey", *cols)
-    c = (table(spark, sf_dir, "customer", "c_custkey", "c_nationkey")
-         .where(~F.col("c_nationkey").isin(*DOMESTIC_DROPPED)))
-    return o.join(c, o.o_custkey == c.c_custkey)
-
-
-def fx_residents_y(spark: SparkSession, sf_dir: str) -> DataFrame:
+def fx_residents_y(spark: SparkSession, sf_dir: str, years=None) -> DataFrame:
     """Annual domestic trips: motive rows (level 1 'Total') fused with lodging rows."""
-    oc = _domestic_orders(spark, sf_dir, "o_orderpriority", "o_orderstatus", "o_orderdate")
+    oc = _orders_by_region(spark, sf_dir, years, "o_orderpriority", "o_orderstatus")
     idc = F.col("c_nationkey").cast("int").alias("id_ccaa")
     anio = F.year(F.to_date("o_orderdate")).alias("anio")
     sub = F.when(F.col("o_orderpriority") == "1-URGENT",
@@ -148,16 +144,16 @@ def fx_residents_y(spark: SparkSession, sf_dir: str) -> DataFrame:
                .groupBy("id_ccaa", "anio", "motivo").agg(F.count("*").alias("viajes"))
                .select("id_ccaa", "motivo", F.lit(V.TOTAL).alias("alojamiento_nivel1"),
                        F.lit(None).cast("string").alias("alojamiento_nivel2"), "anio", "viajes"))
-    lodging = _lodging_lines(spark, sf_dir)
+    lodging = _lodging_lines(spark, sf_dir, years=years)
     fused = motives.unionByName(lodging.where(F.col("alojamiento_nivel1") != V.TOTAL))
     return _with_region(spark, sf_dir, fused).select(
         "id_ccaa", "destino", "motivo", "alojamiento_nivel1", "alojamiento_nivel2", "anio", "viajes")
 
 
-def _lodging_lines(spark, sf_dir, with_total: bool = False) -> DataFrame:
+def _lodging_lines(spark, sf_dir, with_total: bool = False, years=None) -> DataFrame:
     """Lodging marginal: level-2 rows, level-1 subtotals (level 2 NULL), optional grand total."""
     li = table(spark, sf_dir, "lineitem", "l_orderkey", "l_partkey")
-    oc = _domestic_orders(spark, sf_dir, "o_orderkey", "o_orderdate")
+    oc = _orders_by_region(spark, sf_dir, years, "o_orderkey")
     p = table(spark, sf_dir, "part", "p_partkey", "p_type")
     j = li.join(oc, li.l_orderkey == oc.o_orderkey).join(p, li.l_partkey == p.p_partkey)
     l1 = F.when(F.col("p_type").isin(*MARKET_PTYPES), F.lit(V.MARKET)).otherwise(F.lit(V.NON_MARKET))
@@ -173,16 +169,17 @@ def _lodging_lines(spark, sf_dir, with_total: bool = False) -> DataFrame:
                     F.col("l2").alias("alojamiento_nivel2"), "anio", "viajes"))
 
 
-def _lines_full(spark, sf_dir, *cols):
-    li = table(spark, sf_dir, "lineitem", "l_orderkey", "l_suppkey", "l_partkey", *cols)
+def _lines_full(spark, sf_dir, years, *cols):
+    li = in_years(table(spark, sf_dir, "lineitem", "l_orderkey", "l_suppkey", "l_partkey", "l_shipdate", *cols),
+                  "l_shipdate", years)
     s = table(spark, sf_dir, "supplier", "s_suppkey", "s_nationkey")
     p = table(spark, sf_dir, "part", "p_partkey", "p_type")
     return (li.join(s, li.l_suppkey == s.s_suppkey).join(p, li.l_partkey == p.p_partkey))
 
 
-def fx_capacity_m(spark: SparkSession, sf_dir: str) -> DataFrame:
+def fx_capacity_m(spark: SparkSession, sf_dir: str, years=None) -> DataFrame:
     """Monthly bed capacity by accommodation type (distinct parts shipped)."""
-    j = _lines_full(spark, sf_dir, "l_shipdate")
+    j = _lines_full(spark, sf_dir, years)
     agg = (j.groupBy(F.col("s_nationkey").cast("int").alias("id_ccaa"),
                      _map(F.col("p_type"), PTYPE_ACCOMMODATION).alias("tipo_alojamiento"),
                      F.trunc(F.to_date("l_shipdate"), "month").alias("fecha"))
@@ -191,22 +188,24 @@ def fx_capacity_m(spark: SparkSession, sf_dir: str) -> DataFrame:
         "id_ccaa", "destino", "tipo_alojamiento", "fecha", "plazas")
 
 
-def fx_demand_m(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Monthly travellers and nights by type and residence, plus total rows (residence NULL)."""
-    j = _lines_full(spark, sf_dir, "l_quantity", "l_shipdate")
+def fx_demand_m(spark: SparkSession, sf_dir: str, years=None) -> DataFrame:
+    """Monthly travellers and nights by type and residence, plus total rows (residence NULL).
+
+    An order has one customer, so inside a region it has one residence: distinct orders of the
+    two residences add up, and only the cells (not the lines) are doubled for the totals.
+    """
+    j = _lines_full(spark, sf_dir, years, "l_quantity")
     o = table(spark, sf_dir, "orders", "o_orderkey", "o_custkey")
     c = table(spark, sf_dir, "customer", "c_custkey", "c_nationkey")
     j = j.join(o, j.l_orderkey == o.o_orderkey).join(c, o.o_custkey == c.c_custkey)
     res = F.when(F.col("c_nationkey") == F.col("s_nationkey"), F.lit(V.NATIONAL)).otherwise(F.lit(V.FOREIGN))
-    cells = j.select(F.col("s_nationkey").cast("int").alias("id_ccaa"),
-                     _map(F.col("p_type"), PTYPE_ACCOMMODATION).alias("tipo_alojamiento"),
-                     F.trunc(F.to_date("l_shipdate"), "month").alias("fecha"),
-                     "l_orderkey", "l_quantity",
-                     F.explode(F.array(res, F.lit(None).cast("string"))).alias("residencia"))
+    parts = (j.groupBy(F.col("s_nationkey").cast("int").alias("id_ccaa"),
+                       _map(F.col("p_type"), PTYPE_ACCOMMODATION).alias("tipo_alojamiento"),
+                       F.trunc(F.to_date("l_shipdate"), "month").alias("fecha"), res.alias("_res"))
+             .agg(F.count_distinct("l_orderkey").alias("_orders"), F.sum(F.col("l_quantity").cast(MONEY)).alias("_qty")))
+    cells = parts.withColumn("residencia", F.explode(F.array("_res", F.lit(None).cast("string"))))
     agg = (cells.groupBy("id_ccaa", "tipo_alojamiento", "residencia", "fecha")
-           .agg(F.count_distinct("l_orderkey").alias("viajeros"),
-                F.sum("l_quantity").cast("bigint").alias("noches"))
-           .where(~(F.col("residencia").isNotNull() & _suppressed(F.col("id_ccaa"), F.col("fecha")))))
+           .agg(F.sum("_orders").alias("viajeros"), F.sum("_qty").cast("bigint").alias("noches")))
     long = agg.select("id_ccaa", "tipo_alojamiento", "residencia", "fecha", F.inline(F.array(
         F.struct(F.lit(V.TRAVELLERS).alias("metrica"), F.col("viajeros").alias("valor")),
         F.struct(F.lit(V.NIGHTS).alias("metrica"), F.col("noches").alias("valor")))))

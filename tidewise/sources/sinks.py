@@ -12,17 +12,33 @@ def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
     return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
 
 
-def write_clean(df: DataFrame, path: str, partition_col: str = "anio") -> None:
+def _by_year(df: DataFrame) -> DataFrame:
+    return df if "anio" in df.columns else df.withColumn("anio", F.year("fecha"))
+
+
+def write_clean(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Publish a clean fact partitioned by year, so year filters prune files."""
-    if partition_col not in df.columns:
-        df = df.withColumn(partition_col, F.year("fecha"))
-    df.write.mode("overwrite").partitionBy(partition_col).parquet(path)
+    _by_year(df).write.mode(mode).partitionBy("anio").parquet(path)
+
 
+def append_clean(df: DataFrame, path: str) -> None:
+    """Append a load to a published fact."""
+    write_clean(df, path, "append")
 
-def read_clean(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+
+def read_clean(spark: SparkSession, path: str, schema: T.StructType | None = None, years=None) -> DataFrame:
+    """A published fact, optionally only the partitions of the years from..to, in its schema."""
+    df = spark.read.parquet(path)
+    if years is not None:
+        df = df.where(F.col("anio").between(*years))
+    return conform(df, schema) if schema is not None else df
 
 
 def write_csv(df: DataFrame, path: str, sep: str = ";", encoding: str = "UTF-8") -> None:
-    """Optional text export for BI tools."""
+    """Text export for BI tools."""
     df.write.mode("overwrite").option("header", True).option("sep", sep).option("encoding", encoding).csv(path)
+
+
+def read_csv(spark: SparkSession, path: str, schema: T.StructType, sep: str = ";", encoding: str = "UTF-8") -> DataFrame:
+    """An export read back with its declared schema."""
+    return spark.read.schema(schema).option("header", True).option("sep", sep).option("encoding", encoding).csv(path)

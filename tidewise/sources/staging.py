@@ -139,8 +139,17 @@ EXTRACTS = {"quarterly_spend": quarterly_spend, "residents_motives": residents_m
             "foreign_spend": foreign_spend, "capacity": capacity, "demand": demand}
 
 
+#: Byte order mark, with which the office's UTF-8 extracts begin.
+BOM = "\ufeff"
+
+
 def write_staging(df: DataFrame, path: str, encoding: str = "UTF-8") -> None:
-    """Write an extract as ';'-separated text with header; padding and '' survive."""
+    """Write an extract as ';'-separated text with header; padding and '' survive.
+
+    UTF-8 files begin with a byte order mark, as the published ones do.
+    """
+    if encoding == "UTF-8":
+        df = df.withColumnRenamed("col1", f"{BOM}col1")
     (df.write.mode("overwrite").option("sep", ";").option("header", True)
      .option("encoding", encoding).option("ignoreLeadingWhiteSpace", False)
      .option("ignoreTrailingWhiteSpace", False).csv(path))
@@ -148,7 +157,10 @@ def write_staging(df: DataFrame, path: str, encoding: str = "UTF-8") -> None:
 
 def read_staging(spark: SparkSession, path: str, n_cols: int, encoding: str = "UTF-8",
                  sep: str = ";") -> DataFrame:
-    """Scan an extract with an explicit all-text positional schema (never inferred)."""
+    """Scan an extract with an explicit all-text positional schema (never inferred).
+
+    Columns are taken by position, so a byte order mark before the header does no harm.
+    """
     return (spark.read.schema(staging_schema(n_cols)).option("sep", sep).option("header", True)
             .option("encoding", encoding).option("mode", "PERMISSIVE").csv(path))
 

@@ -2,9 +2,9 @@
 
 A file-source stream over a landing folder: each new extract file is parsed by the
 same ETL transform, suppressed cells are dropped, rejects are kept apart, and the
-clean rows are appended to the year-partitioned fact table. Progress lives in a
-checkpoint under the shared ``spark.checkpoint.dir``, so a restarted job (or a
-lost executor) resumes without loading a file twice.
+clean rows go to the fact table, partitioned by batch and year. Progress lives in a
+checkpoint under the shared ``spark.checkpoint.dir``. A batch that failed after its write is
+replayed over its own partitions, so no row is loaded twice.
 """
 
 from __future__ import annotations
@@ -19,6 +19,12 @@ from tidewise.schemas import FACT_VALUE, STAGING_ENCODING, STAGING_WIDTH, stagin
 from tidewise.session import checkpoint_root
 
 
+def _write_lot(df: DataFrame, batch_id: int, path: str, *partitions: str) -> None:
+    """Write one batch to its own partitions; a replay of the batch replaces them."""
+    (df.withColumn("lote", F.lit(batch_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("lote", *partitions).parquet(path))
+
+
 def start_extract_stream(spark: SparkSession, name: str, landing: str, fact_path: str,
                          rejects_path: str, parse, fact: str, available_now: bool = True):
     """Start (and return) the streaming query loading extract ``name`` from ``landing``."""
@@ -26,12 +32,14 @@ def start_extract_stream(spark: SparkSession, name: str, landing: str, fact_path
               .option("header", True).option("encoding", STAGING_ENCODING[name]).csv(landing))
 
     def load_batch(batch: DataFrame, batch_id: int) -> None:
-        clean, rejects = parse(batch)
-        out = clean.where(F.col(FACT_VALUE[fact]).isNotNull())
+        batch.persist()
+        parsed = parse(batch)
+        out = parsed.clean.where(F.col(FACT_VALUE[fact]).isNotNull())
         if "anio" not in out.columns:
             out = out.withColumn("anio", F.year("fecha"))
-        out.write.mode("append").partitionBy("anio").parquet(fact_path)
-        rejects.withColumn("lote", F.lit(batch_id)).write.mode("append").parquet(rejects_path)
+        _write_lot(out, batch_id, fact_path, "anio")
+        _write_lot(parsed.rejects, batch_id, rejects_path)
+        batch.unpersist()
 
     # one checkpoint per (extract, target table): a restart resumes exactly this load
     target = hashlib.sha1(f"{landing}->{fact_path}".encode()).hexdigest()[:12]
