@@ -184,6 +184,9 @@ class Model:
 
 def build(counts: pd.DataFrame) -> Model:
     """Models of all languages from the (lang, gram, n) counts of the highest order."""
+    if counts.empty:
+        none = [np.zeros(0, np.uint64)] * ORDER
+        return Model([], none, [np.zeros((0, 0), np.float32)] * ORDER, none, [np.zeros((0, 0), np.float32)] * ORDER, np.zeros(0, np.float32))
     langs = sorted(counts["lang"].unique())
     number = counts["lang"].map({x: i for i, x in enumerate(langs)}).to_numpy()
     points = np.array([[ord(c) for c in g] for g in counts["gram"]], np.uint32).reshape(-1, ORDER)

@@ -77,7 +77,7 @@ def statistics(text: pa.Array) -> np.ndarray:
 
     columns = [np.log1p(hist.sum(axis=1)), np.log1p(n_words), word_bytes, *(hist @ _CLASS_OF / size[:, None]).T, entropy,
                per_doc(kind_doc, n) / some, top / some, per_doc(doc[1:][same], n) / some, distinct_pairs / np.maximum(n_pairs, 1),
-               1 - kept / np.maximum(n_lines, 1), np.log1p(per_doc(line_doc, n, line_bytes) / np.maximum(n_lines, 1)),
+               (n_lines - kept) / np.maximum(n_lines, 1), np.log1p(per_doc(line_doc, n, line_bytes) / np.maximum(n_lines, 1)),
                np.log1p(longest), np.log1p(n_lines)]
     return np.column_stack(columns).astype(np.float32)
 

@@ -237,7 +237,7 @@ def assemble(records: DataFrame, id_type: T.DataType) -> DataFrame:
         some(["response", "revisit"], "record_id", "type", "target_uri", "refers_to_uri", "payload_bytes", "payload_digest", "digest_ok", "payload").alias("responses"),
         some(["request"], "record_id", "target_uri", "request_line").alias("requests"),
         some(["metadata"], "record_id", "page_id").alias("metadata"))
-    page = F.element_at("metadata", 1)["page_id"]
+    page = F.get("metadata", F.lit(0))["page_id"]
     captures = captures.select(
         "capture_id", F.when(page != "null", F.from_json(F.concat(F.lit('{"v":'), page, F.lit("}")), T.StructType([T.StructField("v", id_type)]))["v"]).alias("page_id"),
         F.get("responses", F.lit(0)).alias("response"), "requests", "metadata")
