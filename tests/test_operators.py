@@ -1,4 +1,5 @@
 import datetime as dt
+from decimal import Decimal
 
 from pyspark.sql import functions as F
 
@@ -97,7 +98,7 @@ def _foreign(spark, rows):
 
 
 def _trips(spark, rows):
-    return spark.createDataFrame([(i, d, "Viajes", y, q, v) for i, d, y, q, v in rows],
+    return spark.createDataFrame([(i, d, "Viajes", y, q, Decimal(v)) for i, d, y, q, v in rows],
                                  "id_ccaa int, destino string, metrica string, anio int, trimestre int, valor decimal(14,2)")
 
 

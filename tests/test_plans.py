@@ -27,6 +27,7 @@ def test_no_cartesian_and_partitioned_windows(spark, key):
 
 def _scans(df):
     """(columns read, pushed filters) of every parquet scan."""
+    df.sparkSession.conf.set("spark.sql.maxMetadataStringLength", 100_000)
     plan = df._jdf.queryExecution().executedPlan().toString()
     return [(r, p) for p, r in re.findall(r"PushedFilters: \[(.*?)\], ReadSchema: struct<(.*?)>", plan)]
 
