@@ -49,10 +49,10 @@ PATTERNS = [  # of matches that overlap, the first kind wins
                           r"|(?<!\w)eyJ(?P<c>[\w-]+\.[\w-]+\.[\w-]+)"
                           r"|(?i:pass(?:word|wd)?|pwd|secret|token|api[_-]?key)\s*[:=]\s*[\"']?(?P<d>[^\s\"']{6,})")),
     ("iban", re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")),
-    ("card", re.compile(r"(?<![\w.+-])\d(?:[ -]?\d){12,18}(?!\w)")),
+    ("card", re.compile(r"(?<![\w.+-])(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{1,7}|\d{4}([ -])\d{6}\2\d{4,5})(?!\w)")),
     ("ssn", re.compile(r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])")),
     ("ip", re.compile(rf"(?<![\d.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\.?\d)")),
-    ("phone", re.compile(r"(?<![\w.+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?![\d])")),
+    ("phone", re.compile(r"(?<![\w.+])(?:\+1[ .-]?(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]?\d{4}|\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?![\d])")),
     ("person", re.compile(rf"(?<!\w)(?P<title>{_TITLE})\.? (?P<name>[^\W\d_a-zа-яα-ω][^\W\d_]+(?:[ -][^\W\d_a-zа-яα-ω][^\W\d_]+){{0,2}})")),
 ]
 #: What a text must have to be searched at all.
@@ -81,16 +81,25 @@ class Mention:
     form: str
 
 
-def _valid(kind: str, text: str) -> bool:
+def _iban_length(text: str) -> int:
+    """Length of the longest prefix of whole groups whose check digits are right, 0 if none."""
+    for end in [*(m.end() for m in re.finditer(r"\w(?!\w)", text))][::-1]:
+        body = text[:end].replace(" ", "")
+        if 15 <= len(body) <= 34 and _iban_check(body[4:] + body[:4]) == 1:
+            return end
+    return 0
+
+
+def _length(kind: str, text: str) -> int:
+    """How much of a match is an entity, 0 if it is none."""
     digits = re.sub(r"\D", "", text)
-    if kind == "card":
-        return 13 <= len(digits) <= 19 and (_luhn(digits) or len(digits) == 16 and digits[0] in "3456")
     if kind == "iban":
-        body = text.replace(" ", "")
-        return 15 <= len(body) <= 34 and _iban_check(body[4:] + body[:4]) == 1
-    if kind == "phone":
-        return 7 <= len(digits) <= 15
-    return True
+        return _iban_length(text)
+    if kind == "card" and not (_luhn(digits) or len(digits) == 16 and digits[0] in "3456"):
+        return 0
+    if kind == "phone" and not 7 <= len(digits) <= 15:
+        return 0
+    return len(text)
 
 
 def _script(name: str) -> str:
@@ -98,7 +107,7 @@ def _script(name: str) -> str:
     return "cyrillic" if 0x400 <= c < 0x530 else "greek" if 0x370 <= c < 0x400 else "latin"
 
 
-def _parts(kind: str, m: re.Match) -> Iterator[Mention]:
+def _parts(kind: str, m: re.Match, end: int) -> Iterator[Mention]:
     if kind == "secret":
         group = next(g for g in "abcd" if m.group(g) is not None)
         yield Mention("secret", m.start(group), m.end(group), m.group(group))
@@ -109,9 +118,9 @@ def _parts(kind: str, m: re.Match) -> Iterator[Mention]:
             part = "s" if i == len(words) - 1 else gender
             yield Mention(f"name-{part}-{_script(w.group())}", m.start("name") + w.start(), m.start("name") + w.end(), w.group().casefold())
     else:
-        text = m.group()
+        text = m.string[m.start():end]
         form = {"email": text.casefold(), "iban": text.replace(" ", ""), "ip": text}.get(kind) or re.sub(r"\D", "", text)
-        yield Mention(kind, m.start(), m.end(), form)
+        yield Mention(kind, m.start(), end, form)
 
 
 def mentions(text: str) -> list[Mention]:
@@ -120,9 +129,10 @@ def mentions(text: str) -> list[Mention]:
     out: list[Mention] = []
     for kind, pattern in PATTERNS:
         for m in pattern.finditer(text):
-            if _valid(kind, m.group()) and not any(a < m.end() and m.start() < b for a, b in taken):
-                taken.append((m.start(), m.end()))
-                out += _parts(kind, m)
+            end = m.start() + _length(kind, m.group())
+            if end > m.start() and not any(a < end and m.start() < b for a, b in taken):
+                taken.append((m.start(), end))
+                out += _parts(kind, m, end)
     return sorted(out, key=lambda x: x.start)
 
 
