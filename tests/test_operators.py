@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 from tidewise import vocab as V
 from tidewise.plans import measures as M
 
-from tidewise.operators.capacity import occupancy
+from tidewise.operators.capacity import demand_by_residence, occupancy
 from tidewise.operators.compare import outer_compare
 from tidewise.operators.evolution import index_to_base, yoy
-from tidewise.operators.seasonality import cv_fixed_buckets, cv_pooled
+from tidewise.operators.seasonality import coverage_flag, cv_fixed_buckets, cv_pooled
 from tidewise.operators.shares import hierarchical_share, top_n_share
 from tidewise.operators.quality import fuse_marginals, load_audit, split_rejects, tag_rejects
 
@@ -141,3 +141,18 @@ def test_kpis_have_one_row_per_group(spark):
     got = {r.grupo: (r.pernoctaciones, r.plazas_dia, r.tasa_ocupacion)
            for r in M.occupancy_kpis(d, c, dim, {"Hotelero": ("A",), "Camping": ("B",)}, 2000).collect()}
     assert got == {"Hotelero": (300, 300, 1.0), "Camping": (None, None, None)}
+
+
+def test_coverage_flag_of_an_incomplete_year(spark):
+    f = _foreign(spark, [(2000, m, 1) for m in range(1, 11)])
+    assert coverage_flag(f, "destino", "fecha", 11).first().fiable is False
+    assert coverage_flag(f, "destino", "fecha", 10).first().fiable is True
+
+
+def test_missing_residence_part(spark):
+    """A suppressed part is absent from the sum of the parts and present in the total row."""
+    rows = [(1, "Viajeros", "Nacional", 5), (1, "Viajeros", None, 9), (1, "Pernoctaciones", "Nacional", 7), (1, "Pernoctaciones", None, 12)]
+    d = spark.createDataFrame(rows, "id_ccaa int, metrica string, residencia string, valor long")
+    parts, total = (demand_by_residence(d, "id_ccaa", m).first() for m in ("parts", "total_row"))
+    assert (parts.viajeros_total, parts.pernoctaciones_total, parts.viajeros_ext) == (5, 7, None)
+    assert (total.viajeros_total, total.pernoctaciones_total) == (9, 12)

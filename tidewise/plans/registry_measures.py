@@ -9,7 +9,7 @@ from tidewise import vocab as V
 from tidewise.plans import measures as M
 from tidewise.plans.registry import P, YEAR, facts, register, trips
 
-GRID = {"index_cut": 0.17, "share_cut": 0.75}
+GRID = {"index_cut": 0.10, "share_cut": 0.75}
 CLASS_COLUMNS = ["destino", "anio", "indice_estacionalidad", "pct_turistas_extranjeros", "clasificacion"]
 Y, BASE = P["last_year"], P["base_year"]
 G0, G1 = P["pre_year"], P["last_year"]
