@@ -25,7 +25,7 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
     """
     edges = saved(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct(), "links")
     before = None
-    for _ in range(MAX_ROUNDS):
+    for _ in range(0 if edges.isEmpty() else MAX_ROUNDS):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = (look_up(both, "u", saved(_least(both), "least"), "n", "large").filter("v > u")
                  .select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
@@ -39,6 +39,7 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
             break
         before = state
     else:
-        raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
+        if not edges.isEmpty():
+            raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
         edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

@@ -178,8 +178,18 @@ def _keys(ids: np.ndarray, off: np.ndarray, points: np.ndarray) -> np.ndarray:
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
-#: Rows that this Python worker has keyed; equal points are parted by a number made of it.
-_rows = 0
+#: The task that this Python worker runs, and the rows that it has keyed in it.
+_task = [None, 0]
+
+
+def _row_numbers(n: int) -> np.ndarray:
+    """Numbers of the next ``n`` rows, of partition and place in it: the same in each run over the same files."""
+    task = pyspark.TaskContext.get()
+    if _task[0] != task.taskAttemptId():
+        _task[:] = [task.taskAttemptId(), 0]
+    first = (task.partitionId() << 40) + _task[1]
+    _task[1] += n
+    return np.arange(first, first + n, dtype=np.uint64)
 
 
 def _encoder(file: str) -> WordEncoder:
@@ -192,9 +202,7 @@ def _tokens(text: pa.Array, file: str) -> list[pa.Array]:
     enc = _encoder(file)
     ids, off = enc.encode(text)
     keys = _keys(ids, off, enc.points)
-    global _rows
-    tie = _mixed(np.arange(_rows, _rows + len(text), dtype=np.uint64) + np.uint64(pyspark.TaskContext.get().taskAttemptId() << 32))
-    _rows += len(text)
+    tie = _mixed(_row_numbers(len(text)))
     keys = (keys << TIE_BITS) | (tie >> np.uint64(64 - TIE_BITS)).astype(np.int64)
     body = np.insert(ids, off[1:], np.uint32(END)).astype(np.uint32)
     off = off + np.arange(len(off))
