@@ -69,27 +69,29 @@ def fx_trips_q(spark: SparkSession, sf_dir: str, years=None, metrics=V.DOMESTIC_
 
     One branch per source: trips and spend come from the orders alone, the stay also reads
     their lines. A branch without a wanted metric is not built, and a later filter
-    on ``metrica`` prunes the branch of another metric.
+    on ``metrica`` prunes the branch of the stay.
     """
     d = F.to_date("o_orderdate")
     keys = [F.col("c_nationkey").cast("int").alias("id_ccaa"), F.year(d).alias("anio"), F.quarter(d).alias("trimestre")]
     branches = []
-    if V.TRIPS in metrics:
-        trips = _orders_by_region(spark, sf_dir, years).groupBy(*keys).agg(F.count("*").alias("n"))
-        branches.append((V.TRIPS, trips.withColumn("valor", F.col("n").cast(MONEY))))
-    if V.SPEND_TOTAL in metrics:
-        spend = _orders_by_region(spark, sf_dir, years, "o_totalprice").groupBy(*keys).agg(
-            F.sum(F.col("o_totalprice").cast(MONEY)).alias("amount"))
-        branches.append((V.SPEND_TOTAL, spend.withColumn("valor", round_div_decimal("amount", F.lit(1000), 2))))
+    of_orders = {V.TRIPS: F.count("*").cast(MONEY),
+                 V.SPEND_TOTAL: round_div_decimal(F.sum(F.col("o_totalprice").cast(MONEY)), F.lit(1000), 2)}
+    of_orders = {m: c for m, c in of_orders.items() if m in metrics}
+    if of_orders:
+        agg = (_orders_by_region(spark, sf_dir, years, "o_totalprice").groupBy(*keys)
+               .agg(*[c.alias(f"_{i}") for i, c in enumerate(of_orders.values())]))
+        rows = F.inline(F.array(*[F.struct(F.lit(m).alias("metrica"), F.col(f"_{i}").alias("valor"))
+                                  for i, m in enumerate(of_orders)]))
+        branches.append(agg.select("id_ccaa", "anio", "trimestre", rows))
     if DURATION in metrics:
         per_order = (table(spark, sf_dir, "lineitem", "l_orderkey", "l_quantity").groupBy("l_orderkey")
                      .agg(F.sum(F.col("l_quantity").cast(MONEY)).alias("qty"), F.count("*").alias("nl")))
         o = _orders_by_region(spark, sf_dir, years, "o_orderkey")
         stay = o.join(per_order, o.o_orderkey == per_order.l_orderkey).groupBy(*keys).agg(
             F.sum("qty").alias("qty"), F.sum("nl").alias("nl"))
-        branches.append((DURATION, stay.withColumn("valor", round_div_decimal("qty", "nl", 2))))
-    long = reduce(DataFrame.unionByName, [df.select("id_ccaa", F.lit(m).alias("metrica"), "anio", "trimestre", "valor")
-                                          for m, df in branches])
+        branches.append(stay.select("id_ccaa", "anio", "trimestre", F.lit(DURATION).alias("metrica"),
+                                    round_div_decimal("qty", "nl", 2).alias("valor")))
+    long = reduce(DataFrame.unionByName, branches)
     return (_with_region(spark, sf_dir, long)
             .select("id_ccaa", "destino", "metrica", "anio", "trimestre",
                     F.make_date("anio", (F.col("trimestre") - 1) * 3 + 1, F.lit(1)).alias("fecha"),
