@@ -34,6 +34,11 @@ def trips(spark, d, *metrics, years=None):
     return B.fx_trips_q(spark, d, years=years, metrics=metrics)
 
 
+def demand(spark, d, *metrics, years=None):
+    """The demand fact with the named metrics only."""
+    return B.fx_demand_m(spark, d, years=years, metrics=metrics)
+
+
 @register("q01_monthly_share")
 def _q01(spark, d):
     (f,) = facts(spark, d, "foreign_motives", years=[P["share_years"]])

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewise import vocab as V
 from tidewise.plans import measures as M
-from tidewise.plans.registry import P, YEAR, facts, register, trips
+from tidewise.plans.registry import P, YEAR, demand, facts, register, trips
 
 GRID = {"index_cut": 0.10, "share_cut": 0.75}
 CLASS_COLUMNS = ["destino", "anio", "indice_estacionalidad", "pct_turistas_extranjeros", "clasificacion"]
@@ -125,14 +125,14 @@ RESIDENCES = {"": None, "_national": V.NATIONAL, "_foreign": V.FOREIGN}
 
 def _travellers(residence):
     def run(spark, d):
-        (m,) = facts(spark, d, "demand")
+        m = demand(spark, d, V.TRAVELLERS)
         return M.travellers(M.with_year(m), ["destino", "tipo_alojamiento", "anio"], residence)
     return run
 
 
 def _lodging_index(residence):
     def run(spark, d):
-        (m,) = facts(spark, d, "demand")
+        m = demand(spark, d, V.TRAVELLERS)
         return M.lodging_index(m, BASE, residence)
     return run
 
@@ -144,8 +144,7 @@ for _suffix, _residence in RESIDENCES.items():
 
 @register("m_accommodation_mix")
 def _m17(spark, d):
-    (m,) = facts(spark, d, "demand")
-    return M.accommodation_mix(m)
+    return M.accommodation_mix(demand(spark, d, V.TRAVELLERS))
 
 
 @register("m_non_market_share")
@@ -162,8 +161,8 @@ def _m19(spark, d):
 
 @register("m_occupancy")
 def _m20(spark, d):
-    c, m = facts(spark, d, "capacity", "demand")
-    return M.occupancy_rate(m, c, ["destino", "tipo_alojamiento", "anio"])
+    (c,) = facts(spark, d, "capacity")
+    return M.occupancy_rate(demand(spark, d, V.NIGHTS), c, ["destino", "tipo_alojamiento", "anio"])
 
 
 @register("m_occupancy_group")
@@ -231,19 +230,17 @@ register("p3_growth_scatter_foreign")(_growth_scatter(V.METRIC_CHOICES[1]))
 
 @register("p4_lodging_index")
 def _p8(spark, d):
-    (m,) = facts(spark, d, "demand")
-    return M.lodging_index(m, BASE, exclude_types=("Albergue",))
+    return M.lodging_index(demand(spark, d, V.TRAVELLERS), BASE, exclude_types=("Albergue",))
 
 
 @register("p4_lodging_mix")
 def _p9(spark, d):
-    (m,) = facts(spark, d, "demand", years=YEAR)
-    return M.accommodation_mix(m, keys=("destino",))
+    return M.accommodation_mix(demand(spark, d, V.TRAVELLERS, years=YEAR), keys=("destino",))
 
 
 def _group_occ(spark, d, group, by=()):
-    c, m = facts(spark, d, "capacity", "demand", years=YEAR)
-    return M.occupancy_group(m, c, _classes(spark, d), *group, Y, by=by)
+    (c,) = facts(spark, d, "capacity", years=YEAR)
+    return M.occupancy_group(demand(spark, d, V.NIGHTS, years=YEAR), c, _classes(spark, d), *group, Y, by=by)
 
 
 @register("p5_rural_occupancy")
@@ -258,5 +255,5 @@ def _p11(spark, d):
 
 @register("p5_kpis")
 def _p12(spark, d):
-    c, m = facts(spark, d, "capacity", "demand", years=YEAR)
-    return M.occupancy_kpis(m, c, _classes(spark, d), dict([HOTEL_GROUP, RURAL_GROUP]), Y)
+    (c,) = facts(spark, d, "capacity", years=YEAR)
+    return M.occupancy_kpis(demand(spark, d, V.NIGHTS, years=YEAR), c, _classes(spark, d), dict([HOTEL_GROUP, RURAL_GROUP]), Y)

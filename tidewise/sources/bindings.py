@@ -190,27 +190,29 @@ def fx_capacity_m(spark: SparkSession, sf_dir: str, years=None) -> DataFrame:
         "id_ccaa", "destino", "tipo_alojamiento", "fecha", "plazas")
 
 
-def fx_demand_m(spark: SparkSession, sf_dir: str, years=None) -> DataFrame:
+def fx_demand_m(spark: SparkSession, sf_dir: str, years=None, metrics=(V.TRAVELLERS, V.NIGHTS)) -> DataFrame:
     """Monthly travellers and nights by type and residence, plus total rows (residence NULL).
 
     An order has one customer, so inside a region it has one residence: distinct orders of the
     two residences add up, and only the cells (not the lines) are doubled for the totals.
+    Without ``Viajeros`` among the metrics no orders are counted.
     """
     j = _lines_full(spark, sf_dir, years, "l_quantity")
     o = table(spark, sf_dir, "orders", "o_orderkey", "o_custkey")
     c = table(spark, sf_dir, "customer", "c_custkey", "c_nationkey")
     j = j.join(o, j.l_orderkey == o.o_orderkey).join(c, o.o_custkey == c.c_custkey)
     res = F.when(F.col("c_nationkey") == F.col("s_nationkey"), F.lit(V.NATIONAL)).otherwise(F.lit(V.FOREIGN))
+    measures = {V.TRAVELLERS: F.count_distinct("l_orderkey"), V.NIGHTS: F.sum(F.col("l_quantity").cast(MONEY))}
+    measures = {m: c for m, c in measures.items() if m in metrics}
     parts = (j.groupBy(F.col("s_nationkey").cast("int").alias("id_ccaa"),
                        _map(F.col("p_type"), PTYPE_ACCOMMODATION).alias("tipo_alojamiento"),
                        F.trunc(F.to_date("l_shipdate"), "month").alias("fecha"), res.alias("_res"))
-             .agg(F.count_distinct("l_orderkey").alias("_orders"), F.sum(F.col("l_quantity").cast(MONEY)).alias("_qty")))
+             .agg(*[c.alias(m) for m, c in measures.items()]))
     cells = parts.withColumn("residencia", F.explode(F.array("_res", F.lit(None).cast("string"))))
     agg = (cells.groupBy("id_ccaa", "tipo_alojamiento", "residencia", "fecha")
-           .agg(F.sum("_orders").alias("viajeros"), F.sum("_qty").cast("bigint").alias("noches")))
-    long = agg.select("id_ccaa", "tipo_alojamiento", "residencia", "fecha", F.inline(F.array(
-        F.struct(F.lit(V.TRAVELLERS).alias("metrica"), F.col("viajeros").alias("valor")),
-        F.struct(F.lit(V.NIGHTS).alias("metrica"), F.col("noches").alias("valor")))))
+           .agg(*[F.sum(m).cast("bigint").alias(m) for m in measures]))
+    long = agg.select("id_ccaa", "tipo_alojamiento", "residencia", "fecha", F.inline(F.array(*[
+        F.struct(F.lit(m).alias("metrica"), F.col(m).alias("valor")) for m in measures])))
     return _with_region(spark, sf_dir, long).select(
         "id_ccaa", "destino", "tipo_alojamiento", "residencia", "metrica", "fecha", "valor")
 
