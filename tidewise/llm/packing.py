@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewise.llm.common import map_text, read, saved
+from tidewise.llm.common import give_back, map_text, read, saved, small_batches
 
 LENGTH = 4096
 END = 2
@@ -32,7 +32,7 @@ TIE_BITS = 23
 #: Buckets of the hashed feature vector before the projection.
 FEATURES = 4096
 #: Distinct words whose ids a Python worker keeps.
-KNOWN_WORDS = 500_000
+KNOWN_WORDS = 200_000
 #: Lower-case words of Latin letters that normalization leaves as they are.
 _PLAIN = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+")
 
@@ -207,6 +207,8 @@ def _tokens(text: pa.Array, file: str) -> list[pa.Array]:
     body = np.insert(ids, off[1:], np.uint32(END)).astype(np.uint32)
     off = off + np.arange(len(off))
     small = body.astype(np.uint16) if enc.points.shape[0] <= 1 << 16 else body
+    del ids, body
+    give_back()
     return [pa.array(keys, pa.int64()), pa.array(np.diff(off), pa.int64()),
             pa.Array.from_buffers(pa.binary(), len(text), [None, pa.py_buffer((off * small.itemsize).astype(np.int32)), pa.py_buffer(small)])]
 
@@ -283,8 +285,9 @@ def pack(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "t
     spark = docs.sparkSession
     fields = [T.StructField("key", T.LongType()), T.StructField("doc_tokens", T.LongType()), T.StructField("ids", T.BinaryType())]
     rows = map_text(docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")), "text", ["doc_id"],
-                    fields, lambda t: _tokens(t, tokenizer), limit=8 << 20)
-    rows = saved(rows, "tokens")
+                    fields, lambda t: _tokens(t, tokenizer))
+    with small_batches(spark):
+        rows = saved(rows, "tokens")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # parts - 1 quantiles of the keys; a bucket has a stretch of the curve
     bounds = rows.agg(F.percentile_approx("key", [k / parts for k in range(1, parts)] or [0.5], F.lit(20 * parts))).first()[0]
