@@ -1,9 +1,10 @@
 """License scan by conditional compression.
 
 Blocks of text near a license word are compressed plainly and with each template as
-a zstandard raw dictionary. Templates are ranked by how much they shrink the block; the
-best ones are confirmed by the exact differences in wording between the template and
-the stretch of the block that it aligns with.
+a zstandard raw dictionary. Templates are ranked by how much they shrink the block, and
+confirmed by the exact differences in wording between the template and the stretch of the
+block that it aligns with. Only templates of which more words are missing in the block than
+may differ are left out, as none of those could be confirmed.
 """
 
 from __future__ import annotations
@@ -69,10 +70,6 @@ _TRIGGER = re.compile(TRIGGER, re.IGNORECASE)
 _WORD = re.compile(r"\w+(?:[.+-]\w+)*")
 #: A block reaches so many characters before and after its license words, to a line's or sentence's end.
 REACH = 160
-#: Templates that shrink the block by less than this share are not considered.
-LEAST_GAIN = 0.2
-#: Best templates that are compared word by word.
-RANKED = 4
 #: Most words of a template that may be missing or changed, as a share.
 MOST_DIFFERENT = 0.15
 LEVEL = 3
@@ -92,12 +89,15 @@ class Templates:
                 text.casefold().encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT))) for name, text in templates]
         self.longest = max((size for _, _, size, _ in self.all), default=0)
 
-    def rank(self, block: str) -> list[tuple[float, int]]:
-        """Size reductions by template, best first."""
+    def rank(self, block: str, words: set[str]) -> list[tuple[float, int]]:
+        """Size reductions by template, best first, of all templates that the block has words enough for."""
+        may = [i for i, (_, own, _, _) in enumerate(self.all) if sum(w not in words for w in own) <= MOST_DIFFERENT * len(own)]
+        if not may:
+            return []
         data = block.casefold().encode()
         size = len(self.plain.compress(data))
-        gains = [(1 - len(packer.compress(data)) / size, -i) for i, (_, _, _, packer) in enumerate(self.all)]
-        return [(g, -i) for g, i in sorted(gains, reverse=True) if g >= LEAST_GAIN][:RANKED]
+        gains = [(1 - len(self.all[i][3].compress(data)) / size, -i) for i in may]
+        return [(g, -i) for g, i in sorted(gains, reverse=True)]
 
 
 def wording(template: list[str], words: list[str]) -> tuple[int, int, list[str]]:
@@ -145,7 +145,7 @@ def scan_block(known: Templates, block: str, at: int) -> list[dict]:
         text, base = todo.pop()
         words = _words(text)
         best = None
-        for gain, i in known.rank(text) if words else []:
+        for gain, i in known.rank(text, {w for w, _, _ in words}):
             name, template, _, _ = known.all[i]
             first, end, differences = wording(template, [w for w, _, _ in words])
             if end > first and not _differs(differences, len(template)):
