@@ -1,6 +1,6 @@
 """License scan by conditional compression.
 
-Blocks of text near a license word are compressed plainly and with each template as
+Blocks of text near a license word, of all lines up to a blank one, are compressed plainly and with each template as
 a zstandard raw dictionary. Templates are ranked by how much they shrink the block, and
 confirmed by the exact differences in wording between the template and the stretch of the
 block that it aligns with. Only templates of which more words are missing in the block than
@@ -10,6 +10,7 @@ may differ are left out, as none of those could be confirmed.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from difflib import SequenceMatcher
 
 import numpy as np
@@ -68,7 +69,9 @@ TEMPLATES = [
 TRIGGER = r"licen[cs]|copyright|rights reserved|permission|redistribut|public domain|creative commons|free software|unencumbered|\bcc[- ]?(?:by|0)\b"
 _TRIGGER = re.compile(TRIGGER, re.IGNORECASE)
 _WORD = re.compile(r"\w+(?:[.+-]\w+)*")
-#: A block reaches so many characters before and after its license words, to a line's or sentence's end.
+#: A line without a word character between two lines, also behind a comment mark.
+_GAP = re.compile(r"\n[^\w\n]*(?=\n)")
+#: Blocks that come within so many characters are one; a block reaches at least so far around its license words.
 REACH = 160
 #: Most words of a template that may be missing or changed, as a share.
 MOST_DIFFERENT = 0.15
@@ -87,7 +90,8 @@ class Templates:
         self.all = [(name, [w for w, _, _ in _words(text)], len(text), zstandard.ZstdCompressor(
             level=LEVEL, write_content_size=False, write_dict_id=False, dict_data=zstandard.ZstdCompressionDict(
                 text.casefold().encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT))) for name, text in templates]
-        self.longest = max((size for _, _, size, _ in self.all), default=0)
+        #: Room for the longest template with comment marks and list numbers.
+        self.reach = max([REACH, *(size * 5 // 4 for _, _, size, _ in self.all)])
 
     def rank(self, block: str, words: set[str]) -> list[tuple[float, int]]:
         """Size reductions by template, best first, of all templates that the block has words enough for."""
@@ -100,32 +104,40 @@ class Templates:
         return [(g, -i) for g, i in sorted(gains, reverse=True)]
 
 
-def wording(template: list[str], words: list[str]) -> tuple[int, int, list[str]]:
-    """First and end word of the aligned stretch, and its differences from the template."""
-    pairs = [b for b in SequenceMatcher(None, template, words, autojunk=False).get_matching_blocks() if b.size]
+def _list_number(text: str, start: int, end: int) -> bool:
+    """A number of one or two digits in front of an item: 1. or 1) or (1)."""
+    return end - start <= 2 and text[start:end].isdigit() and text[end:end + 1] in (".", ")") and not text[end + 1:end + 2].strip()
+
+
+def wording(template: list[str], words: list[tuple[str, int, int]], text: str) -> tuple[int, int, list[str]]:
+    """First and end word of the aligned stretch, and its differences from the template. Numbers of list items are none."""
+    plain = [w for w, _, _ in words]
+    pairs = [b for b in SequenceMatcher(None, template, plain, autojunk=False).get_matching_blocks() if b.size]
     if not pairs:
         return 0, 0, [f"-{w}" for w in template]
     # the stretch around the longest common run, as far as the template reaches
-    core = max(pairs, key=lambda b: b.size)
-    lo, hi = max(0, core.b - core.a - 3), core.b + len(template) - core.a + 3
-    pairs = [b for b in SequenceMatcher(None, template, words[lo:hi], autojunk=False).get_matching_blocks() if b.size]
+    core, slack = max(pairs, key=lambda b: b.size), 3 + int(MOST_DIFFERENT * len(template))
+    lo, hi = max(0, core.b - core.a - slack), core.b + len(template) - core.a + slack
+    pairs = [b for b in SequenceMatcher(None, template, plain[lo:hi], autojunk=False).get_matching_blocks() if b.size]
     first, end = lo + pairs[0].b, lo + pairs[-1].b + pairs[-1].size
     out = []
-    for op, i, j, k, m in SequenceMatcher(None, template, words[first:end], autojunk=False).get_opcodes():
+    for op, i, j, k, m in SequenceMatcher(None, template, plain[first:end], autojunk=False).get_opcodes():
         if op != "equal":
-            out += [f"-{w}" for w in template[i:j]] + [f"+{w}" for w in words[first + k:first + m]]
+            added = [w for w, a, b in words[first + k:first + m] if op != "insert" or not _list_number(text, a, b)]
+            out += [f"-{w}" for w in template[i:j]] + [f"+{w}" for w in added]
     return first, end, out
 
 
-def blocks(text: str) -> list[tuple[int, int]]:
-    """Stretches around license words, widened to the ends of lines, joined where they meet."""
+def blocks(text: str, reach: int = REACH) -> list[tuple[int, int]]:
+    """Stretches of ``reach`` characters around license words, ended by blank lines, joined where they come within REACH."""
+    gaps = [m.span() for m in _GAP.finditer(text)]
+    starts, ends = [a for a, _ in gaps], [b for _, b in gaps]
     out: list[tuple[int, int]] = []
     for m in _TRIGGER.finditer(text):
-        a = text.rfind("\n", max(0, m.start() - REACH), m.start())
-        b = text.find("\n", m.end(), m.end() + REACH)
-        lo = a + 1 if a >= 0 else max(0, m.start() - REACH)
-        hi = b if b >= 0 else min(len(text), m.end() + REACH)
-        if out and lo <= out[-1][1] + 1:
+        before, after = bisect_right(ends, m.start()), bisect_left(starts, m.end())
+        lo = max(0, m.start() - reach, ends[before - 1] if before else 0)
+        hi = min(len(text), m.end() + reach, starts[after] if after < len(starts) else len(text))
+        if out and lo <= out[-1][1] + REACH:
             out[-1] = (out[-1][0], max(hi, out[-1][1]))
         else:
             out.append((lo, hi))
@@ -147,7 +159,7 @@ def scan_block(known: Templates, block: str, at: int) -> list[dict]:
         best = None
         for gain, i in known.rank(text, {w for w, _, _ in words}):
             name, template, _, _ = known.all[i]
-            first, end, differences = wording(template, [w for w, _, _ in words])
+            first, end, differences = wording(template, words, text)
             if end > first and not _differs(differences, len(template)):
                 key = (len(differences), -len(template), -gain)
                 if best is None or key < best[0]:
@@ -162,21 +174,24 @@ def scan_block(known: Templates, block: str, at: int) -> list[dict]:
 
 def _windows(known: Templates, lo: int, hi: int):
     """A long block in pieces that overlap by the longest template."""
-    size = 4 * max(known.longest, REACH)
-    step = size - 2 * known.longest
-    for a in range(lo, max(lo + 1, hi - 2 * known.longest), step):
+    size = 4 * known.reach
+    step = size - 2 * known.reach
+    for a in range(lo, max(lo + 1, hi - 2 * known.reach), step):
         yield a, min(a + size, hi)
 
 
 def scan(text: str, known: Templates) -> tuple[int, list[dict]]:
-    """Number of candidate blocks and the licenses found in a text, by place."""
-    spans = blocks(text)
-    found: dict[tuple, dict] = {}
+    """Number of candidate blocks and the licenses found in a text, by place; of finds that overlap the one nearest to its template."""
+    spans = blocks(text, known.reach)
+    found: list[dict] = []
     for lo, hi in spans:
-        for a, b in _windows(known, lo, hi):
-            for x in scan_block(known, text[a:b], a):
-                found.setdefault((x["start"], x["license"]), x)
-    return len(spans), [found[k] for k in sorted(found)]
+        here = [x for a, b in _windows(known, lo, hi) for x in scan_block(known, text[a:b], a)]
+        kept: list[dict] = []
+        for x in sorted(here, key=lambda x: (len(x["differences"]), x["start"] - x["end"], x["start"])):
+            if not any(x["start"] < y["end"] and y["start"] < x["end"] for y in kept):
+                kept.append(x)
+        found += kept
+    return len(spans), sorted(found, key=lambda x: x["start"])
 
 
 FINDING = T.StructType([T.StructField("license", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType()),
