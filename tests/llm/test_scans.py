@@ -5,6 +5,7 @@ import textwrap
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -124,6 +125,23 @@ def test_neighbouring_numbers_do_not_hide_each_other():
         ("card", "4111111111111111"), ("ip", "27.65.93.188"), ("phone", "+1 (386) 555-3733"), ("iban", "DE89370400440532013000")]
 
 
+BARE = ["Вчера Господин Иванов пришёл", "Вчера Госпожа Ёлкина пришла", "see sk-" + "abcdefgh" * 3, "ghp_" + "AbCdEfGh" * 3, "AKIA" + "ABCDEFGHIJKLMNOP",
+        "xoxb-" + "abcdefgh" * 3, "eyJhbGci.eyJzdWIi.abcdefgh", "password\u00a0:\u00a0abcdefgh", "to\u212aen=abcdefgh", "call +\u0661\u0662 \u0663\u0664\u0665 \u0666\u0667\u0668\u0669 \u0661\u0662",
+        "Señora Øst", "的Mr. 李明", "seen by Dr. Éva"]
+
+
+def test_every_text_with_mentions_is_searched(spark):
+    rng = np.random.default_rng(5)
+    parts = [*BARE, *(t for _, t in PRIVATE if t), "plain", "Anna", "@", "Mr", "Frau", ":", "=", "token", "APIKEY", "пароль", "sk-", "eyJ", "a.b.c", "漢字", "x" * 20]
+    texts = parts + ["".join(p + str(rng.choice(["", " ", "\u00a0", ". ", "\n", "-"])) for p in rng.choice(parts, 3)) for _ in range(3000)]
+    hinted = set(S._hinted(pa.array(texts)).tolist())
+    assert all(S.mentions(t) for t in BARE if not t.startswith("的")) and sum(bool(S.mentions(t)) for t in texts) > 1000
+    assert [t for i, t in enumerate(texts) if S.mentions(t) and i not in hinted] == []
+    rows = {r.doc_id: r for r in S.pii_surrogates(make(spark, list(enumerate(BARE)))).collect()}
+    assert [rows[i].n_entities for i in range(len(BARE))] == [len(S.mentions(t)) for t in BARE]
+    assert "Иванов" not in rows[0].text and rows[2].text != BARE[2]
+
+
 def test_another_key_gives_other_surrogates(spark):
     df = make(spark, PRIVATE)
     one, two = ({r.doc_id: r.text for r in S.pii_surrogates(df, key=k).collect()} for k in (b"a", b"b"))
