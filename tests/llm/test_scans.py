@@ -154,6 +154,35 @@ def test_numbers_are_permuted():
         assert len({s._digits("t", str(x).zfill(n)) for x in range(10**n)}) == 10**n
 
 
+def test_numbers_stay_different_and_the_same(spark):
+    cards = [f"411111111111{k:04d}" for k in range(1000, 1200)]  # with right and wrong check digits
+    phones = [("+15551234567", "+1 555 123 4567", "+1 (555) 123-4567", "+1.555.123.4567"), ("+442071234567", "+44 20 7123 4567"),
+              ("+15551234568", "+1 555 123-4568"), ("+386 41 123 456", "+386-41-123-456"), ("(386) 411-2345",)]
+    rows = [*enumerate(cards), *((1000 + 10 * i + j, p) for i, group in enumerate(phones) for j, p in enumerate(group))]
+    got = {r.doc_id: r.text for r in S.pii_surrogates(make(spark, rows)).collect()}
+    new = [got[i] for i in range(len(cards))]
+    assert len(set(new)) == len(cards) and not set(new) & set(cards)
+    assert [S._luhn(x) for x in new] == [S._luhn(x) for x in cards] and {x[0] for x in new} == {"4"}
+    made = [{re.sub(r"[^+\d]", "", got[1000 + 10 * i + j]) for j in range(len(group))} for i, group in enumerate(phones)]
+    assert all(len(x) == 1 for x in made) and len(set.union(*made)) == len(phones)
+    assert [next(iter(x))[:3] for x in made[:2]] == ["+1" + next(iter(made[0]))[2], "+44"] and got[1000][:2] == got[1001][:2] == "+1"
+
+
+def test_numbers_are_checked_for_collisions(spark):
+    """A number whose surrogate is a real one draws again; one without a free draw keeps its first, which nobody else gets."""
+    s = S.Surrogates(S.KEY)
+    for kind, form in (("ssn", "078051120"), ("phone", "+15551234567"), ("ip", "10.1.2.3"), ("card", "4111111111111111"), ("card", "4111111111111112"),
+                       ("iban", "DE89370400440532013000")):
+        real = s.form(kind, form, 0)
+        shown = {"ssn": lambda x: f"{x[:3]}-{x[3:5]}-{x[5:]}", "phone": lambda x: f"{x[:2]} {x[2:5]} {x[5:8]} {x[8:]}"}.get(kind, str)
+        got = {r.doc_id: r.text for r in S.pii_surrogates(make(spark, [(1, shown(form)), (2, shown(real))])).collect()}
+        assert got[1] == shown(s.form(kind, form, 1)) and got[2] == shown(s.form(kind, real, 0)), kind
+    dense = [f"{x:03d}" for x in range(1000)]  # all numbers of a format are in use
+    rows = [(s.name_of("ssn", x), [s.name_of("ssn", s.form("ssn", x, d)) for d in range(S.DRAWS)]) for x in dense]
+    later = {r.entity: r.draw for r in S.later_draws(spark.createDataFrame(rows, "entity string, draws array<string>")).collect()}
+    assert len({s.form("ssn", x, later.get(s.name_of("ssn", x), 0)) for x in dense}) == 1000
+
+
 def test_collisions_are_resolved(spark, monkeypatch):
     """With one letter per name all first draws collide; each entity still has a surrogate of its own."""
     plain = S.Surrogates.form

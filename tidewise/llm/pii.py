@@ -4,9 +4,9 @@ Every detected entity gets a surrogate that only depends on the secret key, its
 and its normal form, so an entity has the same surrogate wherever it occurs. Numbers are
 permuted inside their own format by a keyed Feistel network, which keeps different
 numbers different. Addresses, secrets and names are drawn from keyed digests within their
-format; for these a collision check over all entities of the corpus finds surrogates that two
-entities share or that another entity has as its real value, and gives all but one of
-them a further draw.
+format. A collision check over all entities of the corpus, of every kind, finds surrogates that
+two entities share or that an entity has as its real value, and gives all but one of
+them a further draw. A number without a free draw keeps its first one, which no other number has.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from tidewise.llm.common import map_text, read, saved
 
 KEY = b"tidewise surrogate key: replace in production"
-#: Draws of an entity; the last one carries a keyed number of its own that makes it unique.
+#: Draws of an entity; the last one is unique: it carries a keyed number of its own, or is a number's first permutation again.
 DRAWS = 4
 
 # Titles by the gender that they tell, and syllables of invented names by script.
@@ -55,6 +55,9 @@ PATTERNS = [  # of matches that overlap, the first kind wins
     ("phone", re.compile(r"(?<![\w.+])(?:\+1[ .-]?(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]?\d{4}|\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?![\d])")),
     ("person", re.compile(rf"(?<!\w)(?P<title>{_TITLE})\.? (?P<name>[^\W\d_a-zа-яα-ω][^\W\d_]+(?:[ -][^\W\d_a-zа-яα-ω][^\W\d_]+){{0,2}})")),
 ]
+#: Country codes of one and two digits; all others have three.
+CODES = {"1", "7", "20", "27", *(str(x) for x in (*range(30, 35), 36, 39, 40, 41, *range(43, 50), *range(51, 59), *range(60, 67),
+                                                  81, 82, 84, 86, *range(90, 96), 98))}
 #: What a text must have to be searched at all: wider than every pattern, without boundaries, which RE2 knows for ASCII only.
 _HINT = r"\p{Nd}|@|AKIA|ASIA|gh[pousr]_|sk-|xox[abp]-|eyJ|(?i:pass|pwd|secret|token|key)|(?:" + _TITLE + r")\.? "
 
@@ -67,6 +70,11 @@ def _luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def _decimal(text: str) -> str:
+    """Digits of any script as 0 to 9."""
+    return text if text.isascii() else "".join(str(int(c)) if c.isdecimal() else c for c in text)
+
+
 def _iban_check(body: str) -> int:
     return int("".join(str(int(c, 36)) for c in body)) % 97
 
@@ -119,7 +127,10 @@ def _parts(kind: str, m: re.Match, end: int) -> Iterator[Mention]:
             yield Mention(f"name-{part}-{_script(w.group())}", m.start("name") + w.start(), m.start("name") + w.end(), w.group().casefold())
     else:
         text = m.string[m.start():end]
-        form = {"email": text.casefold(), "iban": text.replace(" ", ""), "ip": text}.get(kind) or re.sub(r"\D", "", text)
+        number = _decimal(text)
+        form = {"email": text.casefold(), "iban": number.replace(" ", ""), "ip": number}.get(kind) or re.sub(r"\D", "", number)
+        if kind == "phone" and text[0] == "+":
+            form = "+" + form
         yield Mention(kind, m.start(), end, form)
 
 
@@ -185,7 +196,7 @@ class Surrogates:
             block += 1
 
     def form(self, kind: str, form: str, draw: int) -> str:
-        """Normal form of the surrogate; permuted kinds have one draw only."""
+        """Normal form of the surrogate. Numbers have one permutation a draw, the last draw is the first one again."""
         stream = self._stream(kind, form, str(draw))
         own = self.digest("own", kind, form).hex()[:16]
         if kind == "email":
@@ -201,49 +212,39 @@ class Surrogates:
             size = 2 + next(stream) % 2 + draw
             out = "".join(syllables[next(stream) % len(syllables)] for _ in range(size)) + ending[part]
             return out if draw < DRAWS - 1 else out + "".join(syllables[int(c, 16) % len(syllables)] for c in own) + ending[part]
-        if kind == "card":
-            body = self._digits(f"card{form[0]}", form[1:-1])
+        again = f"/{draw}" if 0 < draw < DRAWS - 1 else ""
+        if kind == "card" and _luhn(form):
+            body = self._digits(f"card{form[0]}{again}", form[1:-1])
             return next(x for x in (f"{form[0]}{body}{c}" for c in range(10)) if _luhn(x))
+        if kind == "card":  # walked inside the numbers with a wrong check digit
+            while True:
+                form = form[0] + self._digits(f"no-luhn{form[0]}{again}", form[1:])
+                if not _luhn(form):
+                    return form
         if kind == "iban":
-            body = "".join(self._digits("iban", p) if p.isdigit() else p for p in re.findall(r"\d+|\D+", form[4:]))
+            body = "".join(self._digits(f"iban{again}", p) if p.isdigit() else p for p in re.findall(r"\d+|\D+", form[4:]))
             return f"{form[:2]}{98 - _iban_check(body + form[:2] + '00'):02d}{body}"
         if kind == "ip":
             x = 0
             for o in form.split("."):
                 x = x * 256 + int(o)
-            x = self._permute("ip", x, 1 << 32)
+            x = self._permute(f"ip{again}", x, 1 << 32)
             return ".".join(str(x >> s & 255) for s in (24, 16, 8, 0))
-        return self._digits(kind, form)  # ssn, phone
+        if kind == "phone" and form[0] == "+":
+            code = next((form[1:1 + k] for k in (1, 2) if form[1:1 + k] in CODES), form[1:4])
+            return f"+{code}" + self._digits(f"phone{code}{again}", form[1 + len(code):])
+        return self._digits(f"{kind}{again}", form)  # ssn, phone without a country code
 
     def render(self, m: Mention, real: str, form: str) -> str:
         """The surrogate in the mention's own format: grouping, country code and case."""
         if m.kind in ("card", "ssn", "phone", "iban"):
-            chars = iter(form)
+            chars = iter(form.removeprefix("+"))
             return "".join(next(chars) if c.isalnum() else c for c in real)
         if m.kind.startswith("name-"):
             return form.upper() if real.isupper() else form.capitalize()
         return form.upper() if m.kind == "email" and real.isupper() else form
 
 
-def _phone_safe(m: Mention, real: str) -> tuple[str, str]:
-    """Country code of a phone number that stays, and the digits that are replaced."""
-    code = re.match(r"\+(\d{1,3})[ .-]", real) if m.kind == "phone" else None
-    return (code.group(1), m.form[len(code.group(1)):]) if code else ("", m.form)
-
-
-def surrogate(s: Surrogates, m: Mention, real: str, draw: int) -> str:
-    """Normal form of the surrogate of a mention; a number that is permuted to itself goes one step on."""
-    kept, rest = _phone_safe(m, real)
-    if m.kind in ("phone", "ssn"):
-        return kept + s.form(f"{m.kind}{kept}", rest, 0)
-    return s.form(m.kind, m.form, draw)
-
-
-#: Kinds whose surrogates are drawn, so may collide; the others are permuted.
-def _drawn(kind: str) -> bool:
-    return kind in ("email", "secret") or kind.startswith("name-")
-
-
 def _hinted(t: pa.Array) -> np.ndarray:
     """Rows that may hold an entity."""
     return np.flatnonzero(pc.fill_null(pc.match_substring_regex(t, _HINT), False).to_numpy(zero_copy_only=False))
@@ -254,7 +255,7 @@ def _entities_of(key: bytes):
         s = Surrogates(key)
         out: list[list[dict]] = [[] for _ in range(len(t))]
         for i in _hinted(t).tolist():
-            seen = {(m.kind, m.form) for m in mentions(t[i].as_py()) if _drawn(m.kind)}
+            seen = {(m.kind, m.form) for m in mentions(t[i].as_py())}
             out[i] = [{"kind": k, "entity": s.name_of(k, f), "draws": [s.name_of(k, s.form(k, f, d)) for d in range(DRAWS)]} for k, f in sorted(seen)]
         return [pa.array(out, pa.list_(pa.struct([("kind", pa.string()), ("entity", pa.string()), ("draws", pa.list_(pa.string()))])))]
 
@@ -269,7 +270,7 @@ def later_draws(entities: DataFrame) -> DataFrame:
     """(entity, draw) of the entities whose first draw collides, from (entity, draws) rows.
 
     In each round the smallest entity of those that draw a surrogate has it, unless
-    it is settled already or is the real value of an entity; the others draw again. The last draw is unique.
+    it is settled already, is the real value of an entity or another one's first draw; the others draw again. The last draw is unique.
     """
     known = saved(entities.groupBy("entity").agg(F.first("draws").alias("draws")), "entities")
     settled, pending = None, known.select("entity", F.lit(0).alias("draw"), F.element_at("draws", 1).alias("drawn"))
@@ -279,6 +280,7 @@ def later_draws(entities: DataFrame) -> DataFrame:
             first = first.join(known.select(F.col("entity").alias("drawn")), "drawn", "left_anti")
             if settled is not None:
                 first = first.join(settled.select("drawn"), "drawn", "left_anti")
+                first = first.join(known.select(F.element_at("draws", 1).alias("drawn")), "drawn", "left_anti")
         won = pending.join(first, "drawn", "left").withColumn(
             "won", (F.col("winner") == F.col("entity")) if draw < DRAWS - 1 else F.lit(True)).fillna(False, ["won"])
         won = saved(won.select("entity", "draw", "drawn", "won"), f"draw-{draw}")
@@ -303,7 +305,7 @@ def rewrite(text: str, s: Surrogates, draws: dict[str, int]) -> tuple[str, list[
     for m in mentions(text):
         real = text[m.start:m.end]
         draw = draws.get(s.name_of(m.kind, m.form), 0) if draws else 0
-        new = s.render(m, real, surrogate(s, m, real, draw))
+        new = s.render(m, real, s.form(m.kind, m.form, draw))
         size += m.start - at
         out += [text[at:m.start], new]
         spans.append({"kind": m.kind.split("-")[0], "start": size, "end": size + len(new)})
