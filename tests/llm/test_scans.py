@@ -154,6 +154,22 @@ def test_numbers_are_permuted():
         assert len({s._digits("t", str(x).zfill(n)) for x in range(10**n)}) == 10**n
 
 
+def test_names_without_their_title(spark):
+    rows = [(1, "Mrs. Anna Schmidt came. Schmidt said so; ANNA SCHMIDT, Schmidt's and Schmidts, anna; Anna-Schmidt."), (2, "Anna Schmidt signed. Then Frau Anna Schmidt left."),
+            (3, "Anna Schmidt signed."), (4, "Mr Schmidt, schmidt@mail.example.com, Schmidt@mail.example.com, password=Schmidt1 Schmidt1 Schmidt_a"),
+            (5, "Господин Иванов пришёл, Иванов сел. Иванова нет."), (6, "Иванов ждал, и вот Господин Иванов пришёл")]
+    got = {r.doc_id: r for r in S.pii_surrogates(make(spark, rows)).collect()}
+    words = {k: re.findall(r"\w+", r.text) for k, r in got.items()}
+    anna, schmidt = words[1][1:3]
+    assert got[1].text == (f"Mrs. {anna} {schmidt} came. {schmidt} said so; {anna.upper()} {schmidt.upper()}, {schmidt}'s and Schmidts, anna; "
+                           f"{anna}-{schmidt}.")
+    assert got[1].n_entities == 8 and [got[1].text[x.start:x.end] for x in got[1].spans][:3] == [anna, schmidt, schmidt]
+    assert got[2].text == f"{anna} {schmidt} signed. Then Frau {anna} {schmidt} left." and got[3].text == rows[2][1]
+    assert got[4].text.startswith(f"Mr {schmidt}, ") and got[4].n_entities == 4 and got[4].text.endswith(" Schmidt1 Schmidt_a")
+    ivanov = words[5][1]
+    assert got[5].text == f"Господин {ivanov} пришёл, {ivanov} сел. Иванова нет." and got[6].text == f"{ivanov} ждал, и вот Господин {ivanov} пришёл"
+
+
 def test_numbers_stay_different_and_the_same(spark):
     cards = [f"411111111111{k:04d}" for k in range(1000, 1200)]  # with right and wrong check digits
     phones = [("+15551234567", "+1 555 123 4567", "+1 (555) 123-4567", "+1.555.123.4567"), ("+442071234567", "+44 20 7123 4567"),

@@ -14,6 +14,7 @@ from __future__ import annotations
 import hashlib
 import hmac
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -42,6 +43,7 @@ SYLLABLES = {
 }
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+_CAPITALISED = r"[^\W\d_a-zа-яα-ω][^\W\d_]+"
 _TITLE = "|".join(t for g in TITLES.values() for t in g)
 PATTERNS = [  # of matches that overlap, the first kind wins
     ("email", re.compile(r"(?<![\w.%+-])[\w.%+-]+@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,}")),
@@ -53,8 +55,10 @@ PATTERNS = [  # of matches that overlap, the first kind wins
     ("ssn", re.compile(r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])")),
     ("ip", re.compile(rf"(?<![\d.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\.?\d)")),
     ("phone", re.compile(r"(?<![\w.+])(?:\+1[ .-]?(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]?\d{4}|\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?![\d])")),
-    ("person", re.compile(rf"(?<!\w)(?P<title>{_TITLE})\.? (?P<name>[^\W\d_a-zа-яα-ω][^\W\d_]+(?:[ -][^\W\d_a-zа-яα-ω][^\W\d_]+){{0,2}})")),
+    ("person", re.compile(rf"(?<!\w)(?P<title>{_TITLE})\.? (?P<name>{_CAPITALISED}(?:[ -]{_CAPITALISED}){{0,2}})")),
 ]
+#: A word that may be a name seen elsewhere in its text.
+_UNTITLED = re.compile(rf"(?<!\w){_CAPITALISED}(?!\w)")
 #: Country codes of one and two digits; all others have three.
 CODES = {"1", "7", "20", "27", *(str(x) for x in (*range(30, 35), 36, 39, 40, 41, *range(43, 50), *range(51, 59), *range(60, 67),
                                                   81, 82, 84, 86, *range(90, 96), 98))}
@@ -144,7 +148,26 @@ def mentions(text: str) -> list[Mention]:
             if end > m.start() and not any(a < end and m.start() < b for a, b in taken):
                 taken.append((m.start(), end))
                 out += _parts(kind, m, end)
-    return sorted(out, key=lambda x: x.start)
+    out.sort(key=lambda x: x.start)
+    return sorted(out + list(_untitled(text, out, taken)), key=lambda x: x.start)
+
+
+def _untitled(text: str, found: list[Mention], taken: list[tuple[int, int]]) -> Iterator[Mention]:
+    """Capitalised words outside other entities that are parts of a name with a title in the same text, before or after it.
+
+    A part that is both a first name and a surname there counts as the first of them.
+    """
+    kinds: dict[str, str] = {}
+    for m in found:
+        if m.kind.startswith("name-"):
+            kinds.setdefault(m.form, m.kind)
+    taken = sorted(taken)
+    for w in _UNTITLED.finditer(text) if kinds else ():
+        kind = kinds.get(w.group().casefold())
+        if kind:
+            before = bisect_left(taken, (w.end(),)) - 1
+            if before < 0 or taken[before][1] <= w.start():
+                yield Mention(kind, w.start(), w.end(), w.group().casefold())
 
 
 class Surrogates:
