@@ -79,6 +79,21 @@ def test_language_edges(spark, edge, empty):
     assert {r.lang_pred for r in G.identify(edge, nothing).collect()} == {"und"} and G.identify(empty, nothing).count() == 0
 
 
+def test_rejection_limit_of_a_rare_language(spark, monkeypatch):
+    """A language without a row among the calibration documents has a limit of its own documents."""
+    monkeypatch.setattr(G, "CALIBRATION", 20)
+    docs = make(spark, [(k, sentence(k, 30), "xx") for k in range(900)] + [(k, "καλημέρα κόσμε και καλή τύχη " * 3, "el") for k in (1000, 1001, 1002, 1003)])
+    model = G.train(docs)
+    assert model.langs == ["el", "xx"] and np.isfinite(model.limit).all()
+    learnt = docs.filter(~G.held_out())
+    rows = G._scored(learnt, model, ["lang"]).collect()
+    for x, name in enumerate(model.langs):
+        own = sorted(r.ce[x] for r in rows if r.lang == name)
+        assert own[int(0.99 * len(own)) - 1] * G.SLACK <= model.limit[x] <= own[-1] * G.SLACK + 1e-9
+    got = {r.doc_id: r for r in G.identify(make(spark, [(1, "καλημέρα κόσμε"), (2, "ψξζ ωφψ ξξξ βδγ")]), model).collect()}
+    assert got[1].lang_pred == got[2].lang_pred == "el" and got[2].rejected and not got[1].rejected
+
+
 def test_counts_of_a_corpus(spark):
     texts = [("a", "Abc abc, x"), ("b", "abc é"), ("a", None), ("a", "123")]
     got = {(r.lang, r.gram): r.n for r in G.corpus_counts(spark.createDataFrame(texts, "lang string, text string")).collect()}

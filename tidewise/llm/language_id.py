@@ -28,10 +28,12 @@ START, END = "\x02", "\x03"
 #: Most n-grams in the model (the most frequent ones, relative to their language), and most numbers in a matrix of it.
 MODEL_GRAMS = 400_000
 MODEL_NUMBERS = 20_000_000
-#: Learning documents on which scores and limits are calibrated: those with the smallest hashes of their ids.
+#: Learning documents on which the scores' scale is calibrated: those with the smallest hashes of their ids.
 CALIBRATION = 3000
-#: Share of a language's calibration documents beyond its limit, and slack above it.
+#: Share of a language's learning documents beyond its limit, and slack above it.
 REJECTED_SHARE, SLACK = 0.002, 1.05
+#: The share is right to one in so many.
+QUANTILE_STEPS = 100_000
 UNKNOWN = "und"
 
 
@@ -228,8 +230,7 @@ def build(counts: pd.DataFrame) -> Model:
 
 
 def _calibrate(model: Model, rows: pd.DataFrame) -> None:
-    """Scale of the scores by the lowest log loss; limit of each language by a quantile."""
-    model.limit = np.full(len(model.langs), np.inf)
+    """Scale of the scores by the lowest log loss."""
     if rows.empty:
         return
     ce, size = np.array(rows["ce"].tolist()), rows["size"].to_numpy(np.float64)
@@ -239,10 +240,16 @@ def _calibrate(model: Model, rows: pd.DataFrame) -> None:
         model.scale = scale
         losses.append((-np.log(model.posterior(ce, size)[np.arange(len(ce)), truth] + 1e-12).mean(), scale))
     model.scale = min(losses)[1]
-    for x in range(len(model.langs)):
-        own = ce[truth == x, x]
-        if len(own):
-            model.limit[x] = np.quantile(own, 1 - REJECTED_SHARE) * SLACK
+
+
+def _limits(model: Model, scored: DataFrame) -> np.ndarray:
+    """Limit of each language: a quantile of its cross-entropy over all of its rows in ``scored`` (lang, ce). One row a language."""
+    limit = np.full(len(model.langs), np.inf)
+    place = F.array_position(F.array(*[F.lit(x) for x in model.langs]), F.col("lang")).cast("int")
+    own = scored.select((place - 1).alias("x"), F.try_element_at("ce", F.nullif(place, F.lit(0))).alias("own"))
+    for r in own.groupBy("x").agg(F.percentile_approx("own", 1 - REJECTED_SHARE, QUANTILE_STEPS).alias("q")).filter("x >= 0").collect():
+        limit[r.x] = r.q * SLACK
+    return limit
 
 
 def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
@@ -260,10 +267,11 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
     top = counts.join(totals, "lang").orderBy(F.desc(F.col("n") / F.col("total")), "lang", "gram").limit(most)
     model = build(top.select("lang", "gram", "n").toPandas())
     chosen = learning.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(CALIBRATION).distinct()
+    scored = saved(_scored(learning, model, ["doc_id", "lang"]).filter("size > 0"), "entropies")
     # at most CALIBRATION rows
-    sample = learning.join(F.broadcast(chosen), "doc_id", "left_semi")
-    rows = _scored(sample, model, ["lang"]).filter("size > 0").limit(2 * CALIBRATION).toPandas()
+    rows = scored.join(F.broadcast(chosen), "doc_id", "left_semi").limit(2 * CALIBRATION).toPandas()
     _calibrate(model, rows[rows["lang"].isin(model.langs)])
+    model.limit = _limits(model, scored)
     return model
 
 
