@@ -94,6 +94,27 @@ def test_rejection_limit_of_a_rare_language(spark, monkeypatch):
     assert got[1].lang_pred == got[2].lang_pred == "el" and got[2].rejected and not got[1].rejected
 
 
+def test_model_in_tables_keeps_every_gram(spark, edge, monkeypatch):
+    """With more n-grams than fit in arrays the results are those of all n-grams, not of the most frequent ones."""
+    docs = make(spark, [(k, sentence(k, 40), "xx") for k in range(40)] + [(k, "漢字仮名交じり文の例です " + sentence(k, 5), "ja") for k in range(40, 60)]
+                + [(k, "der und die das über " * 3 + sentence(k, 3), "de") for k in range(60, 66)] + [(80, "1 2 3 !", "xx"), (81, None, "xx"), (82, "", "de")])
+    docs = docs.unionByName(edge.select(docs.columns))
+
+    def all_rows():
+        model = G.train(docs)
+        return model, sorted(G.identify(docs, model).collect(), key=str)
+
+    whole, want = all_rows()
+    monkeypatch.setattr(G, "MODEL_GRAMS", 50)
+    model, got = all_rows()
+    assert isinstance(model, G.Spread) and not isinstance(whole, G.Spread) and model.langs == whole.langs and model.scale == whole.scale
+    assert np.allclose(model.limit, whole.limit, rtol=1e-5) and len(got) == len(want) == docs.count()
+    key = lambda r: (str(r.doc_id), r.lang_pred, round(r.cross_entropy or 0, 3))
+    for a, b in zip(sorted(want, key=key), sorted(got, key=key), strict=True):
+        assert (a.doc_id, a.held_out, a.lang_pred, a.rejected) == (b.doc_id, b.held_out, b.lang_pred, b.rejected)
+        assert np.isclose(a.score, b.score, atol=1e-4) and np.isclose(a.cross_entropy or 0, b.cross_entropy or 0, rtol=1e-5)
+
+
 def test_counts_of_a_corpus(spark):
     texts = [("a", "Abc abc, x"), ("b", "abc é"), ("a", None), ("a", "123")]
     got = {(r.lang, r.gram): r.n for r in G.corpus_counts(spark.createDataFrame(texts, "lang string, text string")).collect()}

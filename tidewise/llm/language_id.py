@@ -7,11 +7,15 @@ models of all languages share sorted arrays of n-gram hashes, one an order, besi
 matrix of log probabilities. Scoring: each distinct word of a slice is scored once; a
 document goes to the language of the lowest cross-entropy per character. A cross-entropy
 above the language's calibrated limit marks the prediction as rejected.
+
+A model of too many n-grams for arrays in one process stays in tables: the same recursion runs
+as joins, and the distinct n-grams of slices of documents meet their scores in a shuffle join.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import uuid
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -21,11 +25,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewise.llm.common import SLICE_BYTES, held_out, map_text, read, saved, slices
+from tidewise.llm.common import SLICE_BYTES, held_out, map_text, read, saved, slices, small_batches
 
 ORDER = 4
 START, END = "\x02", "\x03"
-#: Most n-grams in the model (the most frequent ones, relative to their language), and most numbers in a matrix of it.
+#: Most n-grams of a model in arrays, and most numbers in a matrix of it; a larger model stays in tables, with all n-grams.
 MODEL_GRAMS = 400_000
 MODEL_NUMBERS = 20_000_000
 #: Learning documents on which the scores' scale is calibrated: those with the smallest hashes of their ids.
@@ -184,6 +188,116 @@ class Model:
         return e / e.sum(axis=1, keepdims=True)
 
 
+@dataclass
+class Spread(Model):
+    """A model in tables. By order 1..ORDER: (gram, p), (context, w) with maps of language number to log probability or weight."""
+
+    tables: list[tuple[DataFrame, DataFrame]] | None = None
+
+
+def _discount(ones: int, twos: int) -> float:
+    return min(max(ones / max(ones + 2 * twos, 1), 0.1), 0.9) if ones else 0.5
+
+
+def spread(counts: DataFrame, langs: list[str]) -> Spread:
+    """What ``build`` makes, from all (lang, gram, n) counts, in tables. The driver gets a row a language and order."""
+    place = F.array_position(F.array(*[F.lit(x) for x in langs]), F.col("lang")).cast("int") - 1
+    level = {ORDER: counts.select(place.alias("lang"), "gram", "n")}
+    for k in range(ORDER - 1, 0, -1):
+        level[k] = saved(level[k + 1].groupBy("lang", F.substring("gram", 2, k).alias("gram")).agg(F.count(F.lit(1)).alias("n")), f"grams-{k}")
+    letters = level[1].select("gram").distinct().count() + 1
+
+    def by_gram(rows: DataFrame, key: str, value: str, name: str) -> DataFrame:
+        entries = F.collect_list(F.struct("lang", F.ln(value)))
+        return saved(rows.groupBy(key).agg(F.map_from_entries(entries).alias(name)), f"model-{name}")
+
+    below, tables, floor = None, [], np.zeros(len(langs))
+    for k in range(1, ORDER + 1):
+        some = level[k].groupBy("lang").agg(F.count_if(F.col("n") == 1).alias("ones"), F.count_if(F.col("n") == 2).alias("twos")).collect()
+        known = {r.lang: _discount(r.ones, r.twos) for r in some}
+        discount = F.get(F.array(*[F.lit(known.get(x, 0.5)) for x in range(len(langs))]), F.col("lang"))
+        own = level[k].withColumn("context", F.substring("gram", 1, k - 1))
+        contexts = saved(own.groupBy("lang", "context").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds"))
+                         .withColumn("gamma", discount * F.col("kinds") / F.col("total")), f"contexts-{k}")
+        rows = own.join(contexts, ["lang", "context"]).withColumn("suffix", F.substring("gram", 2, k - 1))
+        if below is None:
+            rows = rows.withColumn("below", F.lit(1 / letters))
+            for r in contexts.collect():  # one row a language
+                floor[r.lang] = np.log(r.gamma) - np.log(letters)
+        else:
+            rows = rows.join(below.select("lang", F.col("gram").alias("suffix"), F.col("p").alias("below")), ["lang", "suffix"])
+        p = F.greatest(F.col("n") - discount, F.lit(0.0)) / F.col("total") + F.col("gamma") * F.col("below")
+        below = saved(rows.select("lang", "gram", p.alias("p")), f"p-{k}")
+        tables.append((by_gram(below, "gram", "p", "p"), by_gram(contexts, "context", "gamma", "w")))
+    return Spread(langs, [], [], [], [], floor, tables=tables)
+
+
+def _gram_scores(model: Spread, grams: DataFrame) -> DataFrame:
+    """(gram, s) for each distinct gram: its log probability in each language."""
+    need = {ORDER: saved(grams.select("gram").distinct(), "need")}
+    for k in range(ORDER - 1, 0, -1):
+        need[k] = need[k + 1].select(F.substring("gram", 2, k).alias("gram")).distinct()
+    below = None
+    for k, (p, w) in enumerate(model.tables, 1):
+        rows = need[k].join(p, "gram", "left")
+        if below is None:
+            rows = rows.withColumn("w", F.lit(None).cast("map<int,double>")).withColumn("below", F.array(*[F.lit(float(x)) for x in model.floor]))
+        else:
+            rows = (rows.withColumn("context", F.substring("gram", 1, k - 1)).join(w, "context", "left").withColumn("suffix", F.substring("gram", 2, k - 1))
+                    .join(below.select(F.col("gram").alias("suffix"), F.col("s").alias("below")), "suffix"))
+        score = F.transform(F.sequence(F.lit(0), F.lit(len(model.langs) - 1)), lambda x: F.coalesce(
+            F.try_element_at("p", x), F.coalesce(F.try_element_at("w", x), F.lit(0.0)) + F.get("below", x)))
+        below = saved(rows.select("gram", score.alias("s")), f"scores-{k}")
+    return below
+
+
+def _spread_scored(docs: DataFrame, model: Spread, carry: list[str]) -> DataFrame:
+    """``_scored`` for a model in tables: texts become slices of numbers, whose n-grams are joined with their scores."""
+    ints, n_langs = T.ArrayType(T.IntegerType()), len(model.langs)
+    kept = [T.StructField(c, T.ArrayType(docs.schema[c].dataType)) for c in carry]
+    schema = T.StructType([*kept, T.StructField("__slice", T.StringType()), T.StructField("__size", T.ArrayType(T.DoubleType())),
+                           *[T.StructField(x, ints) for x in ("__doc", "__code", "__word", "__kind")], T.StructField("__grams", T.ArrayType(T.StringType()))])
+
+    def cut(batches):
+        for b in batches:
+            for lo, hi in slices(b.column(len(carry)), SLICE_BYTES // 4):
+                part = b.slice(lo, hi - lo)
+                doc, code, words = letter_words(part.column(len(carry)))
+                c, at, word = _characters(words)
+                view = np.column_stack([c[at - k] for k in range(ORDER - 1, -1, -1)])
+                _, first, kind = np.unique(_hash(view), return_index=True, return_inverse=True)
+                grams = np.ascontiguousarray(view[first].astype("<u4")).view(f"<U{ORDER}").ravel().tolist() if len(at) else []
+                length = np.array([len(w) + 1 for w in words], np.float64)
+                size = np.bincount(doc, weights=length[code], minlength=hi - lo) if len(code) else np.zeros(hi - lo)
+                lists = [size.astype(np.float64), *(x.astype(np.int32) for x in (doc, code, word, kind))]
+                yield pa.RecordBatch.from_arrays(
+                    [*(pa.ListArray.from_arrays(pa.array([0, hi - lo], pa.int32()), part.column(j)) for j in range(len(carry))),
+                     pa.array([uuid.uuid4().hex]), *(pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x)) for x in lists),
+                     pa.array([grams], pa.list_(pa.string()))], names=schema.names)
+
+    def back(batches):
+        for b in batches:
+            for i in range(b.num_rows):
+                size, doc, code, word, kind = (b.column(x)[i].values.to_numpy(zero_copy_only=False) for x in schema.names[len(carry) + 1:-1])
+                n, total = len(size), np.zeros((len(size), n_langs))
+                if len(doc):
+                    score = b.column("__s")[i].values.flatten().to_numpy(zero_copy_only=False).reshape(-1, n_langs)
+                    for x in range(n_langs):
+                        own = np.bincount(word, weights=score[kind, x])
+                        total[:, x] = np.bincount(doc, weights=own[code], minlength=n)
+                ce = -total / np.maximum(size, 1)[:, None]
+                yield pa.RecordBatch.from_arrays([*(b.column(c)[i].values for c in carry), pa.array(list(ce), pa.list_(pa.float64())), pa.array(size)],
+                                                 names=[*carry, "ce", "size"])
+
+    out = T.StructType([*(docs.schema[c] for c in carry), T.StructField("ce", T.ArrayType(T.DoubleType())), T.StructField("size", T.DoubleType())])
+    parts = saved(docs.select(*carry, F.col("text").cast("string")).mapInArrow(cut, schema), "slices")
+    wanted = parts.select("__slice", F.posexplode("__grams").alias("at", "gram"))
+    found = (wanted.join(_gram_scores(model, wanted), "gram").groupBy("__slice")
+             .agg(F.sort_array(F.collect_list(F.struct("at", "s"))).alias("found")).select("__slice", F.col("found.s").alias("__s")))
+    with small_batches(docs.sparkSession, 1):  # a row is a slice
+        return saved(parts.drop("__grams").join(found, "__slice", "left").mapInArrow(back, out), "scored")
+
+
 def build(counts: pd.DataFrame) -> Model:
     """Models of all languages from the (lang, gram, n) counts of the highest order."""
     if counts.empty:
@@ -256,16 +370,14 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
     """Count over all learning documents, build and calibrate.
 
     Learning documents have a language and are outside the held-out third; null ids are in it.
-    The driver gets at most MODEL_GRAMS counts and CALIBRATION rows of numbers.
+    The driver gets at most MODEL_GRAMS counts and CALIBRATION rows of numbers; with more counts the model stays in tables.
     """
     own = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").cast("string").alias("lang"))
     learning = own.filter(F.col("lang").isNotNull() & ~held_out())
     counts = saved(corpus_counts(learning), "grams")
-    totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
-    n_langs = max(1, totals.count())
-    most = min(MODEL_GRAMS, MODEL_NUMBERS // n_langs)
-    top = counts.join(totals, "lang").orderBy(F.desc(F.col("n") / F.col("total")), "lang", "gram").limit(most)
-    model = build(top.select("lang", "gram", "n").toPandas())
+    langs = sorted(r.lang for r in counts.select("lang").distinct().collect())
+    most = min(MODEL_GRAMS, MODEL_NUMBERS // max(1, len(langs)))
+    model = build(counts.toPandas()) if counts.count() <= most else spread(counts, langs)
     chosen = learning.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(CALIBRATION).distinct()
     scored = saved(_scored(learning, model, ["doc_id", "lang"]).filter("size > 0"), "entropies")
     # at most CALIBRATION rows
@@ -276,6 +388,8 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
 
 
 def _scored(docs: DataFrame, model: Model, carry: list[str]) -> DataFrame:
+    if isinstance(model, Spread):
+        return _spread_scored(docs, model, carry)
     known = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(t: pa.Array) -> list[pa.Array]:
@@ -293,24 +407,35 @@ def identify(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str =
     letter, or nothing was learnt. ``rejected``: the cross-entropy exceeds the language's
     limit, or there is no language. Equal cross-entropies go to the first language in order.
     """
-    known = docs.sparkSession.sparkContext.broadcast(model)
+    known = docs.sparkSession.sparkContext.broadcast(replace(model, tables=None) if isinstance(model, Spread) else model)
 
-    def run(t: pa.Array) -> list[pa.Array]:
+    def named(ce: np.ndarray, size: np.ndarray) -> list[pa.Array]:
         m = known.value
-        if not m.langs:
-            return [pa.array([UNKNOWN] * len(t)), pa.array(np.zeros(len(t))), pa.nulls(len(t), pa.float64()), pa.array(np.ones(len(t), bool))]
-        ce, size = m.entropies(t)
         best = ce.argmin(axis=1)
-        some, rows = size > 0, np.arange(len(t))
+        some, rows = size > 0, np.arange(len(size))
         own = ce[rows, best]
         score = np.where(some, m.posterior(ce, size)[rows, best], 0.0)
         names = [m.langs[x] if s else UNKNOWN for x, s in zip(best.tolist(), some.tolist(), strict=True)]
         return [pa.array(names, pa.string()), pa.array(score), pa.array(own, pa.float64(), mask=~some), pa.array(~some | (own > m.limit[best]))]
 
+    def run(t: pa.Array) -> list[pa.Array]:
+        if not known.value.langs:
+            return [pa.array([UNKNOWN] * len(t)), pa.array(np.zeros(len(t))), pa.nulls(len(t), pa.float64()), pa.array(np.ones(len(t), bool))]
+        return named(*known.value.entropies(t))
+
+    def of_scores(batches):
+        for b in batches:
+            ce = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+            yield pa.RecordBatch.from_arrays([b.column(0), *named(ce, b.column(2).to_numpy(zero_copy_only=False))], names=schema.names)
+
     fields = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()),
               T.StructField("cross_entropy", T.DoubleType()), T.StructField("rejected", T.BooleanType())]
     own = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    out = map_text(own, "text", ["doc_id"], fields, run, limit=2 * SLICE_BYTES)
+    schema = T.StructType([own.schema["doc_id"], *fields])
+    if isinstance(model, Spread):
+        out = _scored(own, model, ["doc_id"]).mapInArrow(of_scores, schema)
+    else:
+        out = map_text(own, "text", ["doc_id"], fields, run, limit=2 * SLICE_BYTES)
     return out.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "cross_entropy", "rejected")
 
 
