@@ -40,6 +40,15 @@ def pivot_by_year(df: DataFrame, keys, year, value, years, prefix: str,
     return pivot_agg(df.where(y.isin(*years)), keys, y, value, spec, agg)
 
 
-def eav_pick(df: DataFrame, keys, metric, value, spec: dict) -> DataFrame:
-    """Pick one value per metric from a long (entity-attribute-value) table: MAX(CASE)."""
-    return pivot_agg(df, keys, metric, value, spec, "max")
+def eav_pick(df: DataFrame, keys, metric, value, spec: dict, on_double: str = "error") -> DataFrame:
+    """Pick one value per metric from a long (entity-attribute-value) table: MAX(CASE).
+
+    A cell should have one row. Two would hide one another, so they end the query, unless ``on_double`` is "max".
+    """
+    if on_double == "max":
+        return pivot_agg(df, keys, metric, value, spec, "max")
+    picked = pivot_columns(metric, value, spec, "max")
+    counted = pivot_columns(metric, value, spec, "count")
+    checked = [F.when(n > 1, F.raise_error(F.lit(f"several rows in one cell of {a}"))).otherwise(v).alias(a)
+               for a, v, n in zip(spec, picked, counted, strict=True)]
+    return df.groupBy(*as_list(keys)).agg(*checked)

@@ -5,8 +5,9 @@ from __future__ import annotations
 from tidewise import vocab as V
 from tidewise.plans.registry import P
 from tidewise.plans.registry_etl import FACT_OF
-from tidewise.schemas import FACT_SCHEMAS, FACT_VALUE, STAGING_WIDTH
+from tidewise.schemas import FACT_KEYS, FACT_SCHEMAS, FACT_VALUE, STAGING_WIDTH
 from tidewise.sources.bindings_sql import FACT_CTE, q, with_facts
+from tidewise.sources.staging import REVISED_LINE, SHORT_LINE, WIDE_LINE
 from tidewise.sources.staging_sql import PARSE, STG, parsed_ctes, reject_pred
 
 ORACLE = {}
@@ -125,3 +126,91 @@ ORACLE["map_category_like"] = _stg_key("capacity", "col1", f"{_like('col1', V.SU
 ORACLE["map_residence"] = _stg_key("demand", "col5", f"{_like('trim(col5)', V.RESIDENCE_PATTERNS)} AS residencia")
 ORACLE["map_value_passthrough"] = _stg_key("demand", "col6",
     "CASE WHEN trim(col6) = 'Viajero' THEN 'Viajeros' ELSE trim(col6) END AS metrica")
+
+
+# ---- lots: the extract with faults, parsed, and the fate of each row ---------------
+
+def _lot_ctes(name, known=None):
+    """Facts and CTEs up to ``fate_<name>``; ``known`` names an extract that was loaded before into the same fact."""
+    facts, stg = STG[name]
+    n = STAGING_WIDTH[name]
+    cols = [f"col{i}" for i in range(1, n + 1)]
+    size = " + ".join(f"length(COALESCE({c}, ''))" for c in cols)
+    text = " || ';' || ".join(f"COALESCE({c}, '')" for c in cols)
+    (a, x), (b, y), (c, z) = SHORT_LINE, WIDE_LINE, REVISED_LINE
+    sound = f"{size} AS size, size % {a} = {x} AS short, NOT short AND size % {b} = {y} AS wide"
+    last = cols[-1]
+    faulty = f"""SELECT * EXCLUDE (size, short, wide), CASE WHEN short THEN 'faltan_campos' WHEN wide THEN 'sobran_campos' END AS _bad,
+            CASE WHEN short THEN {text.rsplit(" || ';' || ", 1)[0]} WHEN wide THEN {text} || ';x' ELSE {text} END AS _texto FROM raw_{name}
+        UNION ALL SELECT * EXCLUDE (size, short, wide) REPLACE ('7' AS {last}), NULL, {text.rsplit(" || ';' || ", 1)[0]} || ';7' FROM raw_{name}
+            WHERE NOT short AND NOT wide AND size % {c} = {z}"""
+    select, _, where = PARSE[name][0].partition("WHERE ")
+    select = select.replace(f"FROM stg_{name}", f", _bad, _texto FROM stg_{name}")
+    if where and name != "residents_lodging":  # that one is fused by its key here
+        select += f"WHERE _bad IS NOT NULL OR ({where})"
+    _, value, period = PARSE[name]
+    fact = FACT_OF[name]
+    keys = FACT_KEYS[fact]
+    same = " AND ".join(f"k.{c} IS NOT DISTINCT FROM p.{c}" for c in keys)
+    is_known = f"EXISTS (SELECT 1 FROM fate_{known} k WHERE k.suerte = 'cargada' AND {same})" if known else "FALSE"
+    reason = f"""CASE WHEN _bad IS NOT NULL THEN _bad WHEN id_ccaa IS NULL THEN 'codigo_region' WHEN {period} IS NULL THEN 'periodo'
+        WHEN {value} IS NULL AND NOT _miss THEN 'valor' END"""
+    fate = f"""SELECT *, CASE WHEN motivo_rechazo IS NOT NULL THEN 'rechazada' WHEN {value} IS NULL THEN 'suprimida'
+            WHEN {is_known} THEN 'ya_cargada' WHEN place > 1 THEN 'repetida' ELSE 'cargada' END AS suerte FROM (
+        SELECT *, row_number() OVER (PARTITION BY {", ".join(keys)}, motivo_rechazo IS NULL AND {value} IS NOT NULL ORDER BY _texto) AS place
+        FROM (SELECT *, {reason} AS motivo_rechazo FROM lot_{name}) r) p"""
+    ctes = stg[:-1] + [(f"raw_{name}", f"SELECT *, {sound} FROM ({stg[-1][1]}) s"), (f"stg_{name}", faulty), (f"lot_{name}", select), (f"fate_{name}", fate)]
+    return facts, ctes
+
+
+_lot_facts, _lots = [], []
+for _n in PARSE:
+    _f, _c = _lot_ctes(_n, "residents_motives" if _n == "residents_lodging" else None)
+    _lot_facts += _f
+    _lots += _c
+
+
+def _over_lots(select):
+    return with_facts(_lot_facts, _lots, " UNION ALL ".join(select(n) for n in PARSE))
+
+
+_FATES = ("cargada", "suprimida", "rechazada", "ya_cargada", "repetida")
+ORACLE["load_observed"] = _over_lots(lambda n: f"SELECT {q(n)} AS tabla, COUNT(*) AS leidas, " + ", ".join(
+    f"COUNT(*) FILTER (suerte = {q(f)}) AS {f}" for f in _FATES) + f" FROM fate_{n}")
+ORACLE["load_rejects"] = _over_lots(lambda n: f"""SELECT {q(n)} AS tabla, motivo_rechazo, COUNT(*) AS filas
+    FROM fate_{n} WHERE motivo_rechazo IS NOT NULL GROUP BY 2""")
+ORACLE["load_losers"] = _over_lots(lambda n: f"""SELECT {q(n)} AS tabla, suerte, _texto AS texto FROM fate_{n}
+    WHERE suerte IN ('ya_cargada', 'repetida')""")
+
+
+def _lot_summary(n):
+    fact = FACT_OF[n]
+    year = "anio" if "anio" in FACT_SCHEMAS[fact].names else "CAST(year(fecha) AS INTEGER)"
+    return f"SELECT {q(fact)} AS tabla, {year} AS anio, {FACT_VALUE[fact]} AS v FROM fate_{n} WHERE suerte = 'cargada'"
+
+
+ORACLE["repeated_load"] = with_facts(_lot_facts, _lots, f"""SELECT tabla, anio, COUNT(*) AS filas, CAST(SUM(v) AS DOUBLE) AS total
+    FROM ({" UNION ALL ".join(_lot_summary(n) for n in PARSE)}) t GROUP BY 1, 2""")
+_fk, _ck = parsed_ctes("residents_lodging")
+_ck = [(n, s.replace("WHERE trim(col3) <> 'Total'", "") if n.startswith("prs_") else s) for n, s in _ck]
+ORACLE["fuse_on_key"] = with_facts(_fm + _fk, _cm + _ck, f"""SELECT * FROM ({_clean_select('residents_motives')}) m
+    UNION ALL SELECT * FROM ({_clean_select('residents_lodging')}) l WHERE NOT EXISTS (SELECT 1 FROM ({_clean_select('residents_motives')}) m
+        WHERE {" AND ".join(f"m.{k} IS NOT DISTINCT FROM l.{k}" for k in FACT_KEYS["residents"])})""")
+
+
+def _violations(n):
+    fact, clean = FACT_OF[n], f"({_clean_select(n)}) c"
+    keys, value = ", ".join(FACT_KEYS[fact]), FACT_VALUE[fact]
+    cells = f"(SELECT COUNT(*) AS n, COUNT(DISTINCT {value}) AS m FROM {clean} GROUP BY {keys}) g"
+    names = f"(SELECT id_ccaa, COUNT(*) AS n, COUNT(DISTINCT destino) AS m FROM {clean} GROUP BY 1) g"
+    orphans = f"(SELECT id_ccaa, COUNT(*) AS n FROM {clean} WHERE id_ccaa NOT IN (SELECT n_nationkey FROM nation) GROUP BY 1) g"
+    rules = {"clave_unica": f"COUNT(*) AS violaciones, SUM(n - 1) AS filas FROM {cells} WHERE n > 1",
+             "celda_ambigua": f"COUNT(*), SUM(n) FROM {cells} WHERE m > 1", "region_nombre": f"COUNT(*), SUM(n) FROM {names} WHERE m > 1",
+             "region_huerfana": f"COUNT(*), SUM(n) FROM {orphans}", "region_sin_codigo": f"COUNT(*), COUNT(*) FROM {clean} WHERE id_ccaa IS NULL"}
+    return " UNION ALL ".join(f"SELECT {q(n)} AS tabla, {q(r)} AS regla, {s}" for r, s in rules.items())
+
+
+_all_facts = [f for n in PARSE for f in parsed_ctes(n)[0]]
+_all_ctes = [(c, s.replace("WHERE trim(col3) <> 'Total'", "") if c == "prs_residents_lodging" else s) for n in PARSE for c, s in parsed_ctes(n)[1]]
+ORACLE["constraint_violations"] = with_facts(_all_facts, _all_ctes, f"""SELECT tabla, regla, violaciones,
+    CAST(COALESCE(filas, 0) AS BIGINT) AS filas FROM ({" UNION ALL ".join(_violations(n) for n in PARSE)}) v""")

@@ -12,9 +12,10 @@ from tidewise.functions.parse import (empty_to_null, is_missing, map_patterns, p
 from tidewise import vocab as V
 from tidewise.operators import quality as QL
 from tidewise.plans import etl as E
+from tidewise.plans import loads as LD
 from tidewise.plans import queries as Q
 from tidewise.plans.registry import P, YEAR, facts, register
-from tidewise.schemas import FACT_SCHEMAS, FACT_VALUE, STAGING_ENCODING, STAGING_WIDTH
+from tidewise.schemas import FACT_KEYS, FACT_SCHEMAS, FACT_VALUE, STAGING_ENCODING, STAGING_WIDTH
 from tidewise.session import scratch_path
 from tidewise.sources import bindings as B
 from tidewise.sources import sinks, staging as S
@@ -184,6 +185,73 @@ def _conform(spark, d):
     return sinks.conform(loose, FACT_SCHEMAS["residents"])
 
 
+# ---- loads of faulty deliveries, in lots ------------------------------------------
+
+#: The lodging extract with its grand totals: they give way to the motives extract by the natural key.
+LOT_PARSERS = PARSERS | {"residents_lodging": lambda s: E._parse_residents(s, "residents_lodging")}
+
+
+def _loaded_lots(spark, d, times=1):
+    """All seven extracts, with faults, loaded as lots; returns the lots by extract and the folders of the facts."""
+    lots, paths = {}, {fact: scratch_path(spark, f"lots-{fact}") for fact in FACT_SCHEMAS}
+    for name, parse in LOT_PARSERS.items():
+        files = scratch_path(spark, f"faulty-{name}")
+        S.write_faulty_staging(staged(spark, d, name), files, STAGING_ENCODING[name])
+        for _ in range(times):
+            lots[name] = LD.load_lot(spark, files, name, FACT_OF[name], parse, paths[FACT_OF[name]], name)
+    return lots, paths
+
+
+@register("load_observed")
+def _observed(spark, d):
+    """Rows of each fate, observed while the lots were written."""
+    names = ["leidas", *LD.L.FATES]
+    rows = [(n, *[lot.audit[c] for c in names]) for n, lot in _loaded_lots(spark, d)[0].items()]  # a row an extract
+    return spark.createDataFrame(rows, "tabla string, " + ", ".join(f"{c} long" for c in names))
+
+
+@register("load_rejects")
+def _rejects(spark, d):
+    """Rejects by reason: malformed lines have reasons of their own."""
+    lots, _ = _loaded_lots(spark, d)
+    parts = [lot.rejects.groupBy("motivo_rechazo").agg(F.count(F.lit(1)).alias("filas")).select(F.lit(n).alias("tabla"), "*")
+             for n, lot in lots.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
+@register("load_losers")
+def _losers(spark, d):
+    """Rows whose cell was already loaded, by another lot or by an earlier row of their own."""
+    lots, _ = _loaded_lots(spark, d)
+    return reduce(DataFrame.unionByName, [lot.losers.select(F.lit(n).alias("tabla"), "suerte", "texto") for n, lot in lots.items()])
+
+
+@register("repeated_load")
+def _repeated(spark, d):
+    """Every lot loaded twice: the facts are as after once."""
+    _, paths = _loaded_lots(spark, d, times=2)
+    return _summary({fact: LD.read_lots(spark, path, fact) for fact, path in paths.items()})
+
+
+@register("fuse_on_key")
+def _fuse_key(spark, d):
+    """Motives and lodging fused on the natural key of the fact instead of a predicate."""
+    mot = E.load(E.parse_residents_motives(staged(spark, d, "residents_motives")), "residents")
+    lod = E.load(E._parse_residents(staged(spark, d, "residents_lodging"), "residents_lodging"), "residents")
+    return LD.L.fuse_on_key(mot, lod, FACT_KEYS["residents"])[0]
+
+
+@register("constraint_violations")
+def _violations(spark, d):
+    """Constraints of the parsed extracts, before a load has chosen between rows."""
+    dim, parts = region_dim(spark, d), []
+    for name, parse in LOT_PARSERS.items():
+        fact = FACT_OF[name]
+        rules = QL.constraint_violations(E.load(parse(staged(spark, d, name)), fact), FACT_KEYS[fact], FACT_VALUE[fact], dim)
+        parts.append(rules.select(F.lit(name).alias("tabla"), "*"))
+    return reduce(DataFrame.unionByName, parts)
+
+
 # ---- scalar parsers over the staging text ---------------------------------------
 
 def _parse_key(name, col, build, distinct=True):

@@ -65,4 +65,14 @@ FACT_SCHEMAS = {
 FACT_VALUE = {"quarterly_spend": "valor", "residents": "viajes", "foreign_motives": "turistas",
               "foreign_spend": "valor", "capacity": "plazas", "demand": "valor"}
 
+# Natural key of each fact: at most one row for each combination (a NULL is a value of its own).
+FACT_KEYS = {
+    "quarterly_spend": ("id_ccaa", "metrica", "anio", "trimestre"),
+    "residents": ("id_ccaa", "motivo", "alojamiento_nivel1", "alojamiento_nivel2", "anio"),
+    "foreign_motives": ("id_ccaa", "motivo", "fecha"),
+    "foreign_spend": ("id_ccaa", "metrica", "anio"),
+    "capacity": ("id_ccaa", "tipo_alojamiento", "fecha"),
+    "demand": ("id_ccaa", "tipo_alojamiento", "residencia", "metrica", "fecha"),
+}
+
 DIM_REGION = _s(("id_ccaa", T.IntegerType()), ("destino", T.StringType()))

@@ -143,14 +143,14 @@ EXTRACTS = {"quarterly_spend": quarterly_spend, "residents_motives": residents_m
 BOM = "\ufeff"
 
 
-def write_staging(df: DataFrame, path: str, encoding: str = "UTF-8") -> None:
+def write_staging(df: DataFrame, path: str, encoding: str = "UTF-8", mode: str = "overwrite") -> None:
     """Write an extract as ';'-separated text with header; padding and '' survive.
 
     UTF-8 files begin with a byte order mark, as the published ones do.
     """
     if encoding == "UTF-8":
         df = df.withColumnRenamed("col1", f"{BOM}col1")
-    (df.write.mode("overwrite").option("sep", ";").option("header", True)
+    (df.write.mode(mode).option("sep", ";").option("header", True)
      .option("encoding", encoding).option("ignoreLeadingWhiteSpace", False)
      .option("ignoreTrailingWhiteSpace", False).csv(path))
 
@@ -165,6 +165,53 @@ def read_staging(spark: SparkSession, path: str, n_cols: int, encoding: str = "U
             .option("encoding", encoding).option("mode", "PERMISSIVE").csv(path))
 
 
+#: A line is short, wide or revised by its length modulo these (see write_faulty_staging).
+SHORT_LINE, WIDE_LINE, REVISED_LINE = (23, 3), (23, 7), (29, 4)
+
+
+def write_faulty_staging(df: DataFrame, path: str, encoding: str = "UTF-8") -> None:
+    """An extract with the faults of real deliveries: short lines (the last field is gone), wide
+    lines (one more field), and lines that stand in it once more with a revised value.
+
+    Which lines, is decided by the number of characters of a line.
+    """
+    size = sum((_len(c) for c in df.columns), F.lit(0))
+
+    def lines(rule):
+        return size % rule[0] == rule[1]
+
+    broken = lines(SHORT_LINE) | lines(WIDE_LINE)
+    revised = df.where(~broken & lines(REVISED_LINE)).withColumn(df.columns[-1], F.lit("7"))
+    parts = [df.where(~broken).unionByName(revised), df.where(lines(SHORT_LINE)).drop(df.columns[-1]),
+             df.where(lines(WIDE_LINE)).withColumn("extra", F.lit("x"))]
+    for i, part in enumerate(parts):
+        write_staging(part, path, encoding, "append" if i else "overwrite")
+
+
+#: Column that holds the text of a line with too few or too many fields (NULL for a sound line).
+MALFORMED = "_linea_mala"
+
+
+def scan_staging(spark: SparkSession, path: str, n_cols: int, encoding: str = "UTF-8", sep: str = ";") -> DataFrame:
+    """:func:`read_staging` with one more column, :data:`MALFORMED`.
+
+    A short line has its missing fields padded with NULL and a wide one its last fields cut; the column
+    tells them from lines whose fields are really empty. Every line is split whole, also where a
+    query needs few columns. (Spark wants a query on it to name another column too.)
+    """
+    schema = staging_schema(n_cols).add(MALFORMED, "string")
+    return (spark.read.schema(schema).option("sep", sep).option("header", True).option("encoding", encoding)
+            .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", MALFORMED)
+            .option("columnPruning", False).csv(path))
+
+
+def malformed_reason(n_cols: int, sep: str = ";"):
+    """Reason of a line in :data:`MALFORMED`: too few fields, too many, or unreadable quotes."""
+    fields = F.length(MALFORMED) - F.length(F.replace(F.col(MALFORMED), F.lit(sep), F.lit(""))) + 1
+    return (F.when(F.col(MALFORMED).isNull(), F.lit(None)).when(fields < n_cols, "faltan_campos")
+            .when(fields > n_cols, "sobran_campos").otherwise("linea_ilegible"))
+
+
 def roundtrip(spark: SparkSession, name: str, df: DataFrame, path: str) -> DataFrame:
     enc = STAGING_ENCODING[name]
     write_staging(df, path, enc)
