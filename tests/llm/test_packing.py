@@ -76,6 +76,31 @@ def test_words_encode_as_texts(texts):
     assert [ids[a:b].tolist() for a, b in zip(off, off[1:], strict=False)] == [direct(t)[:-1] for t in texts]
 
 
+#: Letters whose normal or lower-case form ends in a mark (composition exclusions and a Turkish capital), and others.
+LETTERS = list("İaZéÉßẞǅJHTWYhtw") + ["\u0958", "\u09dc", "\ufb1d", "\ufb2a", "\u0f43", "\u0a33", "\u2126", "\u212a", "e\u0301", "J\u030c",
+                                       "H\u0331", "T\u0308", "W\u030a", "Y\u030a", "A\u02be", "\u1100\u1161", "漢", "Σ", "ς", "1", "²", "١"]
+MARKS = [chr(c) for c in range(0x21, 0x7F) if not chr(c).isalnum()] + ["\u0338", "\u0301", "«", "…", "’", "'s", "'LL", "<|endoftext|>", "<|ENDOFTEXT|>", "|", " ", ""]
+
+
+def encoded(texts):
+    ids, off = P._encoder(P.tokenizer_path()).encode(pa.array(texts, pa.string()))
+    return [ids[a:b].tolist() for a, b in zip(off, off[1:], strict=False)]
+
+
+def test_every_letter_before_every_mark():
+    texts = [f"ab{a}{m}{b}" for a in LETTERS for m in MARKS for b in ("", "c", m)]
+    want = [direct(t)[:-1] for t in texts]
+    assert encoded(texts) == want  # one slice, special tokens among them
+    assert [encoded([t])[0] for t in texts[::7]] == want[::7]  # each alone
+    assert encoded([t + "." for t in ("YENİ", "SERİ, yeni", "क़", "ड़", "יִ", "שׁ-", "གྷ")]) == [direct(t + ".")[:-1] for t in ("YENİ", "SERİ, yeni", "क़", "ड़", "יִ", "שׁ-", "གྷ")]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(alphabet=st.sampled_from([*"".join(LETTERS), *"".join(MARKS), "\n", "\u00a0"]), max_size=14), min_size=1, max_size=4))
+def test_mixed_scripts_encode_as_texts(texts):
+    assert encoded(texts) == [direct(t)[:-1] for t in texts]
+
+
 def test_full_word_table_stays_right(monkeypatch):
     monkeypatch.setattr(P, "KNOWN_WORDS", 5)
     enc = P.WordEncoder(P.tokenizer_path())

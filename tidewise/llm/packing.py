@@ -33,16 +33,19 @@ TIE_BITS = 23
 FEATURES = 4096
 #: Distinct words whose ids a Python worker keeps.
 KNOWN_WORDS = 200_000
-#: Lower-case words of Latin letters that normalization leaves as they are.
-_PLAIN = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+")
+#: Tokens of one bucket of the curve, which a task sorts and cuts.
+BUCKET_TOKENS = 8 << 20
+LEAST_BUCKETS = 8
+#: Words of composed Latin letters: normalization only lower-cases them, letter by letter.
+_PLAIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00de\u00df-\u00f6\u00f8-\u00ff]+")
 
 
 class WordEncoder:
     """Encodes texts word by word, each distinct word once.
 
-    The tokenizer's pre-tokenizer never joins what white space separates, and its
-    normalizer lower-cases, so equal words have equal ids wherever they stand. Texts
-    with a special token's opening keep their case, as those match exactly.
+    The tokenizer's pre-tokenizer never joins what white space separates, and no normal form
+    reaches over it, so equal words have equal ids wherever they stand. Words keep their case: special tokens
+    match exactly, and composition comes before lower-casing (J + caron stays two letters, j + caron does not).
     """
 
     def __init__(self, file: str):
@@ -60,8 +63,8 @@ class WordEncoder:
         self.first = [0]
 
     def _ids(self, word: str) -> list[int]:
-        if _PLAIN.fullmatch(word):  # nor is such a word changed
-            return [t.id for t in self.tokenizer.model.tokenize(word.translate(self.bytes))]
+        if _PLAIN.fullmatch(word):
+            return [t.id for t in self.tokenizer.model.tokenize(word.lower().translate(self.bytes))]
         return self.tokenizer.encode(word, add_special_tokens=False).ids
 
     def _learn(self, words: list[str]) -> None:
@@ -70,8 +73,8 @@ class WordEncoder:
         base = len(self.first) - 1
         model = self.tokenizer.model
         for w in words:
-            if w.isascii() and w.isalpha() and w.islower():  # neither normalizer nor pre-tokenizer changes it
-                ids += [t.id for t in model.tokenize(w)]
+            if w.isascii() and w.isalpha():  # the normalizer lower-cases it, the pre-tokenizer leaves it whole
+                ids += [t.id for t in model.tokenize(w.lower())]
             else:
                 ids += self._ids(w)
             self.first.append(self.used + len(ids))
@@ -92,11 +95,9 @@ class WordEncoder:
 
     def encode(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Token ids of all texts end to end, and the n + 1 offsets of the texts."""
-        text = pc.fill_null(text, "")
-        if not pc.any(pc.match_substring(text, "<|")).as_py():
-            text = pc.ascii_lower(text)
-            # the pre-tokenizer parts letters from a mark that follows them, unless it is an apostrophe
-            text = pc.replace_substring_regex(text, r"(\p{L})([!-&(-/:-@\[-`{-~])", r"\1 \2")
+        # The pre-tokenizer parts a letter from a mark that follows it, unless that is an apostrophe. Only ASCII letters: others
+        # may have a normal form that ends in a mark, which joins the next one. Not before "|", so special tokens stay whole.
+        text = pc.replace_substring_regex(pc.fill_null(text, ""), r"([A-Za-z])([!-&(-/:-@\[-`{}~])", r"\1 \2")
         parts = pc.ascii_split_whitespace(text)
         off = parts.offsets.to_numpy().astype(np.int64)
         enc = parts.values.slice(off[0], off[-1] - off[0]).dictionary_encode()
@@ -288,7 +289,8 @@ def pack(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "t
                     fields, lambda t: _tokens(t, tokenizer))
     with small_batches(spark):
         rows = saved(rows, "tokens")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n_tokens = rows.agg(F.coalesce(F.sum("doc_tokens"), F.lit(0)).alias("n")).first()["n"]
+    parts = max(LEAST_BUCKETS, -(-n_tokens // BUCKET_TOKENS))  # so a task's share does not grow with the data
     # parts - 1 quantiles of the keys; a bucket has a stretch of the curve
     bounds = rows.agg(F.percentile_approx("key", [k / parts for k in range(1, parts)] or [0.5], F.lit(20 * parts))).first()[0]
     if bounds is None:
