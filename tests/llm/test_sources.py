@@ -1,10 +1,12 @@
 """WARC round trip and line dedup against SQL and brute force."""
 
+import base64
 import gzip
 import hashlib
 import io
 
 import pytest
+from pyspark.sql import types as T
 
 from llm_helpers import EDGE, MEDIUM, SMALL, make
 from oracle_harness import compare, duck
@@ -50,15 +52,113 @@ def test_warc_empty_table(spark):
     assert W.warc_round_trip(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
-def test_archives_are_gzip_members():
-    records = W.transaction(5, "http://h/", "body", None, False)
-    assert [m.split(b"\r\n", 2)[1] for m in W.members(io.BytesIO(b"".join(records)), chunk=7)] == [
-        b"WARC-Type: response", b"WARC-Type: request", b"WARC-Type: metadata"]
-    assert gzip.decompress(b"".join(records)).count(b"WARC/1.1\r\n") == 3
-    with pytest.raises(ValueError, match="cut short"):
-        W.parse(gzip.decompress(records[0])[:-5], True)
-    with pytest.raises(ValueError, match="no"):
-        W.parse(b"HTTP/1.1 200\r\n\r\n", True)
+def records_of(data, chunk=1 << 18):
+    return [W.parse(h, block, True) for h, block in W.raw_records(io.BytesIO(data), chunk)]
+
+
+def own(body="body", page_id=5, **more):
+    raw = body.encode()
+    return W.transaction(page_id, "http://h/", W.DATE, len(raw), hashlib.sha256(raw).hexdigest(), raw, **more)[1]
+
+
+@pytest.mark.parametrize("chunk", [1, 7, 1 << 18])
+def test_plain_and_packed_archives_are_the_same_records(chunk):
+    packed = own("a\r\n\r\nWARC/1.1\r\n") + own("")
+    want = records_of(b"".join(packed))
+    assert [r[1] for r in want] == ["response", "request", "metadata"] * 2
+    plain = b"".join(gzip.decompress(p) for p in packed)
+    for data in (b"".join(packed), plain, gzip.compress(plain)):
+        assert records_of(data, chunk) == want
+    assert records_of(b"") == []
+
+
+def test_every_cut_is_an_error():
+    packed = own("some payload " * 3)
+    whole = b"".join(packed)
+    ends, plain_ends, at, plain_at = set(), set(), 0, 0
+    for p in packed:
+        at, plain_at = at + len(p), plain_at + len(gzip.decompress(p))
+        ends.add(at)
+        plain_ends.add(plain_at)
+    plain = gzip.decompress(whole)
+    for data, sound in ((whole, ends), (plain, plain_ends), (gzip.compress(plain), {len(gzip.compress(plain))})):
+        for n in range(1, len(data)):
+            if n not in sound:
+                with pytest.raises((W.Cut, ValueError)):
+                    records_of(data[:n])
+    with pytest.raises(ValueError, match="no WARC|not a WARC"):
+        records_of(b"HTTP/1.1 200\r\n\r\n")
+    with pytest.raises(ValueError, match="no length"):
+        records_of(b"WARC/1.0\r\nWARC-Type: request\r\n\r\n")
+    with pytest.raises(ValueError, match="does not end"):
+        records_of(plain[:-4] + b"more")
+
+
+def test_cut_archive_ends_the_job(spark, tmp_path):
+    pages = spark.createDataFrame([(i, f"http://h/{i}", f"page {i} " * 50) for i in range(6)], "page_id long, url string, html string")
+    manifest = W.write_archives(pages.coalesce(1)).collect()
+    assert sum(m.n_records for m in manifest) == 18
+    files, path = W._file_system(manifest[0].archive)
+    with files.open_input_stream(path, compression=None) as f:
+        data = f.read()
+    ends = [i for i in range(len(data)) if data[i:i + 3] == b"\x1f\x8b\x08"]
+    for n in (len(data) // 2, ends[3], len(data) - 1):  # inside a record, between records, in the last trailer
+        (tmp_path / f"{n}.warc.gz").write_bytes(data[:n])
+        cut = spark.createDataFrame([(f"{tmp_path}/{n}.warc.gz", manifest[0].n_records)], "archive string, n_records long")
+        with pytest.raises(Exception, match="cut short|its manifest says"):
+            W.read_archives(cut).collect()
+
+
+def test_odd_urls_survive(spark):
+    urls = ["http://ex\u2100mple.com", "http://[bad", "http://h:port/x?q#f", "//", "", "a b", "http://h?q=1", "%zz%41", "x://\u0000/\n"]
+    pages = spark.createDataFrame([(i, u, "p") for i, u in enumerate(urls)], "page_id long, url string, html string")
+    got = {r.page_id: r.response.target_uri for r in W.warc_round_trip(pages).collect()}
+    assert got == dict(enumerate(urls))
+
+
+def foreign(kind, block, **headers):
+    head = {"WARC-Type": kind, "WARC-Record-ID": f"<urn:uuid:{kind}-{len(block)}>", "WARC-Date": "2021-05-05T00:00:00Z", **headers, "Content-Length": len(block)}
+    return ("WARC/1.0\r\n" + "".join(f"{k.replace('_', '-')}: {v}\r\n" for k, v in head.items()) + "\r\n").encode() + block + b"\r\n\r\n"
+
+
+def test_foreign_archives(spark, tmp_path):
+    http = {"Content_Type": "application/http; msgtype=response"}
+    body = b"hello world"
+    sha1 = base64.b32encode(hashlib.sha1(body).digest()).decode()
+    chunked = b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n5\r\nhello\r\n6;x=1\r\n world\r\n0\r\n\r\n"
+    data = [foreign("warcinfo", b"software: x\r\n"),
+            foreign("response", b"HTTP/1.1 200 OK\r\n\r\n" + body, WARC_Record_ID="<r1>", WARC_Target_URI="<http://h/%41 b>", **http),
+            foreign("response", b"HTTP/1.1 200 OK\r\nX: a\r\n b\r\n\r\n" + body, WARC_Record_ID="<r2>", WARC_Payload_Digest=f"sha1:{sha1}", **http),
+            foreign("response", chunked, WARC_Record_ID="<r3>", WARC_Payload_Digest=f"sha1:{sha1.lower()}", **http),
+            foreign("response", b"HTTP/1.1 200 OK\r\n\r\nother", WARC_Record_ID="<r4>", WARC_Payload_Digest=f"sha1:{sha1}", **http),
+            foreign("response", b"1.2.3.4", WARC_Record_ID="<r5>", WARC_Payload_Digest="blake9:x", Content_Type="text/dns"),
+            foreign("revisit", b"HTTP/1.1 304 Not Modified\r\n\r\n", WARC_Record_ID="<v1>", WARC_Payload_Digest=f"sha1:{sha1}", **http),
+            foreign("revisit", b"", WARC_Record_ID="<v2>", WARC_Refers_To="<r4>"),
+            foreign("metadata", b"page-id: 7\r\n", WARC_Record_ID="<m2>", WARC_Concurrent_To="<r2>"),
+            foreign("metadata", b"page-id: 9\r\n", WARC_Record_ID="<m4>", WARC_Concurrent_To="<r4>"),
+            foreign("conversion", b"text", WARC_Record_ID="<c>", WARC_Refers_To="<r1>")]
+    (tmp_path / "a.warc").write_bytes(b"".join(data))
+    (tmp_path / "b.warc.gz").write_bytes(gzip.compress(b""))
+    archives = spark.createDataFrame([(f"{tmp_path}/a.warc",), (f"{tmp_path}/b.warc.gz",)], "archive string")
+    got = {r.capture_id: r for r in W.assemble(W.read_archives(archives), T.LongType()).collect()}
+    assert set(got) == {"r1", "r2", "r3", "r4", "r5", "v1", "v2"}
+    assert got["r1"].response.digest_ok is None and got["r1"].response.target_uri == "http://h/%41 b"
+    assert [got[k].response.digest_ok for k in ("r2", "r3", "r4", "r5")] == [True, True, False, None]
+    assert [bytes(got[k].response.payload) for k in ("r1", "r2", "r3")] == [body] * 3 and bytes(got["r5"].response.payload) == b"1.2.3.4"
+    assert got["r1"].response.payload_digest == hashlib.sha256(body).hexdigest() and got["r1"].response.date.startswith("2021")
+    assert got["v1"].refers_to == 7 and got["v2"].refers_to == 9
+    assert got["v1"].response.payload_bytes is None and got["v1"].response.payload_digest is None
+
+
+def test_revisits_name_their_record(spark):
+    pages = spark.createDataFrame([(i, f"http://h/{i}", A, f"2022-01-0{i}T00:00:00Z" if i != 2 else None) for i in range(1, 5)],
+                                  "page_id long, url string, html string, taken string")
+    records = {r.record_id: r for r in W.read_archives(W.write_archives(pages, date="taken")).collect()}
+    revisits = [r for r in records.values() if r.type == "revisit"]
+    assert len(revisits) == 3
+    for r in revisits:
+        assert records[r.refers_to_record].type == "response" and r.refers_to_uri == records[r.refers_to_record].target_uri == "http://h/1"
+    assert {r.date for r in records.values()} == {"2022-01-01T00:00:00Z", W.DATE, "2022-01-03T00:00:00Z", "2022-01-04T00:00:00Z"}
 
 
 def test_satellites_without_a_response(spark):
@@ -66,7 +166,6 @@ def test_satellites_without_a_response(spark):
     rows = [{**base, "record_id": "a", "type": "request", "concurrent_to": "gone", "request_line": "GET /"},
             {**base, "record_id": "b", "type": "metadata", "concurrent_to": "c", "page_id": "7"},
             {**base, "record_id": "c", "type": "response", "payload_digest": "d", "payload_bytes": 1}]
-    from pyspark.sql import types as T
     out = {r.capture_id: r for r in W.assemble(spark.createDataFrame([tuple(r.values()) for r in rows], W.RECORD), T.LongType()).collect()}
     assert out["gone"].response is None and len(out["gone"].requests) == 1
     assert out["c"].page_id == 7 and out["c"].requests == []
