@@ -350,6 +350,16 @@ def test_pipeline_stages(spark):
     check_pieces(corpus_pipeline.STAGES[-1][1](spark, docs, SMALL).collect(), [(r[0], r[1]) for r in clean])
 
 
+def test_one_row_of_each_group(spark):
+    """Different texts of one id are judged each for itself, equal texts without an id are one, ties have a rule."""
+    from tidewise.llm.simhash import one_of_each_group
+    a, b, c = (sentence(k, 60) for k in (1, 2, 3))
+    rows = [(5, a, "en", "s2"), (5, b, "en", "s1"), (5, a, "en", "s1"), (5, a, "de", "s9"), (7, b, "en", "s0"), (None, c, "en", "s1"), (None, c, "en", "s0"),
+            (None, a, "en", "s0"), (9, None, None, None), (8, "", "en", "s")]
+    got = sorted(((r.doc_id, r.text, r.lang, r.source) for r in one_of_each_group(make(spark, rows)).collect()), key=str)
+    assert got == sorted([(5, a, "de", "s9"), (5, b, "en", "s1"), (None, c, "en", "s0"), (8, "", "en", "s")], key=str)
+
+
 def test_pipeline_takes_edge_rows(spark, edge, empty):
     docs = edge.unionByName(make(spark, [(50, None, None, None)], score=0.0, n_words="", kept="", spans="", h="", key="", fp="", n=0))
     for _, stage in corpus_pipeline.STAGES[:-1]:
@@ -360,7 +370,7 @@ def test_pipeline_takes_edge_rows(spark, edge, empty):
 
 
 def test_registry():
-    assert [k.split("_")[0] for k in QUERIES] == [f"op{n}" for n in range(1, 11)] and set(ORACLE) <= set(QUERIES)
+    assert [k.split("_")[0] for k in QUERIES] == [f"op{n}" for n in range(1, 14)] and set(ORACLE) <= set(QUERIES)
     assert [k for k, _ in corpus_pipeline.STAGES] == ["quality_rules", "line_dedup", "simhash_neardup", "decontamination", "packing"]
     assert zlib.crc32(b"1") and np.__version__
 

@@ -4,11 +4,12 @@ import base64
 import gzip
 import hashlib
 import io
+import re
 
 import pytest
 from pyspark.sql import types as T
 
-from llm_helpers import EDGE, MEDIUM, SMALL, make
+from llm_helpers import EDGE, MEDIUM, SMALL, make, sentence
 from oracle_harness import compare, duck
 from tidewise.llm import line_dedup as L
 from tidewise.llm import warc as W
@@ -171,8 +172,11 @@ def test_satellites_without_a_response(spark):
     assert out["c"].page_id == 7 and out["c"].requests == []
 
 
-def brute_lines(rows, min_sites):
+def brute_lines(rows, min_sites, long_words=L.LONG_WORDS, long_sites=L.LONG_SITES):
     """(text, n_lines, n_removed) of each row, from (doc_id, text, lang, source) rows."""
+    def need(k):
+        return long_sites if len(re.split("[ \t\r]+", k)) >= long_words else min_sites
+
     def key(x):
         return x.strip(" \t\r").lower()
 
@@ -188,7 +192,7 @@ def brute_lines(rows, min_sites):
             out.append((d, None, 0, 0))
             continue
         lines = t.split("\n")
-        kept = [x for x in lines if not key(x) or len(sites[key(x)]) < min_sites or least[key(x)] == d]
+        kept = [x for x in lines if not key(x) or len(sites[key(x)]) < need(key(x)) or least[key(x)] == d]
         out.append((d, "\n".join(kept), len(lines), len(lines) - len(kept)))
     return sorted(map(str, out))
 
@@ -216,6 +220,21 @@ def test_line_dedup_thresholds(spark, min_sites):
     assert got == brute_lines(rows, min_sites)
 
 
+def test_long_lines_have_their_own_threshold(spark):
+    """Lines of 49, 50 and 51 words on one to five sites, and on two documents of one site."""
+    rows, d = [], 0
+    for words in (1, 49, 50, 51, 400):
+        for n in (1, 2, 3, 4, 5):
+            for s in range(n):
+                d += 1
+                rows.append((d, f"own {d}\n  {'  '.join(sentence(words * 10 + n, words).split())}\t\r", "en", f"site {s}"))
+        for _ in range(2):
+            d += 1
+            rows.append((d, sentence(words, words), "en", "site 0"))
+    got = sorted(str(tuple(r)) for r in L.line_dedup(make(spark, rows)).select("doc_id", "text", "n_lines", "n_removed").collect())
+    assert got == brute_lines(rows, L.MIN_SITES) and sum(g.endswith(" 1)") for g in got) == 2 * 4 + 3 * (1 + 2 + 3 + 4)
+
+
 def test_small_table_by_sql(spark):
     r = compare(spark, SMALL, L.op7_line_dedup(spark, SMALL), L.OP7_SQL, duck(SMALL))
     assert r["values_match"], r

@@ -142,6 +142,22 @@ def links(classes: DataFrame, max_bits: int) -> DataFrame:
     return saved(plain.unionByName(_pairs(finer, outer & inner & bound & near)), "pairs")
 
 
+def _grouped(docs: DataFrame, text: str, carry: list[str], shingle: int, max_bits: int) -> DataFrame:
+    """``carry`` columns (``doc_id`` among them), fp, root of the component, component_id, n_links of each row."""
+    field = T.StructField("fp", T.LongType())
+    rows = map_text(docs, text, carry, [field], lambda t: [pa.array(fingerprints(t, shingle), pa.int64())])
+    rows = saved(rows, "fingerprints")
+    classes = saved(rows.groupBy("fp").agg(F.min("doc_id").alias("first_doc"), F.count(F.lit(1)).alias("n_docs")), "classes")
+    found = links(classes, max_bits)
+    degree = found.select(F.explode(F.array("fp_a", "fp_b")).alias("fp")).groupBy("fp").agg(F.count(F.lit(1)).alias("n_links"))
+    roots = components(found, "fp_a", "fp_b").withColumnRenamed("node", "fp")
+    marked = saved(classes.join(roots, "fp", "left").join(degree, "fp", "left")
+                   .withColumn("root", F.coalesce("root", "fp")).fillna(0, ["n_links"]), "marked")
+    groups = saved(marked.groupBy("root").agg(F.min("first_doc").alias("component_id"), F.count(F.lit(1)).alias("n_classes")), "groups")
+    marked = saved(look_up(marked, "root", groups, "n_classes", "root").select("fp", "root", "component_id", "n_links", "n_docs"), "components")
+    return look_up(rows, "fp", marked, "n_docs", "fp")
+
+
 def simhash_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                    shingle: int = 3, max_bits: int = 3) -> DataFrame:
     """(doc_id, fingerprint, component_id, n_links) for each row.
@@ -152,30 +168,25 @@ def simhash_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     words (null, empty) have fingerprint zero and link like any other. Repeated rows
     appear as often as given; a null doc_id never names a component, unless all are null.
     """
-    field = T.StructField("fp", T.LongType())
-    rows = map_text(docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")), "text", ["doc_id"],
-                    [field], lambda t: [pa.array(fingerprints(t, shingle), pa.int64())])
-    rows = saved(rows, "fingerprints")
-    classes = saved(rows.groupBy("fp").agg(F.min("doc_id").alias("first_doc"), F.count(F.lit(1)).alias("n_docs")), "classes")
-    found = links(classes, max_bits)
-    degree = found.select(F.explode(F.array("fp_a", "fp_b")).alias("fp")).groupBy("fp").agg(F.count(F.lit(1)).alias("n_links"))
-    roots = components(found, "fp_a", "fp_b").withColumnRenamed("node", "fp")
-    marked = saved(classes.join(roots, "fp", "left").join(degree, "fp", "left")
-                   .withColumn("root", F.coalesce("root", "fp")).fillna(0, ["n_links"]), "marked")
-    groups = saved(marked.groupBy("root").agg(F.min("first_doc").alias("component_id"), F.count(F.lit(1)).alias("n_classes")), "groups")
-    marked = saved(look_up(marked, "root", groups, "n_classes", "root").select("fp", "component_id", "n_links", "n_docs"), "components")
-    out = look_up(rows, "fp", marked, "n_docs", "fp")
+    rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    out = _grouped(rows, "text", ["doc_id"], shingle, max_bits)
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "n_links")
 
 
 def one_of_each_group(docs: DataFrame, shingle: int = 3, max_bits: int = 3) -> DataFrame:
-    """The rows of ``docs`` whose doc_id names their component, one row each.
+    """One row of ``docs`` for each component, also where an id is null or stands in several rows.
 
-    A repeated doc_id stays once; documents without an id cannot be named and all stay.
+    It is the row with the smallest doc_id (null after all others); of several such rows the one whose text has the smallest
+    SHA-256 (null first), then the one with the smallest other columns in their order.
     """
-    chosen = simhash_groups(docs, shingle=shingle, max_bits=max_bits).filter("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.filter("doc_id is not null").join(chosen, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.select(docs.columns).unionByName(docs.filter("doc_id is null"))
+    digest = F.sha2(F.col("text").cast("binary"), 256)
+    rows = _grouped(docs.select("doc_id", "text", digest.alias("__digest")), "text", ["doc_id", "__digest"], shingle, max_bits)
+    chosen = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__digest")).alias("c"))
+    chosen = chosen.select(F.col("c.doc_id").alias("__id"), F.col("c.__digest").alias("__d"))
+    kept = docs.join(chosen, F.col("doc_id").eqNullSafe(F.col("__id")) & digest.eqNullSafe(F.col("__d")), "left_semi")
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    first = kept.groupBy("doc_id", "text").agg(F.min(F.struct(*[F.col(f"`{c}`") for c in rest])).alias("__rest"))
+    return first.select("doc_id", "text", *[F.col(f"__rest.`{c}`").alias(c) for c in rest]).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op5_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
