@@ -31,9 +31,12 @@ from pyspark.sql import types as T
 from tidewise.llm.common import look_up, map_text, read, saved, slices, whitespace_words
 
 WINDOW = 13
-#: Words of one hash range: about 24 MB of packed entries, of which a seventh are held as a table.
-RANGE_WORDS = 4 << 20
-LEAST_RANGES = 8
+#: Words of one hash range: about 100 MB of packed entries, of which a seventh are held as a table. A document has a row of
+#: found entries for each range, so ranges are large.
+RANGE_WORDS = 16 << 20
+LEAST_RANGES = 24
+#: Words of one part of the texts.
+PART_WORDS = 4 << 20
 #: Reference entries that are gathered before they are folded into the table.
 FOLD = 1 << 20
 REFERENCE, PROBE, ASK_REFERENCE = 0, 1, 2
@@ -312,7 +315,7 @@ def substring_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     fields = [T.StructField("n_words", T.LongType()), T.StructField("digest", T.BinaryType())]
     base = saved(map_text(rows, "text", ["doc_id"], fields, _digests), "digests")
     total = base.agg(F.coalesce(F.sum("n_words"), F.lit(0)).alias("n")).first()["n"]
-    ranges = max(LEAST_RANGES, math.ceil(total / RANGE_WORDS))
+    ranges, parts = (max(LEAST_RANGES, math.ceil(total / words)) for words in (RANGE_WORDS, PART_WORDS))
 
     able = base.filter((F.col("n_words") >= window) & F.col("doc_id").isNotNull())
     firsts = saved(able.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")), "first-copies")
@@ -323,7 +326,7 @@ def substring_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     live = rows.filter("doc_id is not null and text is not null")
     anchors = saved(_partners(_anchors(live, window, ranges), ranges, "<u4"), "anchors")
     found = anchors.join(own, "doc_id", "left_semi").groupBy("doc_id").agg(F.collect_list(F.struct("kind", "part", "entries")).alias("found"))
-    placed = live.repartition(ranges, "doc_id")  # both joins below use this one shuffle of the texts
+    placed = live.repartition(parts, "doc_id")  # both joins below use this one shuffle of the texts
     windows = _extended(placed.join(found, "doc_id").select("doc_id", "text", "found"), window, ranges)
     confirmed = _partners(windows, ranges, "<u8").groupBy("doc_id").agg(F.collect_list("entries").alias("entries"))
     cut = _cut(placed.join(confirmed, "doc_id").select("doc_id", "text", "entries"), window)
