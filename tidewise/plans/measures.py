@@ -51,6 +51,36 @@ def tourism_totals(trips: DataFrame, foreign: DataFrame, quarterly: bool = False
                                                       F.col("total_turistas_extranjeros")))
 
 
+def _tourism_rows(trips: DataFrame, foreign: DataFrame) -> DataFrame:
+    """Rows of both populations with their region, year and quarter."""
+    none = F.lit(None)
+    dom = trips.where(F.col("metrica") == V.TRIPS).select(
+        "destino", "anio", "trimestre", F.col("valor").cast("decimal(20,2)").alias("_d"), none.cast("bigint").alias("_e"))
+    ext = foreign.select("destino", F.year("fecha").alias("anio"), F.quarter("fecha").alias("trimestre"),
+                         none.cast("decimal(20,2)").alias("_d"), F.col("turistas").alias("_e"))
+    return dom.unionByName(ext)
+
+
+def quarter_matrix(trips: DataFrame, foreign: DataFrame) -> DataFrame:
+    """Quarter totals and shares of every region with the totals of a matrix: of regions, of quarters and of all.
+
+    (anio, destino, trimestre, todas_regiones, todos_trimestres, total_turismo, pct_trimestral). GROUPING SETS make the
+    region rows and the row of all regions in one shuffle; the four quarters and their total are aggregates of the same row. So
+    each share, those of the totals too, is a ratio of sums, never a sum or mean of shares.
+    """
+    def total(condition):
+        return _sum_or_null(*[F.sum(F.when(condition, F.col(c))).cast("double") for c in ("_d", "_e")])
+
+    quarters = [total(F.col("trimestre") == q).alias(f"_q{q}") for q in range(1, 5)]
+    rows = _tourism_rows(trips, foreign).groupingSets([["anio", "destino"], ["anio"]], "anio", "destino").agg(
+        F.grouping("destino").cast("int").alias("todas_regiones"), total(F.lit(True)).alias("_all"), *quarters)
+    cells = [F.struct(F.lit(q).cast("int").alias("trimestre"), F.lit(0).alias("todos_trimestres"), F.col(f"_q{q}").alias("total_turismo")) for q in range(1, 5)]
+    cells.append(F.struct(F.lit(None).cast("int").alias("trimestre"), F.lit(1).alias("todos_trimestres"), F.col("_all").alias("total_turismo")))
+    long = rows.select("anio", "destino", "todas_regiones", "_all", F.inline(F.array(*cells)))
+    return long.where(F.col("total_turismo").isNotNull()).select(
+        "anio", "destino", "trimestre", "todas_regiones", "todos_trimestres", "total_turismo", ratio6("total_turismo", "_all").alias("pct_trimestral"))
+
+
 def foreign_share(totals: DataFrame) -> DataFrame:
     return totals.withColumn("pct_turistas_extranjeros",
                              ratio6("total_turistas_extranjeros", "total_turismo"))

@@ -93,3 +93,37 @@ def _band(key, col, name):
 ORACLE["pressure_band"] = _band("pressure", "presion_comercial", "banda_presion")
 ORACLE["stay_band"] = _band("stay", "estancia_media", "banda_estancia")
 ORACLE["dependence_band"] = _band("dependence", "pct_extranjero", "banda_dependencia")
+
+# ---- mergeable states: the same over all rows ------------------------------------------
+ORACLE["coverage_merged"] = with_facts(["fx_foreign_m"], [], """SELECT destino, CAST(year(fecha) AS INTEGER) AS anio,
+    COUNT(DISTINCT month(fecha)) AS meses_con_datos, COUNT(DISTINCT month(fecha)) >= 12 AS fiable FROM fx_foreign_m GROUP BY 1, 2""")
+ORACLE["absent_months"] = with_facts(["fx_foreign_m"], [], """SELECT y.destino, y.anio, CAST(m.mes AS INTEGER) AS mes
+    FROM (SELECT DISTINCT destino, CAST(year(fecha) AS INTEGER) AS anio FROM fx_foreign_m) y, range(1, 13) m(mes)
+    WHERE NOT EXISTS (SELECT 1 FROM fx_foreign_m f WHERE f.destino = y.destino AND year(f.fecha) = y.anio AND month(f.fecha) = m.mes)""")
+ORACLE["seasonality_cv_merged"] = ORACLE["seasonality_cv_pooled"]
+
+# ---- dense calendar: every region with every month of its span --------------------------
+_SPARSE = ("sparse", "SELECT * FROM fx_foreign_m WHERE (month(fecha) + id_ccaa) % 5 <> 0")
+
+
+def _dense(source, lo, hi, value):
+    """Months from lo to hi of each region, by month number; ``value`` of a month without rows."""
+    return ("dense", f"""SELECT e.destino, CAST(make_date(e.k // 12, e.k % 12 + 1, 1) AS DATE) AS fecha,
+        CASE WHEN h.n IS NULL THEN {value} ELSE h.turistas END AS turistas, h.n IS NULL AS ausente
+      FROM (SELECT destino, unnest(range({lo}, {hi} + 1)) AS k FROM {source} GROUP BY destino) e
+      LEFT JOIN (SELECT destino, year(fecha) * 12 + month(fecha) - 1 AS k, COUNT(*) AS n, CAST(SUM(turistas) AS BIGINT) AS turistas
+                 FROM {source} GROUP BY 1, 2) h ON h.destino = e.destino AND h.k = e.k""")
+
+
+_number = "year(fecha) * 12 + month(fecha) - 1"
+_own = _dense("sparse", f"MIN({_number})", f"MAX({_number})", "NULL")
+ORACLE["dense_calendar"] = with_facts(["fx_foreign_m"], [_SPARSE, _own], "SELECT * FROM dense")
+ORACLE["dense_calendar_zero"] = with_facts(["fx_foreign_m"], [
+    _SPARSE, ("spanned", f"SELECT * FROM sparse WHERE year(fecha) BETWEEN {PTS[0]} AND {PTS[2]}"),
+    _dense("spanned", PTS[0] * 12, PTS[2] * 12 + 11, "0")], "SELECT * FROM dense")
+ORACLE["growth_by_calendar"] = with_facts(["fx_foreign_m"], [_SPARSE, _own], f"""SELECT a.destino, a.fecha, a.turistas, b.turistas AS anterior,
+    {growth('a.turistas', 'b.turistas')} AS crecimiento_pct
+    FROM dense a LEFT JOIN dense b ON b.destino = a.destino AND b.fecha = a.fecha - INTERVAL 12 MONTH""")
+
+ORACLE["q03_from_sql"] = BASE_ORACLE["q03_motive_share"]
+ORACLE["q07_from_sql"] = BASE_ORACLE["q07_spend_compare"]

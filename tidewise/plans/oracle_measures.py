@@ -230,3 +230,13 @@ ORACLE["p4_lodging_mix"] = with_facts(["fx_demand_m"], [
       FROM fx_demand_m WHERE {_TRAV} AND year(fecha) = {Y} GROUP BY 1, 2""")],
     f"""SELECT destino, tipo_alojamiento, viajeros,
       {r6('viajeros', 'SUM(viajeros) OVER (PARTITION BY destino)')} AS pct_tipo_alojamiento FROM tv""")
+
+_cells = {"0 AS todas_regiones, 0 AS todos_trimestres, destino, trimestre": "destino, trimestre", "0, 1, destino, NULL": "destino",
+          "1, 0, NULL, trimestre": "trimestre", "1, 1, NULL, NULL": None}
+_matrix = " UNION ALL ".join(f"""SELECT {c}, SUM(total_turismo) AS total_turismo FROM mtq WHERE anio = {Y}
+    {f"GROUP BY {g}" if g else "HAVING SUM(total_turismo) IS NOT NULL"}""" for c, g in _cells.items())
+ORACLE["p1_quarter_heatmap_totals"] = with_facts(TF, _totals(True) + [("cells", _matrix)], f"""
+    SELECT c.todas_regiones, c.todos_trimestres, c.destino, CAST(c.trimestre AS INTEGER) AS trimestre, c.total_turismo,
+      {r6('c.total_turismo', 't.total_turismo')} AS pct_trimestral
+    FROM cells c JOIN cells t ON t.todos_trimestres = 1 AND t.todas_regiones = c.todas_regiones AND t.destino IS NOT DISTINCT FROM c.destino
+    WHERE c.total_turismo IS NOT NULL""")

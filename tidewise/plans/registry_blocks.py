@@ -7,12 +7,16 @@ from pyspark.sql import functions as F
 from tidewise import vocab as V
 from tidewise.functions.labels import band_expr
 from tidewise.functions.ratios import pct
+from tidewise.operators import calendar as CA
 from tidewise.operators import evolution as EV
 from tidewise.operators import pivots as PV
 from tidewise.operators import seasonality as SE
 from tidewise.operators import shares as SH
+from tidewise.operators import states as ST
 from tidewise.plans import queries as Q
 from tidewise.plans.registry import QUERIES, YEAR, P, facts, register, trips
+from tidewise.session import scratch_path
+from tidewise.sources.sql_views import run_sql
 
 Y = P["last_year"]
 MAINS = list(V.MAIN_MOTIVES)
@@ -174,3 +178,97 @@ def _band(key, col, name):
 register("pressure_band")(_band("pressure", "presion_comercial", "banda_presion"))
 register("stay_band")(_band("stay", "estancia_media", "banda_estancia"))
 register("dependence_band")(_band("dependence", "pct_extranjero", "banda_dependencia"))
+
+
+# ---- mergeable states: two loads of one fact, merged without reading the rows again ----
+
+def _two_loads(spark, d, years=None):
+    """The foreign fact in two loads that share months: leisure, and the rest."""
+    (f,) = facts(spark, d, "foreign_motives", years=years)
+    leisure = F.col("motivo") == V.LEISURE
+    return {"ocio": f.where(leisure), "resto": f.where(~leisure)}
+
+
+def _stored(spark, d, name, state, years=None):
+    path = scratch_path(spark, f"state-{name}")
+    for lot, rows in _two_loads(spark, d, years).items():
+        ST.write_state(state(rows), path, lot)
+    return ST.read_states(spark, path)
+
+
+@register("coverage_merged")
+def _s1(spark, d):
+    return ST.coverage(_stored(spark, d, "months", lambda r: ST.month_state(r, "destino", "fecha")), "destino")
+
+
+@register("absent_months")
+def _s2(spark, d):
+    return ST.absent_months(_stored(spark, d, "months", lambda r: ST.month_state(r, "destino", "fecha")), "destino")
+
+
+@register("seasonality_cv_merged")
+def _s3(spark, d):
+    states = _stored(spark, d, "totals", lambda r: ST.total_state(r, "destino", "fecha", "turistas"), [P["cv_years"]])
+    return ST.cv_from_totals(states, "destino", "fecha", "cv_mensual")
+
+
+# ---- dense calendar ------------------------------------------------------------------
+
+def _sparse_months(spark, d):
+    """The foreign fact without the months whose number and region's code add to a multiple of five, so that there are gaps."""
+    (f,) = facts(spark, d, "foreign_motives")
+    return f.where((F.month("fecha") + F.col("id_ccaa")) % 5 != 0)
+
+
+@register("dense_calendar")
+def _s4(spark, d):
+    return CA.dense_months(_sparse_months(spark, d), "destino", "fecha", "turistas", "turistas")
+
+
+@register("dense_calendar_zero")
+def _s5(spark, d):
+    span = (f"{P['first_year']}-01-01", f"{P['last_year']}-12-01")
+    f = _sparse_months(spark, d).where(F.year("fecha").between(P["first_year"], P["last_year"]))
+    return CA.dense_months(f, "destino", "fecha", "turistas", "turistas", span=span, fill=0)
+
+
+@register("growth_by_calendar")
+def _s6(spark, d):
+    dense = CA.dense_months(_sparse_months(spark, d), "destino", "fecha", "turistas", "turistas")
+    return CA.growth_by_calendar(dense, "destino", "turistas").drop("ausente")
+
+
+# ---- queries written in SQL ------------------------------------------------------------
+
+@register("q03_from_sql")
+def _s7(spark, d):
+    (r,) = facts(spark, d, "residents")
+    return run_sql(spark, SQL_Q03, {"residents": r}, anio=P["last_year"], total=V.TOTAL, ocio=V.LEISURE, negocios=V.BUSINESS, familia=V.FAMILY, otros=V.OTHER)
+
+
+@register("q07_from_sql")
+def _s8(spark, d):
+    t = trips(spark, d, V.TRIPS, V.SPEND_TOTAL)
+    (s,) = facts(spark, d, "foreign_spend")
+    return run_sql(spark, SQL_Q07, {"quarterly_spend": t, "foreign_spend": s}, anio=P["last_year"], viajes=V.TRIPS, gasto=V.SPEND_TOTAL,
+                   por_persona=V.SPEND_PER_PERSON)
+
+
+SQL_Q03 = """
+WITH t AS (
+  SELECT destino, SUM(viajes) FILTER (WHERE motivo IN (:ocio, :negocios, :familia, :otros)) AS total_viajes,
+         SUM(viajes) FILTER (WHERE motivo = :ocio) AS o, SUM(viajes) FILTER (WHERE motivo = :negocios) AS n,
+         SUM(viajes) FILTER (WHERE motivo = :familia) AS f, SUM(viajes) FILTER (WHERE motivo = :otros) AS x
+  FROM residents WHERE anio = :anio AND alojamiento_nivel1 = :total GROUP BY destino)
+SELECT destino, total_viajes, pct_exact(o, total_viajes) AS pct_ocio, pct_exact(n, total_viajes) AS pct_negocios,
+       pct_exact(f, total_viajes) AS pct_familia, pct_exact(x, total_viajes) AS pct_otros
+FROM t"""
+
+SQL_Q07 = """
+WITH n AS (
+  SELECT id_ccaa, destino, cociente(SUM(valor) FILTER (WHERE metrica = :gasto), SUM(valor) FILTER (WHERE metrica = :viajes), 1000) AS n_gasto
+  FROM quarterly_spend WHERE anio = :anio GROUP BY id_ccaa, destino),
+e AS (SELECT id_ccaa, MAX(valor) AS e_gasto FROM foreign_spend WHERE anio = :anio AND metrica = :por_persona GROUP BY id_ccaa)
+SELECT COALESCE(destino, CONCAT('CC.AA. ', id_ccaa)) AS destino, CAST(n_gasto AS DOUBLE) AS gasto_medio_nacional_eur,
+       CAST(e_gasto AS DOUBLE) AS gasto_medio_extranjero_eur, pct_exact(e_gasto - n_gasto, n_gasto) AS diferencia_pct
+FROM n FULL JOIN e USING (id_ccaa)"""

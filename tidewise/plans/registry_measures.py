@@ -184,6 +184,11 @@ def _p2(spark, d):
     return M.quarter_share(_totals(spark, d, True, YEAR)).select("destino", "trimestre", "pct_trimestral")
 
 
+@register("p1_quarter_heatmap_totals")
+def _p2t(spark, d):
+    return M.quarter_matrix(*_tf(spark, d, YEAR)).drop("anio")
+
+
 @register("p1_kpis")
 def _p3(spark, d):
     t = _totals(spark, d, years=YEAR)
