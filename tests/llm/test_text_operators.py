@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -120,6 +121,45 @@ def test_decontaminate_edges_and_blocks(spark, edge, monkeypatch):
     assert sorted(map(str, (tuple(r) for r in again.collect()))) == got
 
 
+def test_long_items_are_cut_into_pieces(spark, monkeypatch):
+    """A long item in pieces, pieces in several blocks: the same windows, none more."""
+    monkeypatch.setattr(D, "PIECE_BYTES", 300)
+    long = sentence(1, 400).title().replace(" ", " — ")
+    items = [(1, long), (2, sentence(2, 13)), (3, "word " * 200), (4, "ONE " + "y" * 2000 + " " + sentence(4, 30)), (5, sentence(5, 12))]
+    table = spark.createDataFrame(items, "item_id long, text string")
+    pieces = [r for b in D._pieces([pa.RecordBatch.from_arrays([pa.array([str(i) for i, _ in items]), pa.array([t for _, t in items])], names=["i", "t"])])
+              for r in b.to_pylist()]
+    assert len(pieces) > 20 and all(len(r["t"].encode()) < 2600 for r in pieces)
+    words = sentence(1, 400).split()
+    texts = {k: " ".join(words[k:k + 13 + k % 9]) + " end" for k in range(0, 387, 3)} | {
+        1000: " ".join(words[:12]), 1001: sentence(2, 13), 1002: "word " * 12, 1003: "word " * 14, 1004: "one " + "y" * 2000 + " " + sentence(4, 11), 1005: sentence(5, 12)}
+    want = brute_hits(texts, items)
+    for block in (D.ITEM_BLOCK_BYTES, 900):
+        monkeypatch.setattr(D, "ITEM_BLOCK_BYTES", block)
+        got = {r.doc_id: tuple(r)[1:] for r in D.decontaminate(make(spark, list(texts.items())), table).select(
+            "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated").collect()}
+        assert got == want
+
+
+def test_pattern_tables_are_small():
+    """Two million characters of items take under 60 bytes of arrays each, at their peak too."""
+    items = [(str(k), sentence(k, 3000)) for k in range(100)]
+    size = sum(len(t) for _, t in items)
+    tracemalloc.start()
+    (p,) = D.build_patterns(items)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert size > 1_000_000 and peak < 60 * size + (64 << 20) and len(p.at) <= 100 * (3000 - 12)
+
+
+def test_hashes_do_not_depend_on_their_stretch(monkeypatch):
+    text = pa.array([sentence(3, 500), None, "é" * 50 + " x", sentence(4, 300)])
+    whole = D.words_of(*D.flat(text))
+    monkeypatch.setattr(D, "HASH_BYTES", 40)
+    for a, b in zip(whole, D.words_of(*D.flat(text)), strict=True):
+        assert (a == b).all()
+
+
 def test_decontaminate_empty_tables(spark, empty, edge):
     none = spark.createDataFrame([], "item_id long, text string")
     assert D.decontaminate(empty, none).count() == 0

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import re
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewise.llm.common import flat, map_text, read
+from tidewise.llm.common import flat, map_text, read, saved
 
 WINDOW = 13
 BLOCK = 2
@@ -27,8 +28,12 @@ BLOCK = 2
 TABLE_BITS = 18
 #: Words that one cursor walks through.
 STRETCH = 512
-#: Item bytes in one block of patterns; more items are searched block after block.
-ITEM_BLOCK_BYTES = 32 << 20
+#: Item bytes in one block of patterns; more items are searched block after block. A block's tables take about 20 bytes a byte.
+ITEM_BLOCK_BYTES = 16 << 20
+#: A longer item is cut into pieces that overlap by a window less a word.
+PIECE_BYTES = 1 << 20
+#: Text bytes whose word hashes are computed at once.
+HASH_BYTES = 1 << 20
 
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _IS_WORD = np.array([bool(WORD.fullmatch(bytes([i | 32 if 65 <= i <= 90 else i]))) for i in range(256)])
@@ -80,60 +85,92 @@ def words_of(data: np.ndarray, off: np.ndarray):
     stop[:-1] &= ~inside[1:] | cut[1:n]
     first, end = np.flatnonzero(start), np.flatnonzero(stop) + 1
     doc = np.searchsorted(off, first, "right") - 1
-    up, down = _PowerTables.get(n + 1)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum((low.astype(np.uint64) + np.uint64(1)) * up[:n], out=total[1:])
-    return low, first, end, doc, _mix((total[end] - total[first]) * down[first])
+    h = np.empty(len(first), np.uint64)
+    a = 0
+    while a < len(first):  # words of about HASH_BYTES: sums are taken over these alone
+        b = max(a + 1, int(np.searchsorted(end, first[a] + HASH_BYTES, "right")))
+        base = first[a]
+        up, down = _PowerTables.get(int(end[b - 1] - base) + 1)
+        part = low[base:end[b - 1]].astype(np.uint64) + np.uint64(1)
+        total = np.r_[np.uint64(0), np.cumsum(part * up[:len(part)])]
+        h[a:b] = _mix((total[end[a:b] - base] - total[first[a:b] - base]) * down[first[a:b] - base])
+        a = b
+    return low, first, end, doc, h
 
 
 def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return _mix(a * np.uint64(0xD6E8FEB86659FD93) + b)
 
 
+def _same_words(low: np.ndarray, first: np.ndarray, end: np.ndarray, other: np.ndarray, other_first: np.ndarray, other_end: np.ndarray) -> np.ndarray:
+    """Which words of two byte arrays are equal, byte by byte."""
+    size = end - first
+    out = size == other_end - other_first
+    at = np.flatnonzero(out)
+    if len(at):
+        size = size[at]
+        ends = np.cumsum(size)
+        step = np.arange(ends[-1]) - np.repeat(ends - size, size)
+        same = low[np.repeat(first[at], size) + step] == other[np.repeat(other_first[at], size) + step]
+        out[at] = np.logical_and.reduceat(same, ends - size)
+    return out
+
+
+class Items:
+    """The words of all items of a block, in arrays; windows are places in them."""
+
+    def __init__(self, rows: list[tuple]):
+        self.ids = [i for i, _ in rows]
+        data, off = flat(pa.array([t or "" for _, t in rows], pa.large_string()))
+        self.low, self.first, self.end, self.item, self.h = words_of(data, off)
+        self.count = np.bincount(self.item, minlength=len(rows))[:len(rows)]
+
+
 class Patterns:
-    """Shift table, suffix buckets and words of all patterns of one length."""
-
-    def __init__(self, m: int):
-        self.m, self.block = m, min(BLOCK, m)
-        self.words: list[bytes] = []
-        self.items: list[set] = []
-        self.index: dict[bytes, int] = {}
-
-    def add(self, words: list[bytes], item) -> None:
-        key = b" ".join(words)
-        at = self.index.setdefault(key, len(self.words))
-        if at == len(self.words):
-            self.words.append(key)
-            self.items.append(set())
-        self.items[at].add(item)
-
-    def close(self) -> "Patterns":
-        m, block = self.m, self.block
-        data, off = flat(pa.array([w.decode("utf-8", "surrogateescape") for w in self.words], pa.string()))
-        _, _, _, _, h = words_of(data, off)
-        h = h.reshape(len(self.words), m)
-        self.shift = np.full(1 << TABLE_BITS, m - block + 1, np.uint8)
-        for end in range(block, m + 1):  # later blocks allow smaller shifts
-            b = h[:, end - 1] if block == 1 else _pair(h[:, end - 2], h[:, end - 1])
-            at = (b >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
-            self.shift[at] = np.minimum(self.shift[at], m - end)
-        suffix = h[:, -1] if block == 1 else _pair(h[:, -2], h[:, -1])
-        order = np.argsort(suffix, kind="stable")
-        self.suffix, self.bucket = suffix[order], order
-        self.hashes = h[order]
-        del self.index
-        return self
+    """Shift table and suffix buckets of all windows of ``m`` words of a block.
+
+    Equal windows are one pattern, which knows its items. A window takes about 40 bytes beside its words.
+    """
+
+    def __init__(self, items: Items, at: np.ndarray, m: int):
+        self.of, self.m, self.block = items, m, min(BLOCK, m)
+        h = items.h
+        whole = np.zeros((2, len(at)), np.uint64)
+        for k in range(m):  # 128 bits tell windows apart
+            whole[0] = _mix(whole[0] * np.uint64(_PRIME) + h[at + k])
+            whole[1] = _mix((whole[1] ^ h[at + k]) * np.uint64(0xD6E8FEB86659FD93))
+        order = np.lexsort((items.item[at], whole[1], whole[0]))
+        at, whole = at[order], whole[:, order]
+        new = np.r_[True, (whole[:, 1:] != whole[:, :-1]).any(axis=0)]
+        del whole, order
+        self.starts = np.r_[np.flatnonzero(new), len(at)]
+        self.items = items.item[at].astype(np.int32)
+        self.at = at[new]
+        self.shift = np.full(1 << TABLE_BITS, m - self.block + 1, np.uint8)
+        for end in range(self.block, m + 1):  # later blocks allow smaller shifts
+            slot = (self._block_at(self.at + end - 1) >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
+            np.minimum.at(self.shift, slot, np.uint8(m - end))
+        suffix = self._block_at(self.at + m - 1)
+        self.bucket = np.argsort(suffix, kind="stable")
+        self.suffix = suffix[self.bucket]
+
+    def _block_at(self, last: np.ndarray) -> np.ndarray:
+        return self.of.h[last] if self.block == 1 else _pair(self.of.h[last - 1], self.of.h[last])
+
+    def items_of(self, number: int) -> set:
+        """Ids of the items that have the pattern."""
+        return {self.of.ids[i] for i in set(self.items[self.starts[number]:self.starts[number + 1]].tolist())}
 
 
 def build_patterns(rows: list[tuple]) -> list[Patterns]:
     """Pattern sets by length, from (item id, text) rows."""
-    by: dict[int, Patterns] = {}
-    for item, text in rows:
-        words = WORD.findall(re.sub(rb"[A-Z]+", lambda x: x.group().lower(), (text or "").encode()))
-        m = min(len(words), WINDOW)
-        for i in range(len(words) - m + 1 if m else 0):
-            by.setdefault(m, Patterns(m)).add(words[i:i + m], item)
-    return [by[m].close() for m in sorted(by)]
+    items = Items(rows)
+    place = np.arange(len(items.h)) - np.r_[0, np.cumsum(items.count)][items.item]
+    length = np.minimum(items.count, WINDOW)[items.item]
+    out = []
+    for m in sorted(set(length.tolist())):
+        out.append(Patterns(items, np.flatnonzero((length == m) & (place + m <= items.count[items.item])), m))
+    return out
 
 
 def search(p: Patterns, low, first, end, doc, h):
@@ -173,13 +210,15 @@ def search(p: Patterns, low, first, end, doc, h):
     rows = np.repeat(np.arange(len(last)), width)
     entry = np.repeat(lo, width) + np.arange(len(rows)) - np.repeat(np.cumsum(width) - width, width)
     begin = last[rows] - m + 1
-    for k in range(m):  # narrows the bucket before the bytes are compared
-        same = h[begin + k] == p.hashes[entry, k]
-        begin, entry = begin[same], entry[same]
     number = p.bucket[entry]
-    ok = np.fromiter((b" ".join(low[a:b].tobytes() for a, b in zip(first[i:i + m], end[i:i + m], strict=True)) == p.words[j]
-                      for i, j in zip(begin.tolist(), number.tolist(), strict=True)), bool, len(begin))
-    return begin[ok], number[ok]
+    for k in range(m):  # hashes narrow the bucket before the bytes are compared
+        same = h[begin + k] == p.of.h[p.at[number] + k]
+        begin, number = begin[same], number[same]
+    for k in range(m):
+        word, own = begin + k, p.at[number] + k
+        same = _same_words(low, first[word], end[word], p.of.low, p.of.first[own], p.of.end[own])
+        begin, number = begin[same], number[same]
+    return begin, number
 
 
 def scan(text: pa.Array, sets: list[Patterns]):
@@ -193,7 +232,7 @@ def scan(text: pa.Array, sets: list[Patterns]):
         np.add.at(step, begin, 1)
         np.add.at(step, begin + p.m, -1)
         for d, j in set(zip(doc[begin].tolist(), number.tolist(), strict=True)):
-            pairs.setdefault(d, set()).update(p.items[j])
+            pairs.setdefault(d, set()).update(p.items_of(j))
     return doc, np.cumsum(step)[:-1] > 0, pairs
 
 
@@ -223,14 +262,16 @@ def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", carry:
     occurrence, flattened), ``n_hit``, ``item_ids`` (items with an occurring window, as sorted
     strings), ``n_items``, ``items_sha256`` and ``contaminated`` (n_hit > 0 and 20 * n_hit >= n_words).
 
-    The items are a query set: they are sent to the tasks in blocks of at most
-    ITEM_BLOCK_BYTES, and all rows pass each block. Null or empty texts have no
+    The items are a query set: they are sent to the tasks in blocks of about
+    ITEM_BLOCK_BYTES, and all rows pass each block. A long item is cut into pieces that share their last and first
+    words, so blocks are even. Null or empty texts have no
     words, null or wordless items no window; an item with a null id matches and is not
     listed. Equal items are each listed, repeated rows are each searched.
     """
     sized = items.select(F.col(f"`{item_id}`").cast("string").alias("i"), F.col(f"`{item_text}`").cast("string").alias("t"))
+    sized = saved(sized.filter("t is not null").mapInArrow(_pieces, "i string, t string"), "items")
     size = sized.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
-    blocks = size // (ITEM_BLOCK_BYTES // 2) + 1
+    blocks = size // ITEM_BLOCK_BYTES + 1
     spread = F.pmod(F.xxhash64("i", "t"), F.lit(blocks))
     out = docs
     for k in range(blocks):
@@ -250,6 +291,31 @@ def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", carry:
     return _totals(out)
 
 
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Items of at most about PIECE_BYTES: every window of a longer one is whole in a piece of it."""
+    for b in batches:
+        out: list[tuple] = []
+        for item, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            raw = text.encode()
+            if len(raw) <= PIECE_BYTES:
+                out.append((item, text))
+                continue
+            words = [m.span() for m in WORD.finditer(raw.translate(_LOWER.tobytes()))]
+            if len(words) <= WINDOW:
+                out.append((item, text))
+                continue
+            lo = 0
+            while True:
+                hi = lo + WINDOW
+                while hi < len(words) and words[hi][1] - words[lo][0] <= PIECE_BYTES:
+                    hi += 1
+                out.append((item, raw[words[lo][0]:words[hi - 1][1]].decode()))
+                if hi == len(words):
+                    break
+                lo = hi - WINDOW + 1
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in (zip(*out, strict=True) if out else ((), ()))], names=["i", "t"])
+
+
 def _searcher(known):
     """Scans a slice; the tables are built once in each Python worker."""
     mark = uuid.uuid4().hex
