@@ -47,6 +47,24 @@ def test_one_scan_per_fact(spark):
     assert len(beds_and_nights) == 2
 
 
+#: Scans of lineitem, and of all tables, of the page datasets.
+PAGES = {"p1_kpis": (1, 6), "p3_growth_scatter": (1, 6), "p3_growth_scatter_foreign": (1, 6), "p5_rural_occupancy": (3, 16), "p5_camping_occupancy": (3, 16),
+         "p5_kpis": (3, 16), "p1_quarter_heatmap_totals": (1, 6)}
+
+
+@pytest.mark.parametrize("key", sorted(PAGES))
+def test_pages_share_their_passes(spark, key):
+    scans = _scans(QUERIES[key](spark, SF))
+    lines, tables = PAGES[key]
+    assert sum(re.search(r"\bl_", r) is not None for r, _ in scans) <= lines and len(scans) <= tables, [r for r, _ in scans]
+
+
+def test_stay_adds_lines_up_once(spark):
+    """The lines of the years' orders are not grouped by order first."""
+    plan = QUERIES["q08_stay_compare"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"HashAggregate\(keys=\[l_orderkey", plan)
+
+
 def test_published_year_prunes_partitions(spark):
     plan = QUERIES["q05_published"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert re.search(r"PartitionFilters: \[.*anio", plan)

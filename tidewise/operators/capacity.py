@@ -74,6 +74,17 @@ def occupancy(demand: DataFrame, capacity: DataFrame, keys, align: bool = False,
     return a.withColumn(name, round_div("pernoctaciones", "plazas_dia", decimals))
 
 
+def occupancy_in_regions(demand: DataFrame, capacity: DataFrame, regions: DataFrame, keys,
+                         nights: str = "Pernoctaciones", name: str = "tasa_ocupacion", decimals: int = 6) -> DataFrame:
+    """:func:`occupancy` over the regions (id_ccaa) given: both facts meet first, so the regions are joined once, to region sums."""
+    keys = as_list(keys)
+    both = list(dict.fromkeys(["id_ccaa", *keys]))
+    cells = (_nights_and_beds(demand, capacity, both, nights).groupBy(*both)
+             .agg(F.sum("_n").alias("_n"), F.sum("_b").alias("_b")).join(regions, "id_ccaa", "left_semi"))
+    a = cells.groupBy(*keys).agg(F.sum("_n").alias("pernoctaciones"), F.sum("_b").alias("plazas_dia"))
+    return a.withColumn(name, round_div("pernoctaciones", "plazas_dia", decimals))
+
+
 def occupancy_of_groups(demand: DataFrame, capacity: DataFrame, regions: DataFrame, groups: dict,
                         nights: str = "Pernoctaciones", name: str = "tasa_ocupacion", decimals: int = 6) -> DataFrame:
     """Occupancy KPI of several groups in one pass: always one row per group, blank without data.

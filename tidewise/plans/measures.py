@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tidewise import vocab as V
 from tidewise.functions.labels import classify_expr
 from tidewise.functions.ratios import round_div
-from tidewise.operators.capacity import occupancy, occupancy_of_groups
+from tidewise.operators.capacity import occupancy, occupancy_in_regions, occupancy_of_groups
 from tidewise.operators.common import as_list, year_in, year_is
 from tidewise.operators.evolution import index_to_base
 from tidewise.operators.seasonality import cv_fixed_buckets, period_coverage
@@ -51,13 +51,16 @@ def tourism_totals(trips: DataFrame, foreign: DataFrame, quarterly: bool = False
                                                       F.col("total_turistas_extranjeros")))
 
 
-def _tourism_rows(trips: DataFrame, foreign: DataFrame) -> DataFrame:
-    """Rows of both populations with their region, year and quarter."""
+def _tourism_rows(trips: DataFrame, foreign: DataFrame, *keys: str, month: bool = False) -> DataFrame:
+    """Rows of both populations with their region, year and quarter; ``month`` adds the bit of a foreign row's month."""
     none = F.lit(None)
+    own = [*keys, "destino"]
+    bit = F.call_function("shiftleft", F.lit(1), F.month("fecha") - 1)
     dom = trips.where(F.col("metrica") == V.TRIPS).select(
-        "destino", "anio", "trimestre", F.col("valor").cast("decimal(20,2)").alias("_d"), none.cast("bigint").alias("_e"))
-    ext = foreign.select("destino", F.year("fecha").alias("anio"), F.quarter("fecha").alias("trimestre"),
-                         none.cast("decimal(20,2)").alias("_d"), F.col("turistas").alias("_e"))
+        *own, "anio", "trimestre", F.col("valor").cast("decimal(20,2)").alias("_d"), none.cast("bigint").alias("_e"),
+        *([none.cast("int").alias("_m")] if month else []))
+    ext = foreign.select(*own, F.year("fecha").alias("anio"), F.quarter("fecha").alias("trimestre"),
+                         none.cast("decimal(20,2)").alias("_d"), F.col("turistas").alias("_e"), *([bit.alias("_m")] if month else []))
     return dom.unionByName(ext)
 
 
@@ -150,7 +153,36 @@ def growth(totals: DataFrame, y0: int, y1: int, choice=None) -> DataFrame:
     g = a.groupBy("id_ccaa", "destino").agg(
         F.sum(F.when(F.col("anio") == y0, F.col("metrica_activa"))).alias("_a"),
         F.sum(F.when(F.col("anio") == y1, F.col("metrica_activa"))).alias("_b"))
-    return g.select("id_ccaa", "destino", round_div(F.coalesce(F.col("_b"), F.lit(0.0)) - F.col("_a"), "_a", R6).alias("crecimiento"))
+    return g.select("id_ccaa", "destino", _growth().alias("crecimiento"))
+
+
+def growth_scatter(trips, foreign, y0: int, y1: int, year: int, choice=None, max_gap: int = 3, **grid) -> DataFrame:
+    """Growth from y0 to y1 (blanked as by :func:`growth_filtered`), the metric in ``year`` and the class of that year, by region.
+
+    All of it comes from one frame of quarter totals, with a mask of the months that have foreign rows.
+    """
+    quarters = (_tourism_rows(trips, foreign, "id_ccaa", month=True).groupBy("id_ccaa", "destino", "anio", "trimestre")
+                .agg(F.sum("_d").cast("double").alias("total_viajes_nacionales"), F.sum("_e").cast("double").alias("total_turistas_extranjeros"),
+                     F.bit_or("_m").alias("_m")))
+    quarters = active_metric(quarters.withColumn("total_turismo", _sum_or_null(
+        F.col("total_viajes_nacionales"), F.col("total_turistas_extranjeros"))), choice)
+
+    def in_year(y, column):
+        return F.when(F.col("anio") == y, F.col(column))
+
+    also = [F.sum(in_year(y0, "metrica_activa")).alias("_a"), F.sum(in_year(y1, "metrica_activa")).alias("_b"),
+            F.sum(in_year(year, "metrica_activa")).alias("total_anio"), F.count_if(F.col("anio") == year).alias("_rows"),
+            *[F.sum(in_year(year, c)).alias(c) for c in ("total_turistas_extranjeros", "total_turismo")],
+            *[F.coalesce(F.bit_count(F.bit_or(in_year(y, "_m"))), F.lit(0)).alias(f"_m{i}") for i, y in enumerate((y0, y1))]]
+    r = foreign_share(cv_fixed_buckets(quarters, ["id_ccaa", "destino"], in_year(year, "trimestre"), "total_turismo", also=also))
+    blank = F.lit(choice == V.METRIC_CHOICES[1]) & (F.abs(F.col("_m1") - F.col("_m0")) >= max_gap)
+    return r.select("destino", F.when(~blank, _growth()).alias("crecimiento_filtrado"), "total_anio",
+                    F.when(F.col("_rows") > 0, grid_label("indice_estacionalidad", "pct_turistas_extranjeros", **grid)).alias("clasificacion_col"))
+
+
+def _growth():
+    """(_b - _a) / _a; a blank end counts as 0, a blank or zero start gives blank."""
+    return round_div(F.coalesce(F.col("_b"), F.lit(0.0)) - F.col("_a"), "_a", R6)
 
 
 def total_year(totals: DataFrame, year: int, choice=None) -> DataFrame:
@@ -234,9 +266,8 @@ def occupancy_group(demand, capacity, classes_dim: DataFrame, acc_type: str, cla
     if not by:
         return occupancy_kpis(demand, capacity, classes_dim, {acc_type: classes}, year, months)
     regions = classes_dim.where(F.col("clasificacion_col").isin(*classes)).select("id_ccaa")
-    d, c = (_in_months(x, year, months).where(F.col("tipo_alojamiento") == acc_type)
-            .join(regions, "id_ccaa", "left_semi") for x in (demand, capacity))
-    return occupancy(d, c, list(by))
+    d, c = (_in_months(x, year, months).where(F.col("tipo_alojamiento") == acc_type) for x in (demand, capacity))
+    return occupancy_in_regions(d, c, regions, list(by))
 
 
 def occupancy_kpis(demand, capacity, classes_dim: DataFrame, groups: dict, year: int, months=(6, 7, 8)) -> DataFrame:
@@ -244,6 +275,15 @@ def occupancy_kpis(demand, capacity, classes_dim: DataFrame, groups: dict, year:
     return occupancy_of_groups(_in_months(demand, year, months), _in_months(capacity, year, months), classes_dim, groups)
 
 
+def tourism_kpis(totals: DataFrame, n: int = 5) -> DataFrame:
+    """Both populations' totals and the share of the n largest regions (ties kept), per year, from one pass over the totals."""
+    place = F.rank().over(Window.partitionBy("anio").orderBy(F.col("total_turismo").desc_nulls_last()))
+    k = totals.withColumn("_rk", place).groupBy("anio").agg(
+        F.sum("total_viajes_nacionales").alias("total_viajes_nacionales"), F.sum("total_turistas_extranjeros").alias("total_turistas_extranjeros"),
+        F.sum(F.when(F.col("_rk") <= n, F.col("total_turismo"))).alias("_top"), F.sum("total_turismo").alias("_all"))
+    return k.select("anio", "total_viajes_nacionales", "total_turistas_extranjeros", ratio6("_top", "_all").alias("pct_top5"))
+
+
 def top5_share(totals: DataFrame, n: int = 5) -> DataFrame:
     """Share of the n largest regions (ties kept) in the national total, per year."""
     return top_n_share(totals.where(F.col("total_turismo").isNotNull()), "destino", "total_turismo",

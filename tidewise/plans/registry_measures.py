@@ -191,10 +191,7 @@ def _p2t(spark, d):
 
 @register("p1_kpis")
 def _p3(spark, d):
-    t = _totals(spark, d, years=YEAR)
-    k = t.groupBy("anio").agg(F.sum("total_viajes_nacionales").alias("total_viajes_nacionales"),
-                              F.sum("total_turistas_extranjeros").alias("total_turistas_extranjeros"))
-    return k.join(M.top5_share(t), "anio", "left")
+    return M.tourism_kpis(_totals(spark, d, years=YEAR))
 
 
 @register("p2_scatter")
@@ -220,12 +217,7 @@ def _p6(spark, d):
 
 def _growth_scatter(choice):
     def run(spark, d):
-        t, f = _tf(spark, d, POINTS)
-        tot = M.tourism_totals(t, f)
-        g = M.growth_filtered(tot, f, G0, G1, choice)
-        v = M.total_year(tot, Y, choice).drop("destino")
-        return (g.join(v, "id_ccaa", "left").join(_classes(spark, d).drop("destino"), "id_ccaa", "left")
-                .select("destino", "crecimiento_filtrado", "total_anio", "clasificacion_col"))
+        return M.growth_scatter(*_tf(spark, d, POINTS), G0, G1, Y, choice, **GRID)
     return run
 
 

@@ -84,11 +84,11 @@ def fx_trips_q(spark: SparkSession, sf_dir: str, years=None, metrics=V.DOMESTIC_
                                   for i, m in enumerate(of_orders)]))
         branches.append(agg.select("id_ccaa", "anio", "trimestre", rows))
     if DURATION in metrics:
-        per_order = (table(spark, sf_dir, "lineitem", "l_orderkey", "l_quantity").groupBy("l_orderkey")
-                     .agg(F.sum(F.col("l_quantity").cast(MONEY)).alias("qty"), F.count("*").alias("nl")))
+        # sums and counts add up: the orders of the years meet their lines, and one aggregation by quarter follows
+        li = table(spark, sf_dir, "lineitem", "l_orderkey", "l_quantity")
         o = _orders_by_region(spark, sf_dir, years, "o_orderkey")
-        stay = o.join(per_order, o.o_orderkey == per_order.l_orderkey).groupBy(*keys).agg(
-            F.sum("qty").alias("qty"), F.sum("nl").alias("nl"))
+        stay = li.join(o, li.l_orderkey == o.o_orderkey).groupBy(*keys).agg(
+            F.sum(F.col("l_quantity").cast(MONEY)).alias("qty"), F.count("*").alias("nl"))
         branches.append(stay.select("id_ccaa", "anio", "trimestre", F.lit(DURATION).alias("metrica"),
                                     round_div_decimal("qty", "nl", 2).alias("valor")))
     long = reduce(DataFrame.unionByName, branches)
