@@ -4,15 +4,18 @@ import os
 import tempfile
 from decimal import Decimal
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
+from tidewise.functions.parse import map_by_rules, unmapped
 from tidewise.operators import loading as L
 from tidewise.operators.pivots import eav_pick
 from tidewise.operators.quality import constraint_violations, load_audit
 from tidewise.plans import etl as E
 from tidewise.plans import loads as LD
 from tidewise.schemas import FACT_KEYS, FACT_SCHEMAS, FACT_VALUE
+from tidewise.sources import sinks
 from tidewise.sources import staging as S
 from tidewise.streaming.ingest import start_extract_stream
 
@@ -138,6 +141,45 @@ def test_double_cell_is_not_hidden(spark):
     assert eav_pick(double, "k", "c", "v", {"m": "m"}, on_double="max").orderBy("k").first().m == 9
 
 
+def test_clustered_files_have_few_regions(spark):
+    root = tempfile.mkdtemp(prefix="tidewise-clustered-")
+    rows = [(r, "x", "m", f"{y}-0{1 + r % 9}-01", r) for y in (2019, 2020) for r in range(40) for _ in range(25 if r else 400)]
+    df = sinks.conform(spark.createDataFrame(rows, "id_ccaa int, destino string, motivo string, fecha string, turistas long").repartition(6),
+                       FACT_SCHEMAS["foreign_motives"])
+    sinks.write_clustered(df, f"{root}/f", "id_ccaa", rows_per_file=150, parts=8)
+    for year in ("2019", "2020"):
+        spans = []
+        for name in os.listdir(f"{root}/f/anio={year}"):
+            if name.endswith(".parquet"):
+                meta = pq.ParquetFile(f"{root}/f/anio={year}/{name}").metadata
+                assert meta.num_rows <= 150
+                groups = [meta.row_group(g) for g in range(meta.num_row_groups)]
+                stats = [next(g.column(c) for c in range(g.num_columns) if g.column(c).path_in_schema == "id_ccaa").statistics for g in groups]
+                spans.append((min(x.min for x in stats), max(x.max for x in stats)))
+        spans.sort()
+        assert len(spans) > 8 and all(a[1] <= b[0] for a, b in zip(spans, spans[1:], strict=False))  # files share a border region at most
+        assert sum(lo <= 17 <= hi for lo, hi in spans) <= 2
+    back = sinks.read_clean(spark, f"{root}/f", FACT_SCHEMAS["foreign_motives"])
+    assert back.exceptAll(df).count() == 0 and df.exceptAll(back).count() == 0
+    plan = back.where("id_ccaa = 17")._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(id_ccaa,17)" in plan
+
+
+def test_rules_as_rows(spark):
+    def table(rows):
+        return spark.createDataFrame(rows, "precedencia int, patron string, etiqueta string")
+
+    names = spark.createDataFrame([("a x",), ("b x",), (" b y ",), ("z",), (None,)], "n string")
+    rules = table([(2, "%x", "any"), (1, "a%", "first"), (3, "b%", "later")])
+    assert [r[0] for r in names.select(map_by_rules("n", rules)).collect()] == ["first", "any", None, None, None]
+    assert [r[0] for r in names.select(map_by_rules("n", rules, "-", trim=True)).collect()] == ["first", "any", "later", "-", "-"]
+    assert sorted(map(tuple, unmapped(names, "n", rules).collect())) == [(" b y ", 1), ("z", 1)]
+    assert [r[0] for r in names.select(map_by_rules("n", table([]))).collect()] == [None] * 5
+    for bad in ([(1, None, "x")], [(1, "a", None)], [(1, "a", "x"), (2, "a", "y")], [(i, f"p{i}", "x") for i in range(501)]):
+        with pytest.raises(ValueError, match="rule"):
+            map_by_rules("n", table(bad))
+
+
 def test_every_fact_has_a_key():
     assert set(FACT_KEYS) == set(FACT_SCHEMAS)
     for fact, key in FACT_KEYS.items():

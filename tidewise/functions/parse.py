@@ -8,7 +8,7 @@ or ``2024``.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewise.vocab import MISSING_MARKERS
@@ -82,3 +82,34 @@ def map_patterns(c, pairs, default=None, trim: bool = False) -> Column:
         out = (F.when(c.like(pattern), F.lit(label)) if out is None
                else out.when(c.like(pattern), F.lit(label)))
     return out.otherwise(F.lit(default)) if default is not None else out
+
+
+#: Rules of one mapping table; they become one expression.
+MAX_RULES = 500
+
+
+def read_rules(rules: DataFrame) -> list[tuple[str, str]]:
+    """(pattern, label) pairs of a rule table (precedencia, patron, etiqueta) in their order; equal precedence: by pattern.
+
+    A table of more than MAX_RULES rows, a rule without a pattern or label, and a pattern that stands twice are errors.
+    """
+    rows = rules.select("precedencia", "patron", "etiqueta").orderBy("precedencia", "patron").limit(MAX_RULES + 1).collect()
+    if len(rows) > MAX_RULES:
+        raise ValueError(f"a mapping table has at most {MAX_RULES} rules")
+    pairs = [(r["patron"], r["etiqueta"]) for r in rows]
+    if any(p is None or e is None for p, e in pairs) or len({p for p, _ in pairs}) < len(pairs):
+        raise ValueError("a rule needs a pattern of its own and a label")
+    return pairs
+
+
+def map_by_rules(c, rules: DataFrame, default=None, trim: bool = False) -> Column:
+    """:func:`map_patterns` with the patterns as data: a new category is a new row of the table."""
+    pairs = read_rules(rules)
+    return map_patterns(c, pairs, default, trim) if pairs else F.lit(default).cast("string")
+
+
+def unmapped(df: DataFrame, column: str, rules: DataFrame, trim: bool = False) -> DataFrame:
+    """(nombre, filas): the names that no rule maps, NULL aside."""
+    label = map_by_rules(column, rules, trim=trim)
+    return (df.where(F.col(column).isNotNull() & label.isNull()).groupBy(F.col(column).alias("nombre"))
+            .agg(F.count(F.lit(1)).alias("filas")))

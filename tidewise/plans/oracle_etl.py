@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from tidewise import vocab as V
 from tidewise.plans.registry import P
-from tidewise.plans.registry_etl import FACT_OF
+from tidewise.plans.registry_etl import FACT_OF, MORE_RULES
 from tidewise.schemas import FACT_KEYS, FACT_SCHEMAS, FACT_VALUE, STAGING_WIDTH
 from tidewise.sources.bindings_sql import FACT_CTE, q, with_facts
 from tidewise.sources.staging import REVISED_LINE, SHORT_LINE, WIDE_LINE
@@ -214,3 +214,12 @@ _all_facts = [f for n in PARSE for f in parsed_ctes(n)[0]]
 _all_ctes = [(c, s.replace("WHERE trim(col3) <> 'Total'", "") if c == "prs_residents_lodging" else s) for n in PARSE for c, s in parsed_ctes(n)[1]]
 ORACLE["constraint_violations"] = with_facts(_all_facts, _all_ctes, f"""SELECT tabla, regla, violaciones,
     CAST(COALESCE(filas, 0) AS BIGINT) AS filas FROM ({" UNION ALL ".join(_violations(n) for n in PARSE)}) v""")
+
+ORACLE["clustered_facts"] = ORACLE["published_facts"]
+_f, _c = STG["capacity"]
+ORACLE["map_by_rules"] = with_facts(_f, _c, f"""SELECT col1 AS texto, {_like('col1', V.SURVEY_TYPE_PATTERNS)} AS tipo,
+    {_like('col1', [r[1:] for r in sorted([(i + 1, p, e) for i, (p, e) in enumerate(V.SURVEY_TYPE_PATTERNS)] + MORE_RULES)])} AS tipo_ampliado,
+    COUNT(*) AS filas FROM stg_capacity GROUP BY 1, 2, 3""")
+_f, _c = STG["demand"]
+ORACLE["unmapped_names"] = with_facts(_f, _c, f"""SELECT col1 AS nombre, COUNT(*) AS filas FROM stg_demand
+    WHERE col1 IS NOT NULL AND {_like('col1', V.SURVEY_TYPE_PATTERNS)} IS NULL GROUP BY 1""")

@@ -7,8 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewise.functions.parse import (empty_to_null, is_missing, map_patterns, parse_number_es,
-                                      parse_period, split_code_label)
+from tidewise.functions.parse import (empty_to_null, is_missing, map_by_rules, map_patterns, parse_number_es,
+                                      parse_period, split_code_label, unmapped)
 from tidewise import vocab as V
 from tidewise.operators import quality as QL
 from tidewise.plans import etl as E
@@ -157,6 +157,43 @@ def _csv_export(spark, d):
     return _summary(out)
 
 
+@register("clustered_facts")
+def _clustered(spark, d):
+    """All six facts published in ranges of the region inside each year, and read back."""
+    out = {}
+    for name, fact in B.FACTS.items():
+        path = scratch_path(spark, f"clustered-{name}")
+        sinks.write_clustered(sinks.conform(fact(spark, d), FACT_SCHEMAS[name]), path, "id_ccaa")
+        out[name] = sinks.read_clean(spark, path, FACT_SCHEMAS[name])
+    return _summary(out)
+
+
+#: Rules that a table adds to those of the vocabulary: before all others, and for a name that none of them maps.
+MORE_RULES = [(0, "%Turismo Rural", "Rural"), (99, "%Otros Alojamientos", "Otro")]
+
+
+def _rules(spark, more=()):
+    """The survey patterns as a table that is published and read back."""
+    rows = [(i + 1, p, e) for i, (p, e) in enumerate(V.SURVEY_TYPE_PATTERNS)] + list(more)
+    path = scratch_path(spark, "rules")
+    spark.createDataFrame(rows, "precedencia int, patron string, etiqueta string").write.parquet(path)
+    return spark.read.parquet(path)
+
+
+@register("map_by_rules")
+def _by_rules(spark, d):
+    """Surveys by type with the patterns as rows; one row more changes a type, another names a new one."""
+    s = staged(spark, d, "capacity")
+    plain, more = _rules(spark), _rules(spark, MORE_RULES)
+    return s.groupBy(F.col("col1").alias("texto"), map_by_rules("col1", plain).alias("tipo"), map_by_rules("col1", more).alias("tipo_ampliado")).agg(
+        F.count(F.lit(1)).alias("filas"))
+
+
+@register("unmapped_names")
+def _unmapped(spark, d):
+    return unmapped(staged(spark, d, "demand"), "col1", _rules(spark))
+
+
 @register("q05_published")
 def _q05_published(spark, d):
     """Foreign motive shares over the published fact: the year filter prunes its partitions."""
