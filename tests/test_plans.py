@@ -5,6 +5,7 @@ import re
 import pytest
 
 from tidewise.plans.registry import QUERIES
+from tidewise.sources import bindings as B
 
 SF = "/root/testdata/sf0.001"
 
@@ -59,6 +60,22 @@ def test_pages_share_their_passes(spark, key):
     assert sum(re.search(r"\bl_", r) is not None for r, _ in scans) <= lines and len(scans) <= tables, [r for r, _ in scans]
 
 
+@pytest.mark.parametrize("key", ["load_audit", "table_row_counts", "constraint_violations"])
+def test_jobs_over_all_facts_share_the_lines(spark, key):
+    """Only capacity and demand read the lines for themselves; the other four facts read cells of two passes."""
+    df = QUERIES[key](spark, SF)
+    assert sum("l_suppkey" in r or "l_orderkey" in r for r, _ in _scans(df)) == 2 and B._CELLS == {}
+
+
+def test_shared_cells_give_the_same_facts(spark):
+    for name, fact in B.FACTS.items():
+        alone = fact(spark, SF)
+        with B.shared_cells(spark, SF):
+            shared, cut = fact(spark, SF), fact(spark, SF, years=[(1998, 1998)])
+        assert shared.exceptAll(alone).count() == alone.exceptAll(shared).count() == 0, name
+        assert cut.count() < alone.count()
+
+
 def test_stay_adds_lines_up_once(spark):
     """The lines of the years' orders are not grouped by order first."""
     plan = QUERIES["q08_stay_compare"](spark, SF)._jdf.queryExecution().executedPlan().toString()

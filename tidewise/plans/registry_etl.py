@@ -35,6 +35,14 @@ FACT_OF = {"quarterly_spend": "quarterly_spend", "residents_motives": "residents
            "foreign_spend": "foreign_spend", "capacity": "capacity", "demand": "demand"}
 
 
+def sharing(run):
+    """The key reads all facts: they share their passes over the lines."""
+    def with_cells(spark, d):
+        with B.shared_cells(spark, d):
+            return run(spark, d)
+    return with_cells
+
+
 def staged(spark, d, name):
     return S.EXTRACTS[name](spark, d)
 
@@ -67,6 +75,7 @@ def _append(spark, d):
 
 
 @register("staging_scan_all")
+@sharing
 def _scan_all(spark, d):
     """Rows, and filled fields of the first and last column, of all seven extracts read from their files."""
     parts = []
@@ -87,6 +96,7 @@ def _fuse(spark, d):
 
 
 @register("load_audit")
+@sharing
 def _audit(spark, d):
     return QL.load_audit({n: (parse(staged(spark, d, n)).tagged, FACT_VALUE[FACT_OF[n]]) for n, parse in PARSERS.items()})
 
@@ -97,6 +107,7 @@ def _dropped(spark, d):
 
 
 @register("table_row_counts")
+@sharing
 def _counts(spark, d):
     return QL.table_row_counts({n: fn(spark, d) for n, fn in B.FACTS.items()})
 
@@ -136,6 +147,7 @@ def _summary(tables: dict) -> DataFrame:
 
 
 @register("published_facts")
+@sharing
 def _published(spark, d):
     """All six facts conformed, published by year and read back."""
     out = {}
@@ -147,6 +159,7 @@ def _published(spark, d):
 
 
 @register("csv_export_facts")
+@sharing
 def _csv_export(spark, d):
     """All six facts exported as text and read back with their schemas."""
     out = {}
@@ -158,6 +171,7 @@ def _csv_export(spark, d):
 
 
 @register("clustered_facts")
+@sharing
 def _clustered(spark, d):
     """All six facts published in ranges of the region inside each year, and read back."""
     out = {}
@@ -240,6 +254,7 @@ def _loaded_lots(spark, d, times=1):
 
 
 @register("load_observed")
+@sharing
 def _observed(spark, d):
     """Rows of each fate, observed while the lots were written."""
     names = ["leidas", *LD.L.FATES]
@@ -248,6 +263,7 @@ def _observed(spark, d):
 
 
 @register("load_rejects")
+@sharing
 def _rejects(spark, d):
     """Rejects by reason: malformed lines have reasons of their own."""
     lots, _ = _loaded_lots(spark, d)
@@ -257,6 +273,7 @@ def _rejects(spark, d):
 
 
 @register("load_losers")
+@sharing
 def _losers(spark, d):
     """Rows whose cell was already loaded, by another lot or by an earlier row of their own."""
     lots, _ = _loaded_lots(spark, d)
@@ -264,6 +281,7 @@ def _losers(spark, d):
 
 
 @register("repeated_load")
+@sharing
 def _repeated(spark, d):
     """Every lot loaded twice: the facts are as after once."""
     _, paths = _loaded_lots(spark, d, times=2)
@@ -279,6 +297,7 @@ def _fuse_key(spark, d):
 
 
 @register("constraint_violations")
+@sharing
 def _violations(spark, d):
     """Constraints of the parsed extracts, before a load has chosen between rows."""
     dim, parts = region_dim(spark, d), []

@@ -12,6 +12,7 @@ become 1995, 1997 and 2000 (see ``PARAMS``).
 
 from __future__ import annotations
 
+from contextlib import contextmanager
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,6 +21,7 @@ from pyspark.sql import functions as F
 from tidewise import vocab as V
 from tidewise.functions.ratios import round_div_decimal
 from tidewise.schemas import MONEY
+from tidewise.session import scratch_path
 from tidewise.sources.tables import in_years, region_dim, table
 
 # Parameters of the registered queries on the bound tables.
@@ -52,6 +54,43 @@ def _map(c, pairs):
     return out
 
 
+#: Cells that the facts of one folder share while :func:`shared_cells` is active, by folder.
+_CELLS: dict[str, dict[str, DataFrame]] = {}
+
+
+@contextmanager
+def shared_cells(spark: SparkSession, sf_dir: str):
+    """Facts that are built inside share their passes over the lines, for jobs that read all of them.
+
+    Lines by supplier (visitors and spend) and lines by order (stays and lodging) are each added up once, to cells by
+    region, period and category, which are written to the shared folder. A cell table is as small as a fact.
+    """
+    money = {c: F.sum(F.col(f"l_{c}").cast(MONEY)).alias(c) for c in ("quantity", "extendedprice")}
+    by_supplier = _lines_by_supplier(spark, sf_dir, None, "l_returnflag", "l_quantity", "l_extendedprice").groupBy(
+        F.col("s_nationkey").cast("int").alias("id_ccaa"), "l_returnflag", F.trunc(F.to_date("l_shipdate"), "month").alias("fecha")).agg(
+        F.count("*").alias("n"), *money.values())
+    p = table(spark, sf_dir, "part", "p_partkey", "p_type")
+    li = table(spark, sf_dir, "lineitem", "l_orderkey", "l_partkey", "l_quantity")
+    o = _orders_by_region(spark, sf_dir, None, "o_orderkey")
+    by_order = li.join(o, li.l_orderkey == o.o_orderkey).join(p, li.l_partkey == p.p_partkey, "left").groupBy(
+        F.col("c_nationkey").cast("int").alias("id_ccaa"), F.trunc(F.to_date("o_orderdate"), "quarter").alias("fecha"), "p_type",
+        F.col("p_partkey").isNotNull().alias("has_part")).agg(F.count("*").alias("n"), money["quantity"])
+    cells = {}
+    for name, df in (("supplier", by_supplier), ("order", by_order)):
+        path = scratch_path(spark, f"cells-{name}")
+        df.write.parquet(path)
+        cells[name] = spark.read.parquet(path)
+    _CELLS[sf_dir] = cells
+    try:
+        yield
+    finally:
+        del _CELLS[sf_dir]
+
+
+def _shared(sf_dir, name, years) -> DataFrame | None:
+    return _CELLS[sf_dir][name] if sf_dir in _CELLS and years is None else None
+
+
 def _with_region(spark, sf_dir, df):
     return df.join(region_dim(spark, sf_dir), "id_ccaa")
 
@@ -84,11 +123,16 @@ def fx_trips_q(spark: SparkSession, sf_dir: str, years=None, metrics=V.DOMESTIC_
                                   for i, m in enumerate(of_orders)]))
         branches.append(agg.select("id_ccaa", "anio", "trimestre", rows))
     if DURATION in metrics:
+        shared = _shared(sf_dir, "order", years)
         # sums and counts add up: the orders of the years meet their lines, and one aggregation by quarter follows
         li = table(spark, sf_dir, "lineitem", "l_orderkey", "l_quantity")
         o = _orders_by_region(spark, sf_dir, years, "o_orderkey")
-        stay = li.join(o, li.l_orderkey == o.o_orderkey).groupBy(*keys).agg(
-            F.sum(F.col("l_quantity").cast(MONEY)).alias("qty"), F.count("*").alias("nl"))
+        if shared is not None:
+            stay = shared.groupBy("id_ccaa", F.year("fecha").alias("anio"), F.quarter("fecha").alias("trimestre")).agg(
+                F.sum("quantity").alias("qty"), F.sum("n").alias("nl"))
+        else:
+            stay = li.join(o, li.l_orderkey == o.o_orderkey).groupBy(*keys).agg(
+                F.sum(F.col("l_quantity").cast(MONEY)).alias("qty"), F.count("*").alias("nl"))
         branches.append(stay.select("id_ccaa", "anio", "trimestre", F.lit(DURATION).alias("metrica"),
                                     round_div_decimal("qty", "nl", 2).alias("valor")))
     long = reduce(DataFrame.unionByName, branches)
@@ -107,22 +151,31 @@ def _lines_by_supplier(spark, sf_dir, years, *cols):
 
 def fx_foreign_m(spark: SparkSession, sf_dir: str, years=None) -> DataFrame:
     """Monthly foreign visitors by motive."""
-    j = _lines_by_supplier(spark, sf_dir, years, "l_returnflag")
-    agg = (j.groupBy(F.col("s_nationkey").cast("int").alias("id_ccaa"),
-                     _map(F.col("l_returnflag"), FLAG_FOREIGN_MOTIVE).alias("motivo"),
-                     F.trunc(F.to_date("l_shipdate"), "month").alias("fecha"))
-           .agg(F.count("*").alias("turistas")))
+    motive = _map(F.col("l_returnflag"), FLAG_FOREIGN_MOTIVE).alias("motivo")
+    shared = _shared(sf_dir, "supplier", years)
+    if shared is not None:
+        agg = shared.groupBy("id_ccaa", motive, "fecha").agg(F.sum("n").alias("turistas"))
+    else:
+        j = _lines_by_supplier(spark, sf_dir, years, "l_returnflag")
+        agg = (j.groupBy(F.col("s_nationkey").cast("int").alias("id_ccaa"), motive,
+                         F.trunc(F.to_date("l_shipdate"), "month").alias("fecha"))
+               .agg(F.count("*").alias("turistas")))
     return _with_region(spark, sf_dir, agg).select("id_ccaa", "destino", "motivo", "fecha", "turistas")
 
 
 def fx_spend_y(spark: SparkSession, sf_dir: str, years=None) -> DataFrame:
     """Annual foreign spend per person and mean stay (metric long format)."""
-    j = _lines_by_supplier(spark, sf_dir, years, "l_quantity", "l_extendedprice")
-    agg = (j.groupBy(F.col("s_nationkey").cast("int").alias("id_ccaa"),
-                     F.year(F.to_date("l_shipdate")).alias("anio"))
-           .agg(F.count("*").alias("n"),
-                F.sum(F.col("l_extendedprice").cast(MONEY)).alias("amount"),
-                F.sum(F.col("l_quantity").cast(MONEY)).alias("qty")))
+    shared = _shared(sf_dir, "supplier", years)
+    if shared is not None:
+        agg = shared.groupBy("id_ccaa", F.year("fecha").alias("anio")).agg(
+            F.sum("n").alias("n"), F.sum("extendedprice").alias("amount"), F.sum("quantity").alias("qty"))
+    else:
+        j = _lines_by_supplier(spark, sf_dir, years, "l_quantity", "l_extendedprice")
+        agg = (j.groupBy(F.col("s_nationkey").cast("int").alias("id_ccaa"),
+                         F.year(F.to_date("l_shipdate")).alias("anio"))
+               .agg(F.count("*").alias("n"),
+                    F.sum(F.col("l_extendedprice").cast(MONEY)).alias("amount"),
+                    F.sum(F.col("l_quantity").cast(MONEY)).alias("qty")))
     rows = F.array(
         F.struct(F.lit(V.SPEND_PER_PERSON).alias("metrica"),
                  round_div_decimal("amount", "n", 2).alias("valor")),
@@ -154,19 +207,24 @@ def fx_residents_y(spark: SparkSession, sf_dir: str, years=None) -> DataFrame:
 
 def _lodging_lines(spark, sf_dir, with_total: bool = False, years=None) -> DataFrame:
     """Lodging marginal: level-2 rows, level-1 subtotals (level 2 NULL), optional grand total."""
-    li = table(spark, sf_dir, "lineitem", "l_orderkey", "l_partkey")
-    oc = _orders_by_region(spark, sf_dir, years, "o_orderkey")
-    p = table(spark, sf_dir, "part", "p_partkey", "p_type")
-    j = li.join(oc, li.l_orderkey == oc.o_orderkey).join(p, li.l_partkey == p.p_partkey)
+    shared = _shared(sf_dir, "order", years)
+    if shared is not None:
+        j = shared.where("has_part").select("id_ccaa", F.year("fecha").alias("anio"), "p_type", "n")
+    else:
+        li = table(spark, sf_dir, "lineitem", "l_orderkey", "l_partkey")
+        oc = _orders_by_region(spark, sf_dir, years, "o_orderkey")
+        p = table(spark, sf_dir, "part", "p_partkey", "p_type")
+        j = li.join(oc, li.l_orderkey == oc.o_orderkey).join(p, li.l_partkey == p.p_partkey).select(
+            F.col("c_nationkey").cast("int").alias("id_ccaa"), F.year(F.to_date("o_orderdate")).alias("anio"), "p_type")
     l1 = F.when(F.col("p_type").isin(*MARKET_PTYPES), F.lit(V.MARKET)).otherwise(F.lit(V.NON_MARKET))
     l2 = _map(F.col("p_type"), PTYPE_LEVEL2)
     cells = [F.struct(l1.alias("l1"), l2.alias("l2")),
              F.struct(l1.alias("l1"), F.lit(None).cast("string").alias("l2"))]
     if with_total:
         cells.append(F.struct(F.lit(V.TOTAL).alias("l1"), F.lit(None).cast("string").alias("l2")))
-    return (j.select(F.col("c_nationkey").cast("int").alias("id_ccaa"),
-                     F.year(F.to_date("o_orderdate")).alias("anio"), F.inline(F.array(*cells)))
-            .groupBy("id_ccaa", "anio", "l1", "l2").agg(F.count("*").alias("viajes"))
+    many = ["n"] if shared is not None else []
+    return (j.select("id_ccaa", "anio", *many, F.inline(F.array(*cells)))
+            .groupBy("id_ccaa", "anio", "l1", "l2").agg((F.sum("n") if many else F.count("*")).alias("viajes"))
             .select("id_ccaa", F.lit(V.TOTAL).alias("motivo"), F.col("l1").alias("alojamiento_nivel1"),
                     F.col("l2").alias("alojamiento_nivel2"), "anio", "viajes"))
 
