@@ -40,6 +40,55 @@ def test_labels_of_held_out_documents_are_not_learnt(spark):
     assert n == sum(zlib.crc32(str(k).encode()) % 3 != 1 for k in range(60))
 
 
+def brute_trees(x, y, trees, depth):
+    """Scores of boosted trees that try every value of every feature as a threshold, node by node."""
+    n, f = x.shape
+    prior = (y.sum() + 1) / (n + 2)
+    total = np.full(n, np.log(prior / (1 - prior)))
+
+    def leaf(rows, g, h):
+        return {i: -M.RATE * g[rows].sum() / (h[rows].sum() + M.SHRINK) for i in rows}
+
+    def grow(rows, g, h, left):
+        if left == 0 or not rows:
+            return leaf(rows, g, h) if rows else {}
+        best = (1e-9, None, None)
+        for k in range(f):
+            for cut in sorted(set(x[:, k])):
+                a, b = [i for i in rows if x[i, k] <= cut], [i for i in rows if x[i, k] > cut]
+                if h[a].sum() >= M.LEAST_WEIGHT and h[b].sum() >= M.LEAST_WEIGHT:
+                    gain = sum(z * g[r].sum() ** 2 / (h[r].sum() + M.SHRINK) for z, r in ((1, a), (1, b), (-1, rows)))
+                    if gain > best[0] + 1e-9:
+                        best = (gain, a, b)
+        if best[1] is None:
+            return grow(rows, g, h, left - 1)
+        return grow(best[1], g, h, left - 1) | grow(best[2], g, h, left - 1)
+
+    for _ in range(trees):
+        p = 1 / (1 + np.exp(-total))
+        out = grow(list(range(n)), p - y, p * (1 - p), depth)
+        total = total + np.array([out[i] for i in range(n)])
+    return 1 / (1 + np.exp(-total))
+
+
+def test_splits_by_brute_force():
+    for seed in range(4):
+        rng = np.random.default_rng(seed)
+        x = rng.integers(0, 9, size=(300, 3)).astype(np.float32)
+        y = ((x[:, 0] > 4) ^ (x[:, 1] > 2) ^ (rng.random(300) < 0.2)).astype(np.float64)
+        assert np.allclose(M.fit(x, y, trees=4, depth=3).score(x), brute_trees(x, y, 4, 3), atol=1e-9)
+
+
+def test_sample_is_cut_by_hash_not_by_label(spark):
+    docs = make(spark, [(k % 20, sentence(k, 30)) for k in range(200)])
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(20)], "doc_id long, quality int, toxic int")
+    whole = M.training_rows(docs, labels, 20)
+    assert whole.count() > 20  # ids repeat
+    trees = M.train(docs, labels, 20)
+    kept = whole.orderBy("label").limit(20).select("label").distinct().count()
+    assert kept == 1 and abs(trees.bias) < 2  # both labels were learnt
+
+
 def test_trees_learn_an_interaction():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(3000, 4)).astype(np.float32)

@@ -155,9 +155,9 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = TREES, depth: int = DEPTH) ->
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """Statistics and label of at most ``sample`` labelled documents outside the held-out third.
+    """Statistics and label of the documents of at most ``sample`` labels outside the held-out third.
 
-    Null or other labels than 0 and 1 and null ids are left out.
+    Null or other labels than 0 and 1 and null ids are left out. An id that repeats gives several rows.
     """
     chosen = (labels.select("doc_id", F.col("quality").cast("int").alias("label"))
               .filter(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1) & ~held_out())
@@ -173,8 +173,11 @@ def _packed(text: pa.Array) -> list[pa.Array]:
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Trees:
-    """Trees fitted on the driver; what comes here is bounded by ``sample`` rows of statistics."""
-    rows = training_rows(docs, labels, sample).orderBy("label", "x").limit(2 * sample).toPandas()
+    """Trees fitted on the driver; what comes here is bounded by ``sample`` rows of statistics.
+
+    If ids repeat and there are more, the rows are cut by the hash of their statistics, whatever their label.
+    """
+    rows = training_rows(docs, labels, sample).orderBy(F.xxhash64("x"), "label", "x").limit(sample).toPandas()
     x = np.array(rows["x"].tolist(), np.float32).reshape(-1, len(FEATURES))
     return fit(x, rows["label"].to_numpy(np.float64))
 
