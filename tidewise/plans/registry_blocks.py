@@ -242,14 +242,14 @@ def _s6(spark, d):
 
 @register("q03_from_sql")
 def _s7(spark, d):
-    (r,) = facts(spark, d, "residents")
+    (r,) = facts(spark, d, "residents", years=YEAR)
     return run_sql(spark, SQL_Q03, {"residents": r}, anio=P["last_year"], total=V.TOTAL, ocio=V.LEISURE, negocios=V.BUSINESS, familia=V.FAMILY, otros=V.OTHER)
 
 
 @register("q07_from_sql")
 def _s8(spark, d):
-    t = trips(spark, d, V.TRIPS, V.SPEND_TOTAL)
-    (s,) = facts(spark, d, "foreign_spend")
+    t = trips(spark, d, V.TRIPS, V.SPEND_TOTAL, years=YEAR)
+    (s,) = facts(spark, d, "foreign_spend", years=YEAR)
     return run_sql(spark, SQL_Q07, {"quarterly_spend": t, "foreign_spend": s}, anio=P["last_year"], viajes=V.TRIPS, gasto=V.SPEND_TOTAL,
                    por_persona=V.SPEND_PER_PERSON)
 
