@@ -180,13 +180,15 @@ def one_of_each_group(docs: DataFrame, shingle: int = 3, max_bits: int = 3) -> D
     SHA-256 (null first), then the one with the smallest other columns in their order.
     """
     digest = F.sha2(F.col("text").cast("binary"), 256)
-    rows = _grouped(docs.select("doc_id", "text", digest.alias("__digest")), "text", ["doc_id", "__digest"], shingle, max_bits)
-    chosen = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__digest")).alias("c"))
-    chosen = chosen.select(F.col("c.doc_id").alias("__id"), F.col("c.__digest").alias("__d"))
-    kept = docs.join(chosen, F.col("doc_id").eqNullSafe(F.col("__id")) & digest.eqNullSafe(F.col("__d")), "left_semi")
+    # a row's id and text as one key without nulls, so the join and the last choice need one shuffle of the texts
+    key = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("none")), F.lit("/"), F.coalesce(digest, F.lit("none"))).cast("binary"))
+    rows = _grouped(docs.select("doc_id", "text", digest.alias("__digest"), key.alias("__key")), "text", ["doc_id", "__digest", "__key"],
+                    shingle, max_bits)
+    chosen = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__digest", "__key")).alias("c"))
+    kept = docs.withColumn("__key", key).join(chosen.select(F.col("c.__key").alias("__key")), "__key", "left_semi")
     rest = [c for c in docs.columns if c not in ("doc_id", "text")]
-    first = kept.groupBy("doc_id", "text").agg(F.min(F.struct(*[F.col(f"`{c}`") for c in rest])).alias("__rest"))
-    return first.select("doc_id", "text", *[F.col(f"__rest.`{c}`").alias(c) for c in rest]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    first = kept.groupBy("__key").agg(F.min(F.struct(*[F.col(f"`{c}`") for c in [*rest, "doc_id", "text"]])).alias("r"))
+    return first.select(*[F.col(f"r.`{c}`").alias(c) for c in docs.columns])
 
 
 def op5_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
