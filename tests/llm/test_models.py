@@ -5,6 +5,7 @@ from collections import Counter
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from llm_helpers import EDGE, MEDIUM, make, sentence
 from tidewise.llm import language_id as G
@@ -143,7 +144,23 @@ def test_rejection_limit_of_a_rare_language(spark, monkeypatch):
     assert got[1].lang_pred == got[2].lang_pred == "el" and got[2].rejected and not got[1].rejected
 
 
-def test_model_in_tables_keeps_every_gram(spark, edge, monkeypatch):
+def test_one_pass_is_training_and_identification(spark, edge, empty):
+    docs = edge.select("doc_id", "text", "lang").unionByName(make(spark, [(k, "der und die das " * 5, "de") for k in range(100, 112)]).select("doc_id", "text", "lang"))
+    row = lambda df: sorted((tuple(r) for r in df.collect()), key=str)
+    assert row(G.identify_own(docs)) == row(G.identify(docs, G.train(docs)))
+    assert {r.lang_pred for r in G.identify_own(docs.withColumn("lang", F.lit(None))).collect()} == {"und"}
+    assert G.identify_own(empty).count() == 0
+
+
+def test_ranges_of_hashes():
+    h = np.sort(np.random.default_rng(1).integers(-2**63, 2**63 - 1, 10_000))
+    for n in (1, 3, 7, 1000):
+        r = G._range_of(h, n)
+        assert r.min() >= 0 and r.max() == n - 1 and (np.diff(r) >= 0).all()
+    assert G._range_of(np.array([-2**63, 2**63 - 1]), 5).tolist() == [0, 4]
+
+
+def test_spread_model_keeps_every_gram(spark, edge, monkeypatch):
     """With more n-grams than fit in arrays the results are those of all n-grams, not of the most frequent ones."""
     docs = make(spark, [(k, sentence(k, 40), "xx") for k in range(40)] + [(k, "漢字仮名交じり文の例です " + sentence(k, 5), "ja") for k in range(40, 60)]
                 + [(k, "der und die das über " * 3 + sentence(k, 3), "de") for k in range(60, 66)] + [(80, "1 2 3 !", "xx"), (81, None, "xx"), (82, "", "de")])
@@ -155,6 +172,8 @@ def test_model_in_tables_keeps_every_gram(spark, edge, monkeypatch):
 
     whole, want = all_rows()
     monkeypatch.setattr(G, "MODEL_GRAMS", 50)
+    monkeypatch.setattr(G, "RANGE_NUMBERS", 2000)  # many ranges, several copies of each
+    monkeypatch.setattr(G, "ASKED", 300)
     model, got = all_rows()
     assert isinstance(model, G.Spread) and not isinstance(whole, G.Spread) and model.langs == whole.langs and model.scale == whole.scale
     assert np.allclose(model.limit, whole.limit, rtol=1e-5) and len(got) == len(want) == docs.count()

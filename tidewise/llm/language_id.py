@@ -8,8 +8,10 @@ matrix of log probabilities. Scoring: each distinct word of a slice is scored on
 document goes to the language of the lowest cross-entropy per character. A cross-entropy
 above the language's calibrated limit marks the prediction as rejected.
 
-A model of too many n-grams for arrays in one process stays in tables: the same recursion runs
-as joins, and the distinct n-grams of slices of documents meet their scores in a shuffle join.
+A model of too many n-grams for one process is spread: the same recursion runs as joins over all
+counts, and gives the log probabilities of the corpus's distinct n-grams. These become sorted hash arrays again,
+one for each range of hashes and of a bounded size. A slice of documents asks each range for the hashes that lie there,
+by a shuffle, and a task that holds one range answers the slices as they stream past.
 """
 
 from __future__ import annotations
@@ -29,9 +31,12 @@ from tidewise.llm.common import SLICE_BYTES, held_out, map_text, read, saved, sl
 
 ORDER = 4
 START, END = "\x02", "\x03"
-#: Most n-grams of a model in arrays, and most numbers in a matrix of it; a larger model stays in tables, with all n-grams.
+#: Most n-grams of a model in the arrays of one process, and most numbers in a matrix of it; a larger model is spread, with all n-grams.
 MODEL_GRAMS = 400_000
 MODEL_NUMBERS = 20_000_000
+#: Numbers in the matrix of one range of hashes of a spread model, and asked hashes that one copy of a range answers.
+RANGE_NUMBERS = 2_000_000
+ASKED = 8_000_000
 #: Learning documents on which the scores' scale is calibrated: those with the smallest hashes of their ids.
 CALIBRATION = 3000
 #: Share of a language's learning documents beyond its limit, and slack above it.
@@ -190,7 +195,7 @@ class Model:
 
 @dataclass
 class Spread(Model):
-    """A model in tables. By order 1..ORDER: (gram, p), (context, w) with maps of language number to log probability or weight."""
+    """A spread model. By order 1..ORDER: (gram, p), (context, w) with maps of language number to log probability or weight."""
 
     tables: list[tuple[DataFrame, DataFrame]] | None = None
 
@@ -251,51 +256,152 @@ def _gram_scores(model: Spread, grams: DataFrame) -> DataFrame:
     return below
 
 
+def _points(grams: pa.Array) -> np.ndarray:
+    """Code points of n-grams of the highest order, a row each."""
+    return np.frombuffer("".join(grams.to_pylist()).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(-1, ORDER)
+
+
+def _range_of(h: np.ndarray, n: int) -> np.ndarray:
+    """Which of ``n`` equal ranges of signed hashes each hash lies in."""
+    return ((h >> 32) + (1 << 31)) * n >> 32
+
+
+def _ranges(scores: DataFrame, n_langs: int, n: int) -> DataFrame:
+    """(range, h, s) from (gram, s): the sorted hashes of a range and the matrix of their log probabilities, as bytes."""
+    def hashed(batches):
+        for b in batches:
+            h = _hash(_points(b.column(0))).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(_range_of(h, n)), pa.array(h), b.column(1)], names=["range", "h", "s"])
+
+    def packed(rows: pa.Table) -> pa.Table:
+        h = rows["h"].to_numpy()
+        order = np.argsort(h)
+        p = pc.list_flatten(rows["s"]).to_numpy().reshape(-1, n_langs).astype(np.float32)[order]
+        return pa.table({"range": rows["range"][:1], "h": pa.array([h[order].tobytes()], pa.binary()), "s": pa.array([p.tobytes()], pa.binary())})
+
+    return (scores.select("gram", "s").mapInArrow(hashed, "range long, h long, s array<double>")
+            .groupBy("range").applyInArrow(packed, "range long, h binary, s binary"))
+
+
+def _answers(asked: DataFrame, ranges: DataFrame, n: int, n_langs: int) -> DataFrame:
+    """(slice, range, s) for each asked (slice, range, h): the rows of the range's matrix for the hashes.
+
+    A range goes to as many copies as its questions need. A task has one range at a time, ahead of its questions.
+    """
+    total = asked.agg(F.coalesce(F.sum(F.length("h")), F.lit(0)).alias("n")).first()["n"] // 8
+    copies = total // (n * ASKED) + 1
+    own = ranges.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1)))).select(
+        (F.col("range") * copies + F.col("copy")).alias("key"), F.lit(None).cast("string").alias("slice"), "range", "h", "s")
+    questions = asked.select((F.col("range") * copies + F.pmod(F.xxhash64("slice"), F.lit(copies))).alias("key"), "slice", "range", "h",
+                             F.lit(None).cast("binary").alias("s"))
+
+    def answer(batches):
+        table = p = None
+        for b in batches:
+            for i in range(b.num_rows):
+                h = np.frombuffer(b.column(3)[i].as_buffer(), np.int64)
+                if b.column(4)[i].is_valid:
+                    table, p = h.copy(), np.frombuffer(b.column(4)[i].as_buffer(), np.float32).reshape(-1, n_langs).copy()
+                    continue
+                place, hit = _find(table, h)
+                if not hit.all():
+                    raise ValueError("a hash that its range does not hold")
+                yield pa.RecordBatch.from_arrays([b.column(1).slice(i, 1), b.column(2).slice(i, 1), pa.array([p[place].tobytes()], pa.binary())],
+                                                 names=["slice", "range", "s"])
+
+    return (own.unionByName(questions).repartition("key").sortWithinPartitions("key", F.col("slice").isNotNull())
+            .mapInArrow(answer, "slice string, range long, s binary"))
+
+
+def _kinds(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted signed hashes of the distinct n-grams of words, their code points, kind and word of each n-gram."""
+    c, at, word = _characters(words)
+    view = np.column_stack([c[at - k] for k in range(ORDER - 1, -1, -1)])
+    h, first, kind = np.unique(_hash(view).view(np.int64), return_index=True, return_inverse=True)
+    return h, view[first], kind, word
+
+
+def _packed(raw: bytes) -> bytes:
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
+
+
+def _unpacked(packed: bytes) -> bytes:
+    return pa.decompress(packed[8:], int.from_bytes(packed[:8], "little"), "zstd", asbytes=True)
+
+
 def _spread_scored(docs: DataFrame, model: Spread, carry: list[str]) -> DataFrame:
-    """``_scored`` for a model in tables: texts become slices of numbers, whose n-grams are joined with their scores."""
-    ints, n_langs = T.ArrayType(T.IntegerType()), len(model.langs)
+    """``_scored`` for a spread model: texts become slices of word numbers, whose n-grams are asked of the ranges."""
+    n_langs = len(model.langs)
     kept = [T.StructField(c, T.ArrayType(docs.schema[c].dataType)) for c in carry]
-    schema = T.StructType([*kept, T.StructField("__slice", T.StringType()), T.StructField("__size", T.ArrayType(T.DoubleType())),
-                           *[T.StructField(x, ints) for x in ("__doc", "__code", "__word", "__kind")], T.StructField("__grams", T.ArrayType(T.StringType()))])
+    schema = T.StructType([*kept, T.StructField("__slice", T.StringType()), T.StructField("__sizes", T.ArrayType(T.IntegerType())),
+                           T.StructField("__codes", T.BinaryType()), T.StructField("__words", T.BinaryType())])
+    m = len(carry)
 
     def cut(batches):
         for b in batches:
-            for lo, hi in slices(b.column(len(carry)), SLICE_BYTES // 4):
+            for lo, hi in slices(b.column(m), min(2 * SLICE_BYTES, MODEL_NUMBERS // n_langs + 1)):
                 part = b.slice(lo, hi - lo)
-                doc, code, words = letter_words(part.column(len(carry)))
-                c, at, word = _characters(words)
-                view = np.column_stack([c[at - k] for k in range(ORDER - 1, -1, -1)])
-                _, first, kind = np.unique(_hash(view), return_index=True, return_inverse=True)
-                grams = np.ascontiguousarray(view[first].astype("<u4")).view(f"<U{ORDER}").ravel().tolist() if len(at) else []
-                length = np.array([len(w) + 1 for w in words], np.float64)
-                size = np.bincount(doc, weights=length[code], minlength=hi - lo) if len(code) else np.zeros(hi - lo)
-                lists = [size.astype(np.float64), *(x.astype(np.int32) for x in (doc, code, word, kind))]
+                doc, code, words = letter_words(part.column(m))
+                sizes = np.bincount(doc, minlength=hi - lo).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [*(pa.ListArray.from_arrays(pa.array([0, hi - lo], pa.int32()), part.column(j)) for j in range(len(carry))),
-                     pa.array([uuid.uuid4().hex]), *(pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x)) for x in lists),
-                     pa.array([grams], pa.list_(pa.string()))], names=schema.names)
+                    [*(pa.ListArray.from_arrays(pa.array([0, hi - lo], pa.int32()), part.column(j)) for j in range(m)),
+                     pa.array([uuid.uuid4().hex]), pa.ListArray.from_arrays(pa.array([0, hi - lo], pa.int32()), pa.array(sizes)),
+                     pa.array([_packed(code.astype("<u4").tobytes())], pa.binary()),
+                     pa.array([_packed(" ".join(words).encode())], pa.binary())], names=schema.names)
+
+    def words_of(value: pa.Scalar) -> list[str]:
+        text = _unpacked(value.as_py()).decode()
+        return text.split(" ") if text else []
+
+    def grams(batches):
+        for b in batches:
+            for value in b.column(0):
+                points = _kinds(words_of(value))[1]
+                text = np.ascontiguousarray(points.astype("<u4")).view(f"<U{ORDER}").ravel()
+                yield pa.RecordBatch.from_arrays([pa.array(text.tolist(), pa.string())], names=["gram"])
 
     def back(batches):
         for b in batches:
             for i in range(b.num_rows):
-                size, doc, code, word, kind = (b.column(x)[i].values.to_numpy(zero_copy_only=False) for x in schema.names[len(carry) + 1:-1])
-                n, total = len(size), np.zeros((len(size), n_langs))
-                if len(doc):
-                    score = b.column("__s")[i].values.flatten().to_numpy(zero_copy_only=False).reshape(-1, n_langs)
+                sizes = b.column("__sizes")[i].values.to_numpy(zero_copy_only=False)
+                code = np.frombuffer(_unpacked(b.column("__codes")[i].as_py()), np.uint32).astype(np.int64)
+                words = words_of(b.column("__words")[i])
+                n, size, total = len(sizes), np.zeros(len(sizes)), np.zeros((len(sizes), n_langs))
+                if words:
+                    doc = np.repeat(np.arange(n), sizes)
+                    size = np.bincount(doc, weights=np.array([len(w) + 1 for w in words], np.float64)[code], minlength=n)
+                    _, _, kind, word = _kinds(words)
+                    found = b.column("__s")[i].values
+                    p = np.frombuffer(b"".join(found.field("s").to_pylist()), np.float32).reshape(-1, n_langs)
                     for x in range(n_langs):
-                        own = np.bincount(word, weights=score[kind, x])
+                        own = np.bincount(word, weights=p[kind, x])
                         total[:, x] = np.bincount(doc, weights=own[code], minlength=n)
                 ce = -total / np.maximum(size, 1)[:, None]
-                yield pa.RecordBatch.from_arrays([*(b.column(c)[i].values for c in carry), pa.array(list(ce), pa.list_(pa.float64())), pa.array(size)],
-                                                 names=[*carry, "ce", "size"])
+                yield pa.RecordBatch.from_arrays([*(b.column(c)[i].values for c in carry), _lists(ce), pa.array(size)], names=[*carry, "ce", "size"])
+
+    def ask(n: int):
+        def run(batches):
+            for b in batches:
+                for i in range(b.num_rows):
+                    h = _kinds(words_of(b.column(1)[i]))[0]
+                    some, first = np.unique(_range_of(h, n), return_index=True)
+                    yield pa.RecordBatch.from_arrays([pa.array([b.column(0)[i].as_py()] * len(some), pa.string()), pa.array(some, pa.int64()),
+                                                      pa.array([x.tobytes() for x in np.split(h, first[1:])][:len(some)], pa.binary())],
+                                                     names=["slice", "range", "h"])
+        return run
 
     out = T.StructType([*(docs.schema[c] for c in carry), T.StructField("ce", T.ArrayType(T.DoubleType())), T.StructField("size", T.DoubleType())])
     parts = saved(docs.select(*carry, F.col("text").cast("string")).mapInArrow(cut, schema), "slices")
-    wanted = parts.select("__slice", F.posexplode("__grams").alias("at", "gram"))
-    found = (wanted.join(_gram_scores(model, wanted), "gram").groupBy("__slice")
-             .agg(F.sort_array(F.collect_list(F.struct("at", "s"))).alias("found")).select("__slice", F.col("found.s").alias("__s")))
     with small_batches(docs.sparkSession, 1):  # a row is a slice
-        return saved(parts.drop("__grams").join(found, "__slice", "left").mapInArrow(back, out), "scored")
+        scores = _gram_scores(model, parts.select("__words").mapInArrow(grams, "gram string"))
+    n = scores.count() * n_langs // RANGE_NUMBERS + 1
+    ranges = saved(_ranges(scores, n_langs, n), "ranges")
+    with small_batches(docs.sparkSession, 16):  # a row is a range of bounded size or a question to it
+        asked = saved(parts.select("__slice", "__words").mapInArrow(ask(n), "slice string, range long, h binary"), "asked")
+        answers = saved(_answers(asked, ranges, n, n_langs), "answers")
+    found = answers.groupBy("slice").agg(F.sort_array(F.collect_list(F.struct("range", "s"))).alias("__s"))
+    with small_batches(docs.sparkSession, 1):
+        return saved(parts.join(found.withColumnRenamed("slice", "__slice"), "__slice", "left").mapInArrow(back, out), "scored")
 
 
 def build(counts: pd.DataFrame) -> Model:
@@ -370,21 +476,47 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
     """Count over all learning documents, build and calibrate.
 
     Learning documents have a language and are outside the held-out third; null ids are in it.
-    The driver gets at most MODEL_GRAMS counts and CALIBRATION rows of numbers; with more counts the model stays in tables.
+    The driver gets at most MODEL_GRAMS counts and CALIBRATION rows of numbers; with more counts the model is spread.
     """
+    learning = _own(docs, doc_id, text, lang).filter("learns")
+    model = _learnt(learning)
+    _fit(model, saved(_scored(learning, model, ["doc_id", "lang"]), "entropies"))
+    return model
+
+
+def identify_own(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
+    """``identify(docs, train(docs))``, with each text scored once."""
+    own = _own(docs, doc_id, text, lang)
+    model = _learnt(own.filter("learns"))
+    if not model.langs:
+        return identify(docs, replace(model, limit=np.zeros(0)), doc_id, text)
+    scored = saved(_scored(own, model, ["doc_id", "lang", "learns"]), "entropies")
+    _fit(model, scored.filter("learns"))
+    return _named(scored, model)
+
+
+def _own(docs: DataFrame, doc_id: str, text: str, lang: str) -> DataFrame:
+    """(doc_id, text, lang, learns): a document with a language outside the held-out third is learnt from."""
     own = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").cast("string").alias("lang"))
-    learning = own.filter(F.col("lang").isNotNull() & ~held_out())
+    return own.withColumn("learns", F.col("lang").isNotNull() & ~held_out())
+
+
+def _learnt(learning: DataFrame) -> Model:
+    """The model of all learning documents, in the arrays of one process or spread."""
     counts = saved(corpus_counts(learning), "grams")
     langs = sorted(r.lang for r in counts.select("lang").distinct().collect())
     most = min(MODEL_GRAMS, MODEL_NUMBERS // max(1, len(langs)))
-    model = build(counts.toPandas()) if counts.count() <= most else spread(counts, langs)
-    chosen = learning.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(CALIBRATION).distinct()
-    scored = saved(_scored(learning, model, ["doc_id", "lang"]).filter("size > 0"), "entropies")
+    return build(counts.toPandas()) if counts.count() <= most else spread(counts, langs)
+
+
+def _fit(model: Model, scored: DataFrame) -> None:
+    """Scale and limits of a model from all of its scored learning documents (doc_id, lang, ce, size)."""
+    chosen = scored.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(CALIBRATION).distinct()
+    known = scored.filter("size > 0")
     # at most CALIBRATION rows
-    rows = scored.join(F.broadcast(chosen), "doc_id", "left_semi").limit(2 * CALIBRATION).toPandas()
+    rows = known.join(F.broadcast(chosen), "doc_id", "left_semi").select("lang", "ce", "size").limit(2 * CALIBRATION).toPandas()
     _calibrate(model, rows[rows["lang"].isin(model.langs)])
-    model.limit = _limits(model, scored)
-    return model
+    model.limit = _limits(model, known)
 
 
 def _scored(docs: DataFrame, model: Model, carry: list[str]) -> DataFrame:
@@ -394,12 +526,46 @@ def _scored(docs: DataFrame, model: Model, carry: list[str]) -> DataFrame:
 
     def run(t: pa.Array) -> list[pa.Array]:
         ce, size = known.value.entropies(t)
-        return [pa.array(list(ce), pa.list_(pa.float64())), pa.array(size, pa.float64())]
+        return [_lists(ce), pa.array(size, pa.float64())]
 
     fields = [T.StructField("ce", T.ArrayType(T.DoubleType())), T.StructField("size", T.DoubleType())]
     return map_text(docs, "text", carry, fields, run, limit=2 * SLICE_BYTES)
 
 
+def _lists(matrix: np.ndarray) -> pa.Array:
+    """A list of numbers for each row."""
+    ends = np.arange(len(matrix) + 1, dtype=np.int32) * matrix.shape[1]
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(matrix.ravel(), pa.float64()))
+
+
+def _predictions(model: Model, ce: np.ndarray, size: np.ndarray) -> list[pa.Array]:
+    """lang_pred, score, cross_entropy, rejected."""
+    best = ce.argmin(axis=1)
+    some, rows = size > 0, np.arange(len(size))
+    own = ce[rows, best]
+    score = np.where(some, model.posterior(ce, size)[rows, best], 0.0)
+    names = [model.langs[x] if s else UNKNOWN for x, s in zip(best.tolist(), some.tolist(), strict=True)]
+    return [pa.array(names, pa.string()), pa.array(score), pa.array(own, pa.float64(), mask=~some), pa.array(~some | (own > model.limit[best]))]
+
+
+FIELDS = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()),
+          T.StructField("cross_entropy", T.DoubleType()), T.StructField("rejected", T.BooleanType())]
+
+
+def _named(scored: DataFrame, model: Model) -> DataFrame:
+    """Predictions of scored rows (doc_id, ce, size)."""
+    scored = scored.select("doc_id", "ce", "size")
+    schema = T.StructType([scored.schema["doc_id"], *FIELDS])
+    m = Model(model.langs, [], [], [], [], model.floor, model.scale, model.limit)
+
+    def run(batches):
+        for b in batches:
+            ce = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, len(m.langs))
+            yield pa.RecordBatch.from_arrays([b.column(0), *_predictions(m, ce, b.column(2).to_numpy(zero_copy_only=False))], names=schema.names)
+
+    return scored.mapInArrow(run, schema).select("doc_id", held_out().alias("held_out"), *schema.names[1:])
+
+
 def identify(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, held_out, lang_pred, score, cross_entropy, rejected) for each row.
 
@@ -407,38 +573,19 @@ def identify(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str =
     letter, or nothing was learnt. ``rejected``: the cross-entropy exceeds the language's
     limit, or there is no language. Equal cross-entropies go to the first language in order.
     """
-    known = docs.sparkSession.sparkContext.broadcast(replace(model, tables=None) if isinstance(model, Spread) else model)
-
-    def named(ce: np.ndarray, size: np.ndarray) -> list[pa.Array]:
-        m = known.value
-        best = ce.argmin(axis=1)
-        some, rows = size > 0, np.arange(len(size))
-        own = ce[rows, best]
-        score = np.where(some, m.posterior(ce, size)[rows, best], 0.0)
-        names = [m.langs[x] if s else UNKNOWN for x, s in zip(best.tolist(), some.tolist(), strict=True)]
-        return [pa.array(names, pa.string()), pa.array(score), pa.array(own, pa.float64(), mask=~some), pa.array(~some | (own > m.limit[best]))]
+    own = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    if isinstance(model, Spread):
+        return _named(_scored(own, model, ["doc_id"]), model)
+    known = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(t: pa.Array) -> list[pa.Array]:
         if not known.value.langs:
             return [pa.array([UNKNOWN] * len(t)), pa.array(np.zeros(len(t))), pa.nulls(len(t), pa.float64()), pa.array(np.ones(len(t), bool))]
-        return named(*known.value.entropies(t))
-
-    def of_scores(batches):
-        for b in batches:
-            ce = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
-            yield pa.RecordBatch.from_arrays([b.column(0), *named(ce, b.column(2).to_numpy(zero_copy_only=False))], names=schema.names)
+        return _predictions(known.value, *known.value.entropies(t))
 
-    fields = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()),
-              T.StructField("cross_entropy", T.DoubleType()), T.StructField("rejected", T.BooleanType())]
-    own = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    schema = T.StructType([own.schema["doc_id"], *fields])
-    if isinstance(model, Spread):
-        out = _scored(own, model, ["doc_id"]).mapInArrow(of_scores, schema)
-    else:
-        out = map_text(own, "text", ["doc_id"], fields, run, limit=2 * SLICE_BYTES)
-    return out.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "cross_entropy", "rejected")
+    return map_text(own, "text", ["doc_id"], FIELDS, run, limit=2 * SLICE_BYTES).select("doc_id", held_out().alias("held_out"), *(f.name for f in FIELDS))
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    return identify(docs, train(docs))
+    return identify_own(docs)
