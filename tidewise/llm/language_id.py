@@ -34,7 +34,7 @@ START, END = "\x02", "\x03"
 #: Most n-grams of a model in the arrays of one process, and most numbers in a matrix of it; a larger model is spread, with all n-grams.
 MODEL_GRAMS = 400_000
 MODEL_NUMBERS = 20_000_000
-#: Numbers in the matrix of one range of hashes of a spread model, and asked hashes that one copy of a range answers.
+#: Numbers in the matrix of one range of hashes of a spread model, and most asked hashes that one copy of a range answers.
 RANGE_NUMBERS = 2_000_000
 ASKED = 8_000_000
 #: Learning documents on which the scores' scale is calibrated: those with the smallest hashes of their ids.
@@ -283,13 +283,11 @@ def _ranges(scores: DataFrame, n_langs: int, n: int) -> DataFrame:
             .groupBy("range").applyInArrow(packed, "range long, h binary, s binary"))
 
 
-def _answers(asked: DataFrame, ranges: DataFrame, n: int, n_langs: int) -> DataFrame:
+def _answers(asked: DataFrame, ranges: DataFrame, copies: int, n_langs: int) -> DataFrame:
     """(slice, range, s) for each asked (slice, range, h): the rows of the range's matrix for the hashes.
 
-    A range goes to as many copies as its questions need. A task has one range at a time, ahead of its questions.
+    The questions to a range are dealt out to its copies. A task has one range at a time, ahead of its questions.
     """
-    total = asked.agg(F.coalesce(F.sum(F.length("h")), F.lit(0)).alias("n")).first()["n"] // 8
-    copies = total // (n * ASKED) + 1
     own = ranges.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1)))).select(
         (F.col("range") * copies + F.col("copy")).alias("key"), F.lit(None).cast("string").alias("slice"), "range", "h", "s")
     questions = asked.select((F.col("range") * copies + F.pmod(F.xxhash64("slice"), F.lit(copies))).alias("key"), "slice", "range", "h",
@@ -334,7 +332,7 @@ def _spread_scored(docs: DataFrame, model: Spread, carry: list[str]) -> DataFram
     n_langs = len(model.langs)
     kept = [T.StructField(c, T.ArrayType(docs.schema[c].dataType)) for c in carry]
     schema = T.StructType([*kept, T.StructField("__slice", T.StringType()), T.StructField("__sizes", T.ArrayType(T.IntegerType())),
-                           T.StructField("__codes", T.BinaryType()), T.StructField("__words", T.BinaryType())])
+                           T.StructField("__codes", T.BinaryType()), T.StructField("__words", T.BinaryType()), T.StructField("__most", T.LongType())])
     m = len(carry)
 
     def cut(batches):
@@ -347,7 +345,7 @@ def _spread_scored(docs: DataFrame, model: Spread, carry: list[str]) -> DataFram
                     [*(pa.ListArray.from_arrays(pa.array([0, hi - lo], pa.int32()), part.column(j)) for j in range(m)),
                      pa.array([uuid.uuid4().hex]), pa.ListArray.from_arrays(pa.array([0, hi - lo], pa.int32()), pa.array(sizes)),
                      pa.array([_packed(code.astype("<u4").tobytes())], pa.binary()),
-                     pa.array([_packed(" ".join(words).encode())], pa.binary())], names=schema.names)
+                     pa.array([_packed(" ".join(words).encode())], pa.binary()), pa.array([sum(map(len, words)) + len(words)])], names=schema.names)
 
     def words_of(value: pa.Scalar) -> list[str]:
         text = _unpacked(value.as_py()).decode()
@@ -396,12 +394,12 @@ def _spread_scored(docs: DataFrame, model: Spread, carry: list[str]) -> DataFram
         scores = _gram_scores(model, parts.select("__words").mapInArrow(grams, "gram string"))
     n = scores.count() * n_langs // RANGE_NUMBERS + 1
     ranges = saved(_ranges(scores, n_langs, n), "ranges")
-    with small_batches(docs.sparkSession, 16):  # a row is a range of bounded size or a question to it
-        asked = saved(parts.select("__slice", "__words").mapInArrow(ask(n), "slice string, range long, h binary"), "asked")
-        answers = saved(_answers(asked, ranges, n, n_langs), "answers")
+    most = parts.agg(F.coalesce(F.sum("__most"), F.lit(0)).alias("n")).first()["n"]  # a slice has no more distinct n-grams than characters
+    asked = parts.select("__slice", "__words").mapInArrow(ask(n), "slice string, range long, h binary")
+    answers = _answers(asked, ranges, most // (n * ASKED) + 1, n_langs)
     found = answers.groupBy("slice").agg(F.sort_array(F.collect_list(F.struct("range", "s"))).alias("__s"))
-    with small_batches(docs.sparkSession, 1):
-        return saved(parts.join(found.withColumnRenamed("slice", "__slice"), "__slice", "left").mapInArrow(back, out), "scored")
+    with small_batches(docs.sparkSession, 1):  # a row is a slice, a range or a question
+        return saved(parts.drop("__most").join(found.withColumnRenamed("slice", "__slice"), "__slice", "left").mapInArrow(back, out), "scored")
 
 
 def build(counts: pd.DataFrame) -> Model:
