@@ -76,6 +76,17 @@ def test_shared_cells_give_the_same_facts(spark):
         assert cut.count() < alone.count()
 
 
+def test_lines_meet_orders_in_tasks_by_rows(spark, monkeypatch):
+    """Many lines: the tasks that join them with orders and count distinct orders follow their number, in one shuffle of the lines."""
+    plain = B.fx_demand_m(spark, SF)
+    lines = spark.read.parquet(f"{SF}/lineitem.parquet").count()
+    monkeypatch.setattr(B, "TASK_LINES", 100, raising=False)
+    many = B.fx_demand_m(spark, SF)
+    shuffles = re.findall(r"Exchange hashpartitioning\((l_\w+)#\d+L, (\d+)\)", many._jdf.queryExecution().executedPlan().toString())
+    assert shuffles == [("l_orderkey", str(-(-lines // 100)))]
+    assert many.exceptAll(plain).count() == plain.exceptAll(many).count() == 0
+
+
 def test_stay_adds_lines_up_once(spark):
     """The lines of the years' orders are not grouped by order first."""
     plan = QUERIES["q08_stay_compare"](spark, SF)._jdf.queryExecution().executedPlan().toString()

@@ -54,6 +54,24 @@ def _map(c, pairs):
     return out
 
 
+#: Lines that one task joins with their orders and counts distinct orders of: the number of tasks follows the lines.
+TASK_LINES = 500_000
+
+
+def _order_tasks(spark, sf_dir) -> int:
+    """Tasks for the lines of the folder when they meet their orders; 1 if a task a core is enough, as Spark plans it.
+
+    Shuffled partitions are filled by compressed bytes, and how many rows those hold depends on the data; a
+    task's sort and its distinct counts need memory by rows. The number of lines is read from the files' footers.
+    """
+    n = -(-table(spark, sf_dir, "lineitem").count() // TASK_LINES)
+    return n if n > spark.sparkContext.defaultParallelism else 1
+
+
+def _by_order(df: DataFrame, key: str, tasks: int) -> DataFrame:
+    return df.repartition(tasks, key) if tasks > 1 else df
+
+
 #: Cells that the facts of one folder share while :func:`shared_cells` is active, by folder.
 _CELLS: dict[str, dict[str, DataFrame]] = {}
 
@@ -254,11 +272,17 @@ def fx_demand_m(spark: SparkSession, sf_dir: str, years=None, metrics=(V.TRAVELL
     An order has one customer, so inside a region it has one residence: distinct orders of the
     two residences add up, and only the cells (not the lines) are doubled for the totals.
     Without ``Viajeros`` among the metrics no orders are counted.
+
+    Orders meet their customers first, so lines are shuffled once for them, by order, into tasks of at most
+    about ``TASK_LINES`` lines; a cell's distinct orders are counted in those same tasks.
     """
-    j = _lines_full(spark, sf_dir, years, "l_quantity")
+    tasks = _order_tasks(spark, sf_dir)
     o = table(spark, sf_dir, "orders", "o_orderkey", "o_custkey")
     c = table(spark, sf_dir, "customer", "c_custkey", "c_nationkey")
-    j = j.join(o, j.l_orderkey == o.o_orderkey).join(c, o.o_custkey == c.c_custkey)
+    o = _by_order(o.join(c, o.o_custkey == c.c_custkey).select("o_orderkey", "c_nationkey"), "o_orderkey", tasks)
+    j = _by_order(_lines_full(spark, sf_dir, years, "l_quantity").select(
+        "l_orderkey", "s_nationkey", "p_type", "l_shipdate", "l_quantity"), "l_orderkey", tasks)
+    j = j.join(o, j.l_orderkey == o.o_orderkey)
     res = F.when(F.col("c_nationkey") == F.col("s_nationkey"), F.lit(V.NATIONAL)).otherwise(F.lit(V.FOREIGN))
     measures = {V.TRAVELLERS: F.count_distinct("l_orderkey"), V.NIGHTS: F.sum(F.col("l_quantity").cast(MONEY))}
     measures = {m: c for m, c in measures.items() if m in metrics}
