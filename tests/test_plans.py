@@ -87,6 +87,18 @@ def test_lines_meet_orders_in_tasks_by_rows(spark, monkeypatch):
     assert many.exceptAll(plain).count() == plain.exceptAll(many).count() == 0
 
 
+def test_lines_meet_parts_in_tasks_by_rows(spark, monkeypatch):
+    """Many lines: the tasks that join them with parts and count distinct parts follow their number, in one shuffle of the lines."""
+    plain = B.fx_capacity_m(spark, SF)
+    lines = spark.read.parquet(f"{SF}/lineitem.parquet").count()
+    monkeypatch.setattr(B, "TASK_LINES", 100)
+    many = B.fx_capacity_m(spark, SF)
+    plan = many._jdf.queryExecution().executedPlan().toString()
+    assert re.findall(r"Exchange hashpartitioning\(([^\n]*l_partkey#\d+L), (\d+)\)", plan) == [
+        (re.search(r"l_partkey#\d+L", plan)[0], str(-(-lines // 100)))]
+    assert many.exceptAll(plain).count() == plain.exceptAll(many).count() == 0
+
+
 def test_stay_adds_lines_up_once(spark):
     """The lines of the years' orders are not grouped by order first."""
     plan = QUERIES["q08_stay_compare"](spark, SF)._jdf.queryExecution().executedPlan().toString()

@@ -54,12 +54,12 @@ def _map(c, pairs):
     return out
 
 
-#: Lines that one task joins with their orders and counts distinct orders of: the number of tasks follows the lines.
+#: Lines that one task joins with their orders (or parts) and counts distinct ones of: the number of tasks follows the lines.
 TASK_LINES = 500_000
 
 
-def _order_tasks(spark, sf_dir) -> int:
-    """Tasks for the lines of the folder when they meet their orders; 1 if a task a core is enough, as Spark plans it.
+def _line_tasks(spark, sf_dir) -> int:
+    """Tasks for the lines of the folder when they meet their orders or parts; 1 if a task a core is enough, as Spark plans it.
 
     Shuffled partitions are filled by compressed bytes, and how many rows those hold depends on the data; a
     task's sort and its distinct counts need memory by rows. The number of lines is read from the files' footers.
@@ -68,7 +68,7 @@ def _order_tasks(spark, sf_dir) -> int:
     return n if n > spark.sparkContext.defaultParallelism else 1
 
 
-def _by_order(df: DataFrame, key: str, tasks: int) -> DataFrame:
+def _by_key(df: DataFrame, key: str, tasks: int) -> DataFrame:
     return df.repartition(tasks, key) if tasks > 1 else df
 
 
@@ -247,17 +247,23 @@ def _lodging_lines(spark, sf_dir, with_total: bool = False, years=None) -> DataF
                     F.col("l2").alias("alojamiento_nivel2"), "anio", "viajes"))
 
 
-def _lines_full(spark, sf_dir, years, *cols):
+def _lines_full(spark, sf_dir, years, *cols, tasks: int = 1):
+    """Lines with their supplier and part; with several ``tasks`` they meet their parts in so many, by part."""
     li = in_years(table(spark, sf_dir, "lineitem", "l_orderkey", "l_suppkey", "l_partkey", "l_shipdate", *cols),
                   "l_shipdate", years)
     s = table(spark, sf_dir, "supplier", "s_suppkey", "s_nationkey")
     p = table(spark, sf_dir, "part", "p_partkey", "p_type")
-    return (li.join(s, li.l_suppkey == s.s_suppkey).join(p, li.l_partkey == p.p_partkey))
+    j = _by_key(li.join(s, li.l_suppkey == s.s_suppkey), "l_partkey", tasks)
+    return j.join(p, j.l_partkey == p.p_partkey)
 
 
 def fx_capacity_m(spark: SparkSession, sf_dir: str, years=None) -> DataFrame:
-    """Monthly bed capacity by accommodation type (distinct parts shipped)."""
-    j = _lines_full(spark, sf_dir, years)
+    """Monthly bed capacity by accommodation type (distinct parts shipped).
+
+    Many lines meet their parts in tasks of at most about ``TASK_LINES`` lines, and a cell's distinct parts are
+    counted in those same tasks.
+    """
+    j = _lines_full(spark, sf_dir, years, tasks=_line_tasks(spark, sf_dir))
     agg = (j.groupBy(F.col("s_nationkey").cast("int").alias("id_ccaa"),
                      _map(F.col("p_type"), PTYPE_ACCOMMODATION).alias("tipo_alojamiento"),
                      F.trunc(F.to_date("l_shipdate"), "month").alias("fecha"))
@@ -276,11 +282,11 @@ def fx_demand_m(spark: SparkSession, sf_dir: str, years=None, metrics=(V.TRAVELL
     Orders meet their customers first, so lines are shuffled once for them, by order, into tasks of at most
     about ``TASK_LINES`` lines; a cell's distinct orders are counted in those same tasks.
     """
-    tasks = _order_tasks(spark, sf_dir)
+    tasks = _line_tasks(spark, sf_dir)
     o = table(spark, sf_dir, "orders", "o_orderkey", "o_custkey")
     c = table(spark, sf_dir, "customer", "c_custkey", "c_nationkey")
-    o = _by_order(o.join(c, o.o_custkey == c.c_custkey).select("o_orderkey", "c_nationkey"), "o_orderkey", tasks)
-    j = _by_order(_lines_full(spark, sf_dir, years, "l_quantity").select(
+    o = _by_key(o.join(c, o.o_custkey == c.c_custkey).select("o_orderkey", "c_nationkey"), "o_orderkey", tasks)
+    j = _by_key(_lines_full(spark, sf_dir, years, "l_quantity").select(
         "l_orderkey", "s_nationkey", "p_type", "l_shipdate", "l_quantity"), "l_orderkey", tasks)
     j = j.join(o, j.l_orderkey == o.o_orderkey)
     res = F.when(F.col("c_nationkey") == F.col("s_nationkey"), F.lit(V.NATIONAL)).otherwise(F.lit(V.FOREIGN))
