@@ -99,6 +99,24 @@ def test_lines_meet_parts_in_tasks_by_rows(spark, monkeypatch):
     assert many.exceptAll(plain).count() == plain.exceptAll(many).count() == 0
 
 
+def test_shared_cells_meet_orders_in_tasks_by_rows(spark, monkeypatch):
+    """Many lines: the pass over the lines by order is dealt out by their number, in one shuffle, and its cells stay the same."""
+    lines = spark.read.parquet(f"{SF}/lineitem.parquet").count()
+    cells = []
+    for rows in (B.TASK_LINES, 100):
+        monkeypatch.setattr(B, "TASK_LINES", rows)
+        dealt = []
+        by_key = B._by_key
+        with monkeypatch.context() as m:
+            m.setattr(B, "_by_key", lambda df, key, tasks: dealt.append((key, tasks)) or by_key(df, key, tasks))
+            with B.shared_cells(spark, SF):
+                cells.append(B._CELLS[SF]["order"])
+        many = -(-lines // rows) if rows == 100 else 1
+        assert dealt == [("l_orderkey", many), ("o_orderkey", many)]
+    plain, many = cells
+    assert many.exceptAll(plain).count() == plain.exceptAll(many).count() == 0
+
+
 def test_stay_adds_lines_up_once(spark):
     """The lines of the years' orders are not grouped by order first."""
     plan = QUERIES["q08_stay_compare"](spark, SF)._jdf.queryExecution().executedPlan().toString()

@@ -82,14 +82,16 @@ def shared_cells(spark: SparkSession, sf_dir: str):
 
     Lines by supplier (visitors and spend) and lines by order (stays and lodging) are each added up once, to cells by
     region, period and category, which are written to the shared folder. A cell table is as small as a fact.
+    Many lines meet their orders in tasks of at most about ``TASK_LINES`` lines.
     """
     money = {c: F.sum(F.col(f"l_{c}").cast(MONEY)).alias(c) for c in ("quantity", "extendedprice")}
     by_supplier = _lines_by_supplier(spark, sf_dir, None, "l_returnflag", "l_quantity", "l_extendedprice").groupBy(
         F.col("s_nationkey").cast("int").alias("id_ccaa"), "l_returnflag", F.trunc(F.to_date("l_shipdate"), "month").alias("fecha")).agg(
         F.count("*").alias("n"), *money.values())
     p = table(spark, sf_dir, "part", "p_partkey", "p_type")
-    li = table(spark, sf_dir, "lineitem", "l_orderkey", "l_partkey", "l_quantity")
-    o = _orders_by_region(spark, sf_dir, None, "o_orderkey")
+    tasks = _line_tasks(spark, sf_dir)
+    li = _by_key(table(spark, sf_dir, "lineitem", "l_orderkey", "l_partkey", "l_quantity"), "l_orderkey", tasks)
+    o = _by_key(_orders_by_region(spark, sf_dir, None, "o_orderkey").select("o_orderkey", "o_orderdate", "c_nationkey"), "o_orderkey", tasks)
     by_order = li.join(o, li.l_orderkey == o.o_orderkey).join(p, li.l_partkey == p.p_partkey, "left").groupBy(
         F.col("c_nationkey").cast("int").alias("id_ccaa"), F.trunc(F.to_date("o_orderdate"), "quarter").alias("fecha"), "p_type",
         F.col("p_partkey").isNotNull().alias("has_part")).agg(F.count("*").alias("n"), money["quantity"])
